@@ -1,0 +1,8 @@
+"""No streaming operators.
+
+The reference pipeline is batch only: it has no stream source, watermark,
+trigger or state. Every operator in ``scoreline.operators`` is a stateless or
+aggregating DataFrame transformation, so the stateless ones (``stage_matches``,
+``both_sides``, the scalar helpers) also apply unchanged to a streaming
+DataFrame, but nothing here is built for streams.
+"""
