@@ -39,10 +39,10 @@ SELECT year, winner FROM (
   FROM fx_matches GROUP BY year, home_team_name) t
 WHERE rn = 1""",
     "fx_countries": """
-SELECT CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS country_name,
+SELECT CASE WHEN n_nationkey % 5 = 4 THEN concat(n_name, ' FR')
+            WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS country_name,
        substring(r_name, 1, 3) AS iso_a3, n_nationkey % 2 = 0 AS qualified_2026
-FROM nation JOIN region ON n_regionkey = r_regionkey
-WHERE n_nationkey % 5 <> 4""",
+FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "fx_squads": """
 SELECT n_name AS nation, c_name AS player,
        CASE c_custkey % 9 WHEN 0 THEN 'GK' WHEN 1 THEN 'CB' WHEN 2 THEN 'RB' WHEN 3 THEN 'LB' WHEN 4 THEN 'DM'
@@ -52,23 +52,27 @@ SELECT n_name AS nation, c_name AS player,
        CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE CAST(c_custkey % 38 AS DOUBLE) END AS m90
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "fx_market": """
-SELECT n_name AS nation, concat(' ', upper(c_name), ' ') AS player_name,
+SELECT n_name AS nation,
+       CASE WHEN c_custkey % 7 = 0 THEN concat(c_name, ' Jr') ELSE concat(' ', upper(c_name), ' ') END AS player_name,
        CAST(floor(abs(c_acctbal) / 50) AS DOUBLE) AS market_value_eur_m
-FROM customer JOIN nation ON c_nationkey = n_nationkey
-WHERE c_custkey % 7 <> 0""",
+FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "fx_money": """
 SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN concat('€', p_size, 'M') WHEN 1 THEN concat('€', p_size, ',5M')
        WHEN 2 THEN concat('€', p_size, '00k') WHEN 3 THEN '-' WHEN 4 THEN '' WHEN 5 THEN concat('€1.', p_size, ',5M')
        ELSE concat('€', p_size) END AS value_text
 FROM part""",
     "fx_results": """
-SELECT trim(stage) AS grp, home_team_name AS home, home_team_goals AS hs, away_team_goals AS as_, away_team_name AS away
-FROM fx_matches WHERE year = 1998""",
+SELECT concat(year, '/', trim(stage)) AS grp,
+       concat(lpad(CAST((match_order * 7 + match_line) % 28 + 1 AS STRING), 2, '0'), '/06') AS date,
+       match_order AS seq_order, match_line AS seq_line,
+       home_team_name AS home, home_team_goals AS hs, away_team_goals AS as_, away_team_name AS away
+FROM fx_matches""",
     "fx_cache": """
-SELECT c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('https://img.example/', c_custkey, '/200px-x.jpg') END AS url
-FROM customer WHERE c_custkey % 3 <> 0""",
+SELECT CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, ' (old)') ELSE c_name END AS name,
+       CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('https://img.example/', c_custkey, '/200px-x.jpg') END AS url
+FROM customer""",
     "fx_overrides": """
-SELECT c_name AS name, concat('slug_(', c_custkey, ')') AS slug FROM customer WHERE c_custkey % 10 = 0""",
+SELECT c_name AS name, CASE WHEN c_custkey % 10 = 0 THEN concat('slug_(', c_custkey, ')') END AS slug FROM customer""",
 }
 
 # Which fixture views each view reads (for building minimal oracle CTE lists).
