@@ -244,7 +244,7 @@ def map_expr(mapping: dict, key, default=None) -> Column:
     return F.coalesce(val, default if isinstance(default, Column) else F.lit(default))
 
 
-def values_sql(mapping: dict, key: str = "key", value: str = "value") -> str:
+def values_sql(mapping: dict, key: str = "key", value: str = "value", alias: str = "t") -> str:
     """A literal mapping as SQL ``(VALUES ...) t(key, value)`` for the oracle."""
     def q(v):
         if v is None:
@@ -253,4 +253,4 @@ def values_sql(mapping: dict, key: str = "key", value: str = "value") -> str:
             return repr(v)
         return "'" + str(v).replace("'", "''") + "'"
     rows = ", ".join(f"({q(k)}, {q(v)})" for k, v in mapping.items())
-    return f"(VALUES {rows}) AS t({key}, {value})"
+    return f"(VALUES {rows}) AS {alias}({key}, {value})"

@@ -66,7 +66,7 @@ SELECT concat(year, '/', trim(stage)) AS grp,
        concat(lpad(CAST((match_order * 7 + match_line) % 28 + 1 AS STRING), 2, '0'), '/06') AS date,
        match_order AS seq_order, match_line AS seq_line,
        home_team_name AS home, home_team_goals AS hs, away_team_goals AS as_, away_team_name AS away
-FROM fx_matches""",
+FROM fx_matches_null""",
     "fx_cache": """
 SELECT CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, ' (old)') ELSE c_name END AS name,
        CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('https://img.example/', c_custkey, '/200px-x.jpg') END AS url
@@ -79,7 +79,7 @@ SELECT c_name AS name, CASE WHEN c_custkey % 10 = 0 THEN concat('slug_(', c_cust
 FIXTURE_DEPS: dict[str, list[str]] = {
     "fx_matches_null": ["fx_matches"],
     "fx_cups": ["fx_matches"],
-    "fx_results": ["fx_matches"],
+    "fx_results": ["fx_matches_null"],
 }
 
 

@@ -1,0 +1,208 @@
+"""HTML extraction from a column of page markup.
+
+Parsing markup is per-row imperative work that built-in expressions cannot
+express robustly (nesting, entities, unclosed tags), so it runs in
+``mapInPandas`` with the standard-library ``html.parser``: Arrow batches in,
+one output row per extracted table row / link out. Map-only, no shuffle; pages
+are independent, so a lost task re-parses only its own split.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+
+class _TableParser(HTMLParser):
+    """Collects the rows of every <table>: (table_id, table_class, table_no,
+    row_no, cells, link_texts). Nested tables are separate tables; a cell's
+    text includes text of nested elements except nested tables."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tables: list[dict] = []
+        self.stack: list[dict] = []
+        self.out: list[tuple] = []
+        self.cell: list[str] | None = None
+        self.cell_stack: list = []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "table":
+            self.cell_stack.append(self.cell)
+            self.cell = None
+            t = {"id": a.get("id"), "class": a.get("class"), "no": len(self.tables),
+                 "row": None, "rows": 0, "row_in_body": False, "section": None}
+            self.tables.append(t)
+            self.stack.append(t)
+        elif not self.stack:
+            return
+        elif tag == "tr":
+            t = self.stack[-1]
+            t["row"] = {"cells": [], "classes": [], "section": t["section"]}
+        elif tag in ("td", "th"):
+            t = self.stack[-1]
+            if t["row"] is None:
+                t["row"] = {"cells": [], "classes": [], "section": t["section"]}
+            self.cell = []
+            t["row"]["cells_kind"] = tag
+            t["row"]["classes"].append(a.get("class") or "")
+        elif tag in ("thead", "tbody", "tfoot"):
+            self.stack[-1]["section"] = tag
+        elif tag == "br" and self.cell is not None:
+            self.cell.append(" ")
+
+    def handle_endtag(self, tag):
+        if not self.stack:
+            return
+        t = self.stack[-1]
+        if tag in ("td", "th"):
+            self._close_cell(t)
+        elif tag == "tr":
+            self._close_cell(t)
+            self._close_row(t)
+        elif tag == "table":
+            self._close_cell(t)
+            self._close_row(t)
+            self.stack.pop()
+            self.cell = self.cell_stack.pop() if self.cell_stack else None
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell.append(data)
+
+    def _close_cell(self, t):
+        if self.cell is not None and t["row"] is not None:
+            t["row"]["cells"].append(" ".join("".join(self.cell).split()))
+        self.cell = None
+
+    def _close_row(self, t):
+        r = t["row"]
+        if r is not None and r["cells"]:
+            self.out.append((t["id"], t["class"], t["no"], t["rows"], r["section"], r["cells"]))
+            t["rows"] += 1
+        t["row"] = None
+
+    def close(self):
+        super().close()
+        while self.stack:
+            t = self.stack[-1]
+            self._close_cell(t)
+            self._close_row(t)
+            self.stack.pop()
+
+
+class _LinkParser(HTMLParser):
+    """Collects (href, text) of every <a>, in document order."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.links: list[tuple] = []
+        self.cur: list | None = None
+        self.href = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.cur, self.href = [], dict(attrs).get("href")
+
+    def handle_endtag(self, tag):
+        if tag == "a" and self.cur is not None:
+            self.links.append((self.href, "".join(self.cur).strip()))
+            self.cur = None
+
+    def handle_data(self, data):
+        if self.cur is not None:
+            self.cur.append(data)
+
+
+TABLE_ROWS_SCHEMA = T.StructType([
+    T.StructField("page_id", T.LongType()),
+    T.StructField("table_id", T.StringType()),
+    T.StructField("table_class", T.StringType()),
+    T.StructField("table_no", T.IntegerType()),
+    T.StructField("row_no", T.IntegerType()),
+    T.StructField("section", T.StringType()),
+    T.StructField("cells", T.ArrayType(T.StringType())),
+])
+
+LINKS_SCHEMA = T.StructType([
+    T.StructField("page_id", T.LongType()),
+    T.StructField("link_no", T.IntegerType()),
+    T.StructField("href", T.StringType()),
+    T.StructField("text", T.StringType()),
+])
+
+
+def parse_table_rows(html: str | None) -> list[tuple]:
+    if not html:
+        return []
+    p = _TableParser()
+    try:
+        p.feed(html)
+        p.close()
+    except Exception:  # noqa: BLE001 - malformed page: keep what was parsed
+        pass
+    return p.out
+
+
+def parse_links(html: str | None) -> list[tuple]:
+    if not html:
+        return []
+    p = _LinkParser()
+    try:
+        p.feed(html)
+        p.close()
+    except Exception:  # noqa: BLE001
+        pass
+    return p.links
+
+
+def html_table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Every table row of every page: (page_id, table_id, table_class, table_no,
+    row_no, section, cells). Pages without a table give no rows."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for pid, html in zip(b[id_col], b[html_col]):
+                for tid, tcls, tno, rno, sec, cells in parse_table_rows(html):
+                    rows.append((int(pid), tid, tcls, tno, rno, sec, cells))
+            yield pd.DataFrame(rows, columns=TABLE_ROWS_SCHEMA.fieldNames())
+    return pages.select(id_col, html_col).mapInPandas(run, TABLE_ROWS_SCHEMA)
+
+
+def html_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Every link of every page: (page_id, link_no, href, text)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for pid, html in zip(b[id_col], b[html_col]):
+                for i, (href, text) in enumerate(parse_links(html), start=1):
+                    rows.append((int(pid), i, href, text))
+            yield pd.DataFrame(rows, columns=LINKS_SCHEMA.fieldNames())
+    return pages.select(id_col, html_col).mapInPandas(run, LINKS_SCHEMA)
+
+
+def market_value_rows(rows: DataFrame, nation: str, table_class: str = "items",
+                      name_idx: int = 1, position_idx: int = 4, age_idx: int = 5) -> DataFrame:
+    """Player rows of a market-value listing: body rows of tables whose class
+    contains ``table_class`` with at least six cells and a name; position and
+    age are cells 4 and 5 (0-based), the value text is the last cell."""
+    from pyspark.sql import functions as F
+    from ..functions import parse_money, strip_all
+
+    cls = F.coalesce(F.col("table_class"), F.lit(""))
+    c = F.col("cells")
+    keep = (F.array_contains(F.split(cls, r"\s+"), table_class) & (F.size(c) >= 6)
+            & (F.coalesce(F.col("section"), F.lit("tbody")) == "tbody")
+            & (F.length(strip_all(F.element_at(c, name_idx + 1))) > 0))
+    return rows.where(keep).select(
+        F.lit(nation).alias("nation"),
+        strip_all(F.element_at(c, name_idx + 1)).alias("player_name"),
+        strip_all(F.element_at(c, position_idx + 1)).alias("position"),
+        strip_all(F.element_at(c, age_idx + 1)).alias("age"),
+        parse_money(strip_all(F.element_at(c, -1))).alias("market_value_eur_m"),
+    )
