@@ -72,7 +72,7 @@ def matches_by_date(results: DataFrame, k: int = 3, date="date",
     map task) and the count is a partial aggregation, so a date holding a
     third of all matches never lands whole in one task.
     """
-    first = top_per_group(results, date, [F.col(c).asc() for c in order], k, "slot")
+    first = top_per_group(results, date, [F.col(c).asc_nulls_last() for c in order], k, "slot")
     counts = results.groupBy(date).agg(F.count(F.lit(1)).alias("matches_on_date"))
     return first.join(counts, date)
 
