@@ -153,3 +153,27 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mat-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def _fs_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
+def stored_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
+    """A layer table built once and reused (the medallion pattern: bronze /
+    silver tables are materialised, later layers read them).
+
+    The table lives under the shared checkpoint folder in
+    ``{dir}/layers/{name}-{key}``; ``key`` must change whenever the inputs or
+    the building code change. A table is reused only if its job committed
+    (``_SUCCESS`` present); otherwise ``build()`` runs and overwrites it.
+    Written files survive executor loss and cut the lineage.
+    """
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layers/{name}-{key}"
+    if not _fs_exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
