@@ -1,0 +1,43 @@
+"""HTML extraction: tables (nested, missing cells, entities, ids) and links."""
+
+from scoreline.sources.html import (html_links, html_table_rows, market_value_rows, parse_links,
+                                    parse_table_rows)
+
+PAGE = """<html><body>
+<table id="stats_standard"><thead><tr><th>Player</th><th>Pos</th></tr></thead>
+<tbody><tr><td>Vin&iacute;cius&nbsp;J&uacute;nior</td><td>FW</td></tr>
+<tr><td>Rodri <table><tr><td>inner</td></tr></table></td><td>MF</td></tr>
+<tr><td>Only one cell</td></tr></tbody></table>
+<table class="items big"><tbody>
+<tr><td>1</td><td>Lionel Messi</td><td>x</td><td>y</td><td>RW</td><td>37</td><td>€30,0M</td></tr>
+<tr><td>2</td><td></td><td>x</td><td>y</td><td>CF</td><td>25</td><td>€500k</td></tr>
+<tr><td>3</td><td>Short</td></tr>
+</tbody></table>
+<p>no table here</p><a href="/a?x=1&amp;y=2">A &amp; B</a>
+</body></html>"""
+
+
+def test_parse_table_rows_pure_python():
+    rows = parse_table_rows(PAGE)
+    outer = [r for r in rows if r[0] == "stats_standard"]
+    assert outer[0][5] == ["Player", "Pos"] and outer[0][4] == "thead"
+    assert outer[1][5] == ["Vinícius Júnior", "FW"]  # entities decoded, NBSP -> space
+    assert outer[2][5] == ["Rodri", "MF"]  # nested table text kept out of the cell
+    assert outer[3][5] == ["Only one cell"]
+    inner = [r for r in rows if r[0] is None and r[1] is None]
+    assert inner and inner[0][5] == ["inner"]
+    assert parse_table_rows("<p>nothing</p>") == [] and parse_table_rows(None) == []
+
+
+def test_parse_links():
+    assert parse_links(PAGE) == [("/a?x=1&y=2", "A & B")]
+
+
+def test_html_frames(spark):
+    pages = spark.createDataFrame([(1, PAGE), (2, "<p>plain</p>"), (3, None)], "page_id long, html string")
+    rows = html_table_rows(pages)
+    assert rows.where("page_id = 1").count() == 8 and rows.where("page_id <> 1").count() == 0
+    mv = {r.player_name: r for r in market_value_rows(rows, "Argentina").collect()}
+    assert set(mv) == {"Lionel Messi"}  # empty name and short rows dropped
+    assert mv["Lionel Messi"].market_value_eur_m == 30.0 and mv["Lionel Messi"].position == "RW"
+    assert html_links(pages).count() == 1
