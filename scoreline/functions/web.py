@@ -52,3 +52,9 @@ def flag_url(iso, width: int = 40, base: str = "https://flagcdn.com") -> Column:
     i = col_(iso)
     return F.when(i.isNull() | (i == ""), F.lit("")) \
             .otherwise(F.concat(F.lit(f"{base}/w{width}/"), F.lower(i), F.lit(".png")))
+
+
+def json_get(c, path: str, default: str = "") -> Column:
+    """Nested JSON field as text with a default when the document, the path or
+    the value is missing (``get_json_object`` returns NULL for those)."""
+    return F.coalesce(F.get_json_object(col_(c), path), F.lit(default))

@@ -226,13 +226,15 @@ def age_histogram(plot: DataFrame, bins: int = 15) -> DataFrame:
     scalar subquery; the count is a plain partial + final aggregation.
     """
     ages = plot.where(F.col("age").isNotNull())
-    b = ages.select(F.struct(F.min("age").alias("lo"), F.max("age").alias("hi"))).scalar()
-    width = F.ceil((b["hi"] - b["lo"] + 1) / F.lit(bins))
-    idx = F.floor((F.col("age") - b["lo"]) / width)
-    return (ages.select((b["lo"] + idx * width).cast("int").alias("bin_start"),
-                        (b["lo"] + (idx + 1) * width - 1).cast("int").alias("bin_end"),
-                        F.col("posicao"))
-                .groupBy("bin_start", "bin_end", "posicao").agg(F.count(F.lit(1)).alias("players")))
+    bounds = ages.select(F.struct(F.min("age").alias("lo"), F.max("age").alias("hi"))).scalar()
+    b = ages.withColumn("__b", bounds)
+    lo, hi = F.col("__b.lo"), F.col("__b.hi")
+    width = F.ceil((hi - lo + 1) / F.lit(bins))
+    idx = F.floor((F.col("age") - lo) / width)
+    return (b.select((lo + idx * width).cast("int").alias("bin_start"),
+                     (lo + (idx + 1) * width - 1).cast("int").alias("bin_end"),
+                     F.col("posicao"))
+             .groupBy("bin_start", "bin_end", "posicao").agg(F.count(F.lit(1)).alias("players")))
 
 
 # Radar -----------------------------------------------------------------------
@@ -270,47 +272,54 @@ def minmax_score(v: Column, lo: Column, hi: Column, higher_is_better: bool = Tru
              .otherwise(F.greatest(F.lit(3.0), norm)))
 
 
-def _bounds_scalar(ref: DataFrame, metrics=RADAR_METRICS) -> Column:
+def with_bounds(ref: DataFrame, metrics=RADAR_METRICS, col: str = "__b") -> DataFrame:
+    """``ref`` plus one struct column holding the global min / max of each
+    metric. The struct is a single scalar subquery (one aggregate row,
+    computed once and inlined as a constant): no cross join, and no global
+    window that would pull every row into one task. Later expressions read
+    its fields, so the plan holds exactly one subquery."""
     b = metric_bounds(ref, metrics)
-    return b.select(F.struct(*[F.col(c) for c in b.columns])).scalar()
+    return ref.withColumn(col, b.select(F.struct(*[F.col(c) for c in b.columns])).scalar())
+
+
+def _scores(b: str, cols: dict[str, Column], prefix: str) -> list[Column]:
+    def f(m):
+        return F.col(f"{b}.{m}")
+    out = []
+    for name, metric, v, higher in (("g90", "g90", cols["g90"], True), ("a90", "a90", cols["a90"], True),
+                                    ("matches", "matches_played", cols["matches"], True),
+                                    ("value", "market_value_eur_m", cols["value"], True),
+                                    ("youth", "age", cols["age"], False)):
+        out.append(minmax_score(v, f(f"{metric}_min"), f(f"{metric}_max"), higher).alias(f"{prefix}{name}"))
+    return out
 
 
 def radar_scores(players: DataFrame) -> DataFrame:
     """Per player: five 0-100 scores (goals/90, assists/90, matches, value,
     youth) against the bounds of the whole reference set. Unknown age scores 3
     (an age of 0 is read as 25)."""
-    ref = radar_reference(players)
-    b = _bounds_scalar(ref)
+    ref = with_bounds(radar_reference(players))
     age = F.when(F.col("age") == 0, F.lit(25)).otherwise(F.col("age"))
-    return ref.select(
-        "nation", "player_name", "position_group",
-        minmax_score(F.col("g90"), b["g90_min"], b["g90_max"]).alias("score_g90"),
-        minmax_score(F.col("a90"), b["a90_min"], b["a90_max"]).alias("score_a90"),
-        minmax_score(F.col("matches_played"), b["matches_played_min"], b["matches_played_max"]).alias("score_matches"),
-        minmax_score(F.col("market_value_eur_m"), b["market_value_eur_m_min"],
-                     b["market_value_eur_m_max"]).alias("score_value"),
-        minmax_score(age, b["age_min"], b["age_max"], higher_is_better=False).alias("score_youth"),
-    )
+    cols = {"g90": F.col("g90"), "a90": F.col("a90"), "matches": F.col("matches_played"),
+            "value": F.col("market_value_eur_m"), "age": age}
+    return ref.select("nation", "player_name", "position_group", *_scores("__b", cols, "score_"))
 
 
 def radar_group_avg(players: DataFrame, min_rows: int = 2) -> DataFrame:
     """Per position group with at least ``min_rows`` players: the mean of each
-    radar metric scored against the whole reference set (mean of ratios)."""
-    ref = radar_reference(players)
-    b = _bounds_scalar(ref)
+    radar metric scored against the whole reference set (mean of ratios).
+    The bounds struct is constant, so ``any_value`` carries it through the
+    aggregation."""
+    ref = with_bounds(radar_reference(players))
     g = (ref.groupBy("position_group")
             .agg(F.count(F.lit(1)).alias("n"), F.avg("g90").alias("avg_g90"),
                  F.avg("a90").alias("avg_a90"), F.avg("matches_played").alias("avg_matches"),
-                 F.avg("market_value_eur_m").alias("avg_value"), F.avg("age").alias("avg_age"))
+                 F.avg("market_value_eur_m").alias("avg_value"), F.avg("age").alias("avg_age"),
+                 F.any_value("__b").alias("__b"))
             .where(F.col("n") >= min_rows))
-    return g.select(
-        "position_group", "n",
-        minmax_score(F.col("avg_g90"), b["g90_min"], b["g90_max"]).alias("avg_score_g90"),
-        minmax_score(F.col("avg_a90"), b["a90_min"], b["a90_max"]).alias("avg_score_a90"),
-        minmax_score(F.col("avg_matches"), b["matches_played_min"], b["matches_played_max"]).alias("avg_score_matches"),
-        minmax_score(F.col("avg_value"), b["market_value_eur_m_min"], b["market_value_eur_m_max"]).alias("avg_score_value"),
-        minmax_score(F.col("avg_age"), b["age_min"], b["age_max"], higher_is_better=False).alias("avg_score_youth"),
-    )
+    cols = {"g90": F.col("avg_g90"), "a90": F.col("avg_a90"), "matches": F.col("avg_matches"),
+            "value": F.col("avg_value"), "age": F.col("avg_age")}
+    return g.select("position_group", "n", *_scores("__b", cols, "avg_score_"))
 
 
 def radar_with_group(players: DataFrame) -> DataFrame:

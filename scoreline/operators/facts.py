@@ -48,3 +48,18 @@ def team_names(df: DataFrame, home="home_team", away="away_team") -> DataFrame:
     return (df.select(F.explode(F.array(F.col(home), F.col(away))).alias("nation"))
               .where(F.col("nation").isNotNull() & (F.col("nation") != ""))
               .distinct())
+
+
+def rename_if_missing(df: DataFrame, renames: dict[str, str]) -> DataFrame:
+    """Schema-adaptive rename: ``old -> new`` only when ``new`` is absent and
+    ``old`` is present (metadata only, no data pass)."""
+    for old, new in renames.items():
+        if new not in df.columns and old in df.columns:
+            df = df.withColumnRenamed(old, new)
+    return df
+
+
+def select_existing(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Project the listed columns that exist, in the listed order."""
+    have = set(df.columns)
+    return df.select(*[c for c in cols if c in have])

@@ -186,3 +186,15 @@ FROM (SELECT page_id, hrefs, texts, unnest(range(1, len(hrefs) + 1)) AS i
 def q_html_items(spark, sf):
     from ..sources.tables import read_table
     return html_links(read_table(spark, sf, "pages"))
+
+
+@register("json_fields", """
+SELECT event_id, event_type, COALESCE(json_extract_string(props, '$.k'), '') AS k,
+       COALESCE(json_extract_string(props, '$.thumbnail.source'), '') AS thumbnail_source
+FROM events""", "S20 JSON get with default")
+def q_json_fields(spark, sf):
+    from ..functions import json_get
+    from ..sources.tables import read_table
+    e = read_table(spark, sf, "events")
+    return e.select("event_id", "event_type", json_get("props", "$.k").alias("k"),
+                    json_get("props", "$.thumbnail.source").alias("thumbnail_source"))

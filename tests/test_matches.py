@@ -106,3 +106,11 @@ def test_nulls_last_ordering(spark):
     df = spark.createDataFrame([(None,), (3,), (1,)], "v int")
     asc = [r.v for r in df.orderBy(F.asc_nulls_last("v")).collect()]
     assert asc == [1, 3, None]
+
+
+def test_schema_adaptive_rename_and_select(spark):
+    from scoreline.operators.facts import rename_if_missing, select_existing
+    df = spark.createDataFrame([(1, 2, 3)], "matches_played int, goals_for int, goals_scored int")
+    r = rename_if_missing(df, {"matches_played": "games", "goals_for": "goals_scored"})
+    assert r.columns == ["games", "goals_for", "goals_scored"]  # goals_scored already there
+    assert select_existing(r, ["edition_year", "goals_scored", "games"]).columns == ["goals_scored", "games"]
