@@ -15,6 +15,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HTML pages can be large (up to ~20,000 words): keep Arrow batches for
+    # the mapInPandas extractor small so one batch stays well under memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

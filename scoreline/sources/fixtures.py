@@ -123,22 +123,25 @@ def matches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def layer_key(sf_dir: str) -> str:
-    """Key of the stored layer tables of one input folder: input path, input
-    file sizes and modification times, stand-in SQL and layer version."""
+def layer_key(spark: SparkSession, sf_dir: str) -> str:
+    """Key of the stored layer tables of one input folder: input path, the
+    size and modification time of every input file (listed through the
+    Hadoop file system, so it works on local, HDFS and object-store paths),
+    the stand-in SQL and the layer version."""
     import hashlib
-    import os
     h = hashlib.sha1()
-    h.update(os.path.abspath(sf_dir).encode())
+    h.update(sf_dir.rstrip("/").encode())
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for t in ("lineitem", "orders", "customer", "supplier", "nation"):
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        try:
-            for root, _, files in os.walk(p) if os.path.isdir(p) else [(None, None, [p])]:
-                for f in sorted(files):
-                    st = os.stat(os.path.join(root, f) if root else f)
-                    h.update(f"{f}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(p.encode())
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = p.getFileSystem(conf)
+        it = fs.listFiles(p, True)
+        files = []
+        while it.hasNext():
+            st = it.next()
+            files.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+        h.update((t + "|" + ",".join(sorted(files))).encode())
     h.update(FIXTURE_SQL["fx_matches"].encode())
     h.update(LAYER_VERSION.encode())
     return h.hexdigest()[:16]
@@ -148,7 +151,7 @@ def bronze_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fx_matches`` materialised once per input folder (the bronze match
     table); every match query reads this table instead of re-running the
     five-way join."""
-    return stored_table(spark, "bronze_matches", layer_key(sf_dir), lambda: matches_frame(spark, sf_dir))
+    return stored_table(spark, "bronze_matches", layer_key(spark, sf_dir), lambda: matches_frame(spark, sf_dir))
 
 
 # Input folder whose views are currently registered, per session.
