@@ -70,16 +70,30 @@ def nations_performance(stats: DataFrame, cups: DataFrame, countries: DataFrame,
 
 def edition_history_winner(matches: DataFrame, draw: str = "Draw") -> DataFrame:
     """Per (team, edition): matches, wins/draws/losses from ``winner``, goals
-    and the lexically largest stage (reference rule, see ``furthest_stage_ranked``)."""
+    and the lexically largest stage (reference rule, see ``furthest_stage_ranked``).
+
+    A string MAX cannot use hash aggregation (Spark falls back to a sort
+    aggregate over every row), so the rows are first hash-aggregated per
+    (team, edition, stage) with all counts and sums; the string MAX then runs
+    over a handful of distinct stages per group.
+    """
     s = both_sides(matches, keep=("edition_year", "winner", "stage"))
     t, w = F.col("team"), F.col("winner")
-    return s.groupBy("team", "edition_year").agg(
-        F.count(F.lit(1)).alias("matches_played"),
-        _count_when(w == t).alias("wins"),
-        _count_when(w == draw).alias("draws"),
-        _count_when(~w.isin(t, F.lit(draw))).alias("losses"),
-        F.sum("goals_for").alias("goals_scored"),
-        F.sum("goals_against").alias("goals_conceded"),
+    per_stage = s.groupBy("team", "edition_year", "stage").agg(
+        F.count(F.lit(1)).alias("n"),
+        _count_when(w == t).alias("w"),
+        _count_when(w == draw).alias("d"),
+        _count_when(~w.isin(t, F.lit(draw))).alias("l"),
+        F.sum("goals_for").alias("gf"),
+        F.sum("goals_against").alias("ga"),
+    )
+    return per_stage.groupBy("team", "edition_year").agg(
+        F.sum("n").alias("matches_played"),
+        F.sum("w").alias("wins"),
+        F.sum("d").alias("draws"),
+        F.sum("l").alias("losses"),
+        F.sum("gf").alias("goals_scored"),
+        F.sum("ga").alias("goals_conceded"),
         F.max("stage").alias("furthest_stage"),
     )
 
@@ -102,10 +116,13 @@ def edition_history_goals(matches: DataFrame) -> DataFrame:
 def furthest_stage_ranked(matches: DataFrame, stage_order: list[str]) -> DataFrame:
     """Per (team, edition): the furthest stage by an explicit order (later in
     ``stage_order`` = further); unknown stages rank lowest, ties broken by the
-    stage text. Also returns the lexical maximum for comparison."""
+    stage text. Also returns the lexical maximum for comparison. Distinct
+    (team, edition, stage) rows are found by hash aggregation first, so the
+    string comparisons run over a few rows per group."""
     s = both_sides(matches, keep=("edition_year", "stage"))
+    stages = s.groupBy("team", "edition_year", "stage").agg(F.count(F.lit(1)).alias("n"))
     rank = F.array_position(F.array(*[F.lit(x) for x in stage_order]), F.col("stage"))
-    return s.groupBy("team", "edition_year").agg(
+    return stages.groupBy("team", "edition_year").agg(
         F.max_by("stage", F.struct(rank.alias("r"), F.col("stage").alias("s"))).alias("furthest_stage_ranked"),
         F.max("stage").alias("furthest_stage_lexical"),
     )

@@ -7,6 +7,8 @@ runs), so it is always safe to broadcast; ``lookup`` does so explicitly.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,7 +198,9 @@ RANKING_METRICS = ["world_cup_titles", "wins", "total_goals_for", "editions_play
 # ---------------------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=1)
 def confederation_map() -> dict[str, str]:
+    """Nation -> confederation (one shared dict; do not mutate)."""
     return {n: conf for conf, names in CONFEDERATIONS.items() for n in names}
 
 
@@ -233,12 +237,24 @@ def lookup(df: DataFrame, key, dim: DataFrame, out: str, default=None,
     return joined.withColumn(out, val).drop(tmp_k, tmp_v)
 
 
+_MAPS: dict[int, tuple[dict, Column]] = {}
+
+
+def _map_literal(mapping: dict) -> Column:
+    """The mapping as one map literal expression, built once per mapping
+    (an unresolved expression can be reused by any number of plans)."""
+    hit = _MAPS.get(id(mapping))
+    if hit is None or hit[0] is not mapping:
+        hit = (mapping, F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]))
+        _MAPS[id(mapping)] = hit
+    return hit[1]
+
+
 def map_expr(mapping: dict, key, default=None) -> Column:
     """Same as ``lookup`` for a literal mapping, as a map-lookup expression with no
     join at all: ``coalesce(map[key], default)``. Best for tiny literals."""
     k = F.col(key) if isinstance(key, str) else key
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    val = F.try_element_at(m, k)
+    val = F.try_element_at(_map_literal(mapping), k)
     if default is None:
         return val
     return F.coalesce(val, default if isinstance(default, Column) else F.lit(default))
