@@ -272,14 +272,18 @@ def minmax_score(v: Column, lo: Column, hi: Column, higher_is_better: bool = Tru
              .otherwise(F.greatest(F.lit(3.0), norm)))
 
 
-def with_bounds(ref: DataFrame, metrics=RADAR_METRICS, col: str = "__b") -> DataFrame:
-    """``ref`` plus one struct column holding the global min / max of each
-    metric. The struct is a single scalar subquery (one aggregate row,
-    computed once and inlined as a constant): no cross join, and no global
-    window that would pull every row into one task. Later expressions read
-    its fields, so the plan holds exactly one subquery."""
+def bounds_struct(ref: DataFrame, metrics=RADAR_METRICS) -> Column:
+    """Global min / max of each metric as one struct-valued scalar subquery
+    (one aggregate row, computed once and inlined as a constant): no cross
+    join, and no global window that would pull every row into one task."""
     b = metric_bounds(ref, metrics)
-    return ref.withColumn(col, b.select(F.struct(*[F.col(c) for c in b.columns])).scalar())
+    return b.select(F.struct(*[F.col(c) for c in b.columns])).scalar()
+
+
+def with_bounds(df: DataFrame, ref: DataFrame, metrics=RADAR_METRICS, col: str = "__b") -> DataFrame:
+    """``df`` plus one column holding the bounds struct of ``ref``; later
+    expressions read its fields, so the plan holds a single subquery."""
+    return df.withColumn(col, bounds_struct(ref, metrics))
 
 
 def _scores(b: str, cols: dict[str, Column], prefix: str) -> list[Column]:
@@ -298,7 +302,8 @@ def radar_scores(players: DataFrame) -> DataFrame:
     """Per player: five 0-100 scores (goals/90, assists/90, matches, value,
     youth) against the bounds of the whole reference set. Unknown age scores 3
     (an age of 0 is read as 25)."""
-    ref = with_bounds(radar_reference(players))
+    base = radar_reference(players)
+    ref = with_bounds(base, base)
     age = F.when(F.col("age") == 0, F.lit(25)).otherwise(F.col("age"))
     cols = {"g90": F.col("g90"), "a90": F.col("a90"), "matches": F.col("matches_played"),
             "value": F.col("market_value_eur_m"), "age": age}
@@ -308,15 +313,15 @@ def radar_scores(players: DataFrame) -> DataFrame:
 def radar_group_avg(players: DataFrame, min_rows: int = 2) -> DataFrame:
     """Per position group with at least ``min_rows`` players: the mean of each
     radar metric scored against the whole reference set (mean of ratios).
-    The bounds struct is constant, so ``any_value`` carries it through the
-    aggregation."""
-    ref = with_bounds(radar_reference(players))
+    Groups are hash-aggregated first; the bounds are attached to the few
+    group rows afterwards."""
+    ref = radar_reference(players)
     g = (ref.groupBy("position_group")
             .agg(F.count(F.lit(1)).alias("n"), F.avg("g90").alias("avg_g90"),
                  F.avg("a90").alias("avg_a90"), F.avg("matches_played").alias("avg_matches"),
-                 F.avg("market_value_eur_m").alias("avg_value"), F.avg("age").alias("avg_age"),
-                 F.any_value("__b").alias("__b"))
+                 F.avg("market_value_eur_m").alias("avg_value"), F.avg("age").alias("avg_age"))
             .where(F.col("n") >= min_rows))
+    g = with_bounds(g, ref)
     cols = {"g90": F.col("avg_g90"), "a90": F.col("avg_a90"), "matches": F.col("avg_matches"),
             "value": F.col("avg_value"), "age": F.col("avg_age")}
     return g.select("position_group", "n", *_scores("__b", cols, "avg_score_"))

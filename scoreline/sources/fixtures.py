@@ -123,7 +123,9 @@ def matches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def layer_key(spark: SparkSession, sf_dir: str) -> str:
+def layer_key(spark: SparkSession, sf_dir: str,
+              tables=("lineitem", "orders", "customer", "supplier", "nation"),
+              extra: str = "") -> str:
     """Key of the stored layer tables of one input folder: input path, the
     size and modification time of every input file (listed through the
     Hadoop file system, so it works on local, HDFS and object-store paths),
@@ -133,7 +135,7 @@ def layer_key(spark: SparkSession, sf_dir: str) -> str:
     h.update(sf_dir.rstrip("/").encode())
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for t in ("lineitem", "orders", "customer", "supplier", "nation"):
+    for t in tables:
         p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
         fs = p.getFileSystem(conf)
         it = fs.listFiles(p, True)
@@ -143,6 +145,7 @@ def layer_key(spark: SparkSession, sf_dir: str) -> str:
             files.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
         h.update((t + "|" + ",".join(sorted(files))).encode())
     h.update(FIXTURE_SQL["fx_matches"].encode())
+    h.update(extra.encode())
     h.update(LAYER_VERSION.encode())
     return h.hexdigest()[:16]
 
