@@ -40,17 +40,27 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named in ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared (distributed) folder and is left
-    untouched. Only when it is unset (local tests) a fresh scratch folder is
-    created and set.
+    On a cluster this setting names a shared (distributed) folder and is only
+    read. Only when it is unset (local tests) a fresh scratch folder is
+    created and used for this session.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
+    if _LOCAL.get("dir"):
+        return _LOCAL["dir"]
     local = tempfile.mkdtemp(prefix="scoreline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # noqa: BLE001 - core confs may be read-only at run time
+        pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(local)
+    _LOCAL["dir"] = local
     return local
+
+
+_LOCAL: dict[str, str] = {}
