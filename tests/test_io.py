@@ -101,3 +101,18 @@ def test_sources_union(spark):
     assert u.columns[:3] == ["nation", "player_nationality", "player"]
     r = {x.nation: x for x in u.collect()}
     assert r["Argentina"].player_nationality == "ARG" and r["England"].player_nationality is None
+
+
+def test_seed_csv_with_odd_column_name(spark, tmp_out):
+    from scoreline.operators.cleaning import stage_players
+    p = os.path.join(tmp_out, "squads.csv")
+    with open(p, "w") as f:
+        f.write("nation,player,pos,age,mp,gls,ast,90s\nBrazil,Alisson,GK,31-200,5,0,0,4.5\n"
+                "Brazil,Raphinha,FW,27-10,x,3,2,\n")
+    squads = read_csv(spark, p, "nation string, player string, pos string, age string, mp string, "
+                                "gls double, ast double, `90s` double")
+    market = spark.createDataFrame([("Brazil", "alisson", 30.0)], "nation string, player_name string, "
+                                                                   "market_value_eur_m double")
+    r = {x.player_name: x for x in stage_players(squads, market).collect()}
+    assert r["Alisson"].minutes_90s == 4.5 and r["Alisson"].market_value_eur_m == 30.0
+    assert r["Raphinha"].matches_played is None and r["Raphinha"].minutes_90s is None

@@ -24,3 +24,35 @@ def test_lookup_coverage_and_case_fan_out(spark):
     df = spark.createDataFrame([("Brazil",), ("Fiji",), ("Fiji",), (None,)], "n string")
     r = lookup_coverage(df, "n", dim, "key", "conf").first()
     assert (r.keys, r.unmapped_keys) == (2, 1)
+
+
+def test_lookup_join_defaults_and_fan_out(spark):
+    from pyspark.sql import functions as F
+
+    from scoreline.operators.analytics import filter_in
+    from scoreline.sources.dims import lookup
+    dim = dim_frame(spark, {"Brazil": "CONMEBOL", "Chile": "CONMEBOL"})
+    df = spark.createDataFrame([("Brazil",), ("Fiji",)], "n string")
+    r = {x.n: x.c for x in lookup(df, "n", dim, "c", default="Outro").collect()}
+    assert r == {"Brazil": "CONMEBOL", "Fiji": "Outro"}
+    r = {x.n: x.c for x in lookup(df, "n", dim, "c", default=F.col("n")).collect()}
+    assert r == {"Brazil": "CONMEBOL", "Fiji": "Fiji"}
+    # a case-insensitive key over two spellings fans out (the mart's unique test guards it)
+    two = dim_frame(spark, {"Brazil": "x", "BRAZIL": "y"}).select(F.lower("key").alias("key"), "value")
+    assert lookup(df, F.lower("n"), two, "c", bounded=False).where("n = 'Brazil'").count() == 2
+    assert filter_in(df, "n", []).count() == 2 and filter_in(df, "n", ["Fiji"]).count() == 1
+
+
+def test_entry_in_fresh_process():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "import __spark_entry__ as E\n"
+            "print(E.entry(s).count())\n") % root
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.strip().splitlines()[-1] == "25"
