@@ -8,6 +8,9 @@ executor is lost.
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,31 +152,50 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     if path is None:
         from ..session import ensure_checkpoint_dir
-        import uuid
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mat-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def _fs_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _fs_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
     return bool(fs.exists(p))
 
 
+_BUILD_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
 def stored_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     """A layer table built once and reused (the medallion pattern: bronze /
     silver tables are materialised, later layers read them).
 
     The table lives under the shared checkpoint folder in
     ``{dir}/layers/{name}-{key}``; ``key`` must change whenever the inputs or
-    the building code change. A table is reused only if its job committed
-    (``_SUCCESS`` present); otherwise ``build()`` runs and overwrites it.
-    Written files survive executor loss and cut the lineage.
+    the building code change. It is reused only if its write job committed
+    (``_SUCCESS`` present). A build writes to a fresh temporary folder and
+    renames it into place, so concurrent builders never mix files: the first
+    rename wins and the others read the winner's table. Written files survive
+    executor loss and cut the lineage.
     """
     from ..session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layers/{name}-{key}"
-    if not _fs_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+    with _LOCKS_GUARD:
+        lock = _BUILD_LOCKS.setdefault(path, threading.Lock())
+    with lock:
+        if not _fs_exists(spark, f"{path}/_SUCCESS"):
+            tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+            build().write.mode("overwrite").parquet(tmp)
+            fs, dst = _fs(spark, path)
+            _, src = _fs(spark, tmp)
+            if fs.exists(dst) and not fs.exists(_fs(spark, f"{path}/_SUCCESS")[1]):
+                fs.delete(dst, True)  # an unfinished earlier build
+            if not fs.rename(src, dst):
+                fs.delete(src, True)  # another builder won the rename
     return spark.read.parquet(path)

@@ -116,3 +116,18 @@ def test_seed_csv_with_odd_column_name(spark, tmp_out):
     r = {x.player_name: x for x in stage_players(squads, market).collect()}
     assert r["Alisson"].minutes_90s == 4.5 and r["Alisson"].market_value_eur_m == 30.0
     assert r["Raphinha"].matches_played is None and r["Raphinha"].minutes_90s is None
+
+
+def test_stored_table_concurrent_builders(spark):
+    import threading
+    key = f"conc-{os.getpid()}-{id(spark)}"
+    out = []
+
+    def run():
+        out.append(stored_table(spark, "c", key, lambda: spark.range(7)).count())
+    ts = [threading.Thread(target=run) for _ in range(3)]
+    for t in ts:
+        t.start()
+    for t in ts:
+        t.join()
+    assert out == [7, 7, 7]
