@@ -127,7 +127,10 @@ def q_team_matches(spark, sf):
     # Bound parameter marker, as the reference's page query; the predicate is
     # an OR of two equalities that Spark pushes into the parquet scan as far
     # as the stand-in view allows.
+    # The sort ends with tie-break columns so that range partitioning can
+    # split an (edition, stage) holding many rows across tasks.
     return spark.sql(
         "SELECT * FROM {m} WHERE home_team = :t OR away_team = :t "
-        "ORDER BY edition_year ASC NULLS LAST, stage ASC NULLS LAST",
+        "ORDER BY edition_year ASC NULLS LAST, stage ASC NULLS LAST, home_team, away_team, "
+        "home_goals, away_goals",
         args={"t": FOCUS_TEAM}, m=staged(spark, sf))
