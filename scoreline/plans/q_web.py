@@ -10,7 +10,7 @@ from ..functions import ellipsis, flag_emoji, flag_url, initials, upgrade_thumbn
 from ..operators.analytics import top_per_group
 from ..operators.facts import team_names
 from ..operators.photos import merge_cache, names_to_fetch, with_photo
-from ..sources.dims import HIGHLIGHT_STAGES_PT, NATION_ISO2, STAGE_PT, map_expr, values_sql
+from ..sources.dims import HIGHLIGHT_STAGES_PT, NATION_ISO2, SQUAD_NATIONS, STAGE_PT, map_expr, values_sql
 from ..sources.fixtures import fixture
 from ..sources.html import html_links
 from .oracle import ALL_TEAMS, MART_NATIONS, MART_PLAYERS, MATCH_FX, NATION_FX, PLAYER_FX, STG_MATCHES, STG_NATIONS, STG_PLAYERS
@@ -156,8 +156,11 @@ def q_label_lookup(spark, sf):
                     F.coalesce(pt.isin(*HIGHLIGHT_STAGES_PT), F.lit(False)).alias("is_highlight"))
 
 
-@register("membership_flag", osql(MATCH_FX + ["fx_countries"], [STG_MATCHES], """
-SELECT n.nation, q.country_name IS NOT NULL AS is_qualified
+_SQUADS = "[" + ", ".join(f"'{n}'" for n in SQUAD_NATIONS) + "]"
+
+
+@register("membership_flag", osql(MATCH_FX + ["fx_countries"], [STG_MATCHES], f"""
+SELECT n.nation, q.country_name IS NOT NULL AS is_qualified, list_contains({_SQUADS}, n.nation) AS has_squad
 FROM (SELECT home_team AS nation FROM stg_matches UNION SELECT away_team FROM stg_matches) n
 LEFT JOIN (SELECT DISTINCT country_name FROM fx_countries WHERE qualified_2026) q ON n.nation = q.country_name
 WHERE n.nation IS NOT NULL AND n.nation <> ''"""), "P32")
@@ -165,8 +168,10 @@ def q_membership_flag(spark, sf):
     n = team_names(staged(spark, sf))
     q = (spark.table("fx_countries").where(F.col("qualified_2026"))
               .select(F.col("country_name").alias("__q")).distinct())
+    squads = F.array(*[F.lit(x) for x in SQUAD_NATIONS])
     return (n.join(q, F.col("nation") == F.col("__q"), "left")
-             .select("nation", F.col("__q").isNotNull().alias("is_qualified")))
+             .select("nation", F.col("__q").isNotNull().alias("is_qualified"),
+                     F.array_contains(squads, F.col("nation")).alias("has_squad")))
 
 
 @register("qualified_nations", osql(NATION_FX, N_CTES, """
