@@ -79,16 +79,13 @@ def country_rows(features: DataFrame, qualified: DataFrame | None = None,
                            F.coalesce(p.getItem(iso_key), F.lit("")).alias("iso_a3"))
     if qualified is None:
         return rows.withColumn("qualified_2026", F.lit(False))
+    # Distinct names: the join cannot fan out. The planner broadcasts the
+    # list when it is measured small.
     q = qualified.select(F.col(qualified.columns[0]).alias("__q")).distinct()
-    return (rows.join(F.broadcast(q) if _is_literal(qualified) else q,
-                      F.col("country_name") == F.col("__q"), "left")
+    return (rows.join(q, F.col("country_name") == F.col("__q"), "left")
                 .select("country_name", "iso_a3", F.col("__q").isNotNull().alias("qualified_2026")))
 
 
-def _is_literal(df: DataFrame) -> bool:
-    return getattr(df, "_scoreline_literal", False)
-
-
 def named_features(features: DataFrame, name_key: str = "name") -> DataFrame:
     """Features that have a non-empty name (the map loader skips the rest)."""
     return features.where(F.coalesce(F.col("properties").getItem(name_key), F.lit("")) != "")
