@@ -28,7 +28,7 @@ def build_nations_mart(spark, sf):
 def nations_mart(spark, sf):
     """The gold nations mart as stored once per input folder (read by the
     ranking, map and selector queries, as the reference's pages read it)."""
-    from ..sources.fixtures import FIXTURE_SQL, bronze_matches, layer_key
+    from ..sources.fixtures import FIXTURE_SQL, layer_key
     from ..sources.io import stored_table
     staged(spark, sf)
     key = layer_key(spark, sf, ("lineitem", "orders", "customer", "supplier", "nation", "region"),
