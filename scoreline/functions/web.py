@@ -58,3 +58,10 @@ def json_get(c, path: str, default: str = "") -> Column:
     """Nested JSON field as text with a default when the document, the path or
     the value is missing (``get_json_object`` returns NULL for those)."""
     return F.coalesce(F.get_json_object(col_(c), path), F.lit(default))
+
+
+def flag_url_alt(iso, base: str = "https://hatscripts.github.io/circle-flags/flags") -> Column:
+    """Fallback flag image: '{base}/{base iso code}.svg', or '' without a code."""
+    i = col_(iso)
+    return F.when(i.isNull() | (i == ""), F.lit("")) \
+            .otherwise(F.concat(F.lit(base.rstrip("/") + "/"), iso_base(i), F.lit(".svg")))

@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ellipsis, flag_emoji, flag_url, initials, upgrade_thumbnail, wiki_slug
+from ..functions import (ellipsis, flag_emoji, flag_url, flag_url_alt, initials, upgrade_thumbnail,
+                         wiki_slug)
 from ..operators.analytics import top_per_group
 from ..operators.facts import team_names
 from ..operators.photos import merge_cache, names_to_fetch, with_photo
@@ -107,6 +108,9 @@ def q_player_photos(spark, sf):
 SELECT t.nation, t.iso_a3,
        CASE WHEN t.iso_a3 IS NULL OR t.iso_a3 = '' THEN '' ELSE concat('https://flagcdn.com/w40/', lower(t.iso_a3), '.png') END AS flag_url,
        translate(lower(split_part(t.iso_a3, '-', 1)), 'abcdefghijklmnopqrstuvwxyz', '{_REGIONAL}') AS flag_emoji,
+       CASE WHEN t.iso_a3 IS NULL OR t.iso_a3 = '' THEN ''
+            ELSE concat('https://hatscripts.github.io/circle-flags/flags/', lower(split_part(t.iso_a3, '-', 1)), '.svg')
+       END AS flag_url_alt,
        CASE WHEN i.iso2 IS NULL OR i.iso2 = '' THEN '' ELSE concat('https://flagcdn.com/w40/', lower(i.iso2), '.png') END AS iso2_flag_url
 FROM (SELECT n.nation, c.iso_a3
       FROM (SELECT home_team AS nation FROM stg_matches UNION SELECT away_team FROM stg_matches) n
@@ -119,7 +123,8 @@ def q_flag_columns(spark, sf):
     j = n.join(c, F.lower(F.col("nation")) == F.col("__k"), "left")
     iso2 = map_expr(NATION_ISO2, "nation")
     return j.select("nation", "iso_a3", flag_url("iso_a3").alias("flag_url"),
-                    flag_emoji("iso_a3").alias("flag_emoji"), flag_url(iso2).alias("iso2_flag_url"))
+                    flag_emoji("iso_a3").alias("flag_emoji"), flag_url_alt("iso_a3").alias("flag_url_alt"),
+                    flag_url(iso2).alias("iso2_flag_url"))
 
 
 @register("display_text", osql(PLAYER_FX, P_CTES, """
