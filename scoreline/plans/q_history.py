@@ -167,12 +167,12 @@ FROM (SELECT home_team AS nation FROM stg_matches UNION SELECT away_team FROM st
 WHERE nation IS NOT NULL AND nation <> ''
 ORDER BY COALESCE(pref_rank, 1000000), nation"""), "J8 K14")
 def q_semi_anti_pref(spark, sf):
+    # preferred ∩ available and available ∖ preferred in one pass: a left join
+    # of the available names with the literal preference list (unique keys,
+    # size fixed by the code, so broadcast) marks both sets at once.
     names = team_names(staged(spark, sf))
     pref = F.broadcast(spark.createDataFrame([(n, i + 1) for i, n in enumerate(POPULAR_NATIONS)],
                                              "nation string, pref_rank int"))
-    available = pref.join(names, "nation", "left_semi").withColumn("is_preferred", F.lit(True))
-    others = (names.join(pref, "nation", "left_anti")
-                   .select("nation", F.lit(None).cast("int").alias("pref_rank"),
-                           F.lit(False).alias("is_preferred")))
-    return (available.unionByName(others)
-                     .orderBy(F.coalesce(F.col("pref_rank"), F.lit(1_000_000)), "nation"))
+    return (names.join(pref, "nation", "left")
+                 .select("nation", "pref_rank", F.col("pref_rank").isNotNull().alias("is_preferred"))
+                 .orderBy(F.coalesce(F.col("pref_rank"), F.lit(1_000_000)), "nation"))
