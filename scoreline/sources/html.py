@@ -206,3 +206,22 @@ def market_value_rows(rows: DataFrame, nation: str, table_class: str = "items",
         strip_all(F.element_at(c, age_idx + 1)).alias("age"),
         parse_money(strip_all(F.element_at(c, -1))).alias("market_value_eur_m"),
     )
+
+
+def html_table_frame(rows: DataFrame, table_id: str, columns: list[str]) -> DataFrame:
+    """Body rows of the table with id ``table_id`` as a frame with declared
+    columns: cell i becomes ``columns[i]`` (header text normalised: whitespace
+    runs -> '_', lower case); missing cells are NULL. Header rows (in
+    <thead>, or repeating the header text) are dropped. Pages without that
+    table give no rows. Columns are declared, not inferred from the page, so
+    the plan's schema is fixed before any page is read."""
+    from pyspark.sql import functions as F
+    from ..functions.text import normalize_header_ws
+
+    names = [normalize_header_ws(c) for c in columns]
+    body = rows.where((F.col("table_id") == table_id)
+                      & (F.coalesce(F.col("section"), F.lit("tbody")) != "thead"))
+    first = F.element_at(F.col("cells"), 1)
+    body = body.where(~F.coalesce(first == F.lit(columns[0]), F.lit(False)))
+    return body.select("page_id", "row_no",
+                       *[F.try_element_at(F.col("cells"), F.lit(i + 1)).alias(n) for i, n in enumerate(names)])

@@ -41,3 +41,20 @@ def test_html_frames(spark):
     assert set(mv) == {"Lionel Messi"}  # empty name and short rows dropped
     assert mv["Lionel Messi"].market_value_eur_m == 30.0 and mv["Lionel Messi"].position == "RW"
     assert html_links(pages).count() == 1
+
+
+def test_html_table_frame_with_source_column(spark):
+    from scoreline.sources.html import html_table_frame
+    from scoreline.sources.io import with_source
+    page = ("<table id='stats_standard'><thead><tr><th>Player</th><th>Nation</th><th>Pos</th></tr></thead>"
+            "<tbody><tr><td>Alisson</td><td>BRA</td><td>GK</td></tr>"
+            "<tr><td>Player</td><td>Nation</td><td>Pos</td></tr>"
+            "<tr><td>Endrick</td><td>BRA</td></tr></tbody></table>")
+    pages = spark.createDataFrame([(1, page), (2, "<p>no table</p>")], "page_id long, html string")
+    t = html_table_frame(html_table_rows(pages), "stats_standard", ["Player", "Nation", " Pos "])
+    assert t.columns == ["page_id", "row_no", "player", "nation", "pos"]
+    t = with_source(t.drop("page_id", "row_no"), "Brazil")
+    rows = {r.player: r for r in t.collect()}
+    assert set(rows) == {"Alisson", "Endrick"}  # repeated header row dropped
+    assert rows["Alisson"].nation == "Brazil" and rows["Alisson"].player_nationality == "BRA"
+    assert rows["Endrick"].pos is None
