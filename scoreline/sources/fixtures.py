@@ -22,6 +22,24 @@ from .tables import read_table, register_tables
 # Bump when the rows of a stored layer table would change.
 LAYER_VERSION = "2"
 
+
+def _code_digest() -> str:
+    """Digest of the package source: any code change gives new layer keys, so
+    a stored table is never served by code that would build it differently."""
+    import hashlib
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for d, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(d, f), "rb") as fh:
+                    h.update(f.encode() + b"\0" + fh.read())
+    return h.hexdigest()
+
+
+CODE_DIGEST = _code_digest()
+
 FIXTURE_SQL: dict[str, str] = {
     "fx_matches": """
 SELECT l_orderkey AS match_order, l_linenumber AS match_line,
@@ -150,6 +168,7 @@ def layer_key(spark: SparkSession, sf_dir: str,
     h.update(FIXTURE_SQL["fx_matches"].encode())
     h.update(extra.encode())
     h.update(LAYER_VERSION.encode())
+    h.update(CODE_DIGEST.encode())
     return h.hexdigest()[:16]
 
 
