@@ -177,20 +177,27 @@ def plot_frame(players: DataFrame) -> DataFrame:
                    .na.fill({"goals": 0.0, "assists": 0.0, "matches_played": 0}))
 
 
-def squad_kpis(players: DataFrame, group: str = "nation") -> DataFrame:
-    """Per group: total value (0 when none), mean age, players, top scorer
-    (most goals; ties by value desc then name) with goals and a short name.
-    One aggregation: the scorer is a ``min_by`` over a null-safe ordering key."""
+def squad_kpis(players: DataFrame, group: str = "nation", all_label: str | None = "Todas") -> DataFrame:
+    """Per group, plus one row for all groups together (``all_label``; None
+    = no such row): total value (0 when none), mean age, players, top scorer
+    (most goals; ties by group, then value desc, then name — the mart's row
+    order) with goals and a short name. One aggregation (``rollup`` adds the
+    all-groups row); the scorer is a ``min_by`` over a null-safe ordering key."""
     g, mv = F.col("goals"), F.col("market_value_eur_m")
-    key = F.struct(g.isNull().alias("gn"), (-g).alias("g"), mv.isNull().alias("mn"),
-                   (-mv).alias("m"), F.col("player_name").alias("p"))
-    agg = players.groupBy(group).agg(
+    key = F.struct(g.isNull().alias("gn"), (-g).alias("g"), F.col(group).alias("k"),
+                   mv.isNull().alias("mn"), (-mv).alias("m"), F.col("player_name").alias("p"))
+    aggs = [
         F.coalesce(F.sum(mv), F.lit(0.0)).alias("total_value_eur_m"),
         F.avg("age").alias("avg_age"),
         F.count(F.lit(1)).alias("players"),
         F.max(g).alias("__maxg"),
         F.min_by(F.struct(F.col("player_name").alias("n"), g.alias("g")), key).alias("__top"),
-    )
+    ]
+    if all_label is None:
+        agg = players.groupBy(group).agg(*aggs)
+    else:
+        agg = (players.rollup(group).agg(F.grouping(group).alias("__all"), *aggs)
+                      .withColumn(group, F.when(F.col("__all") == 1, F.lit(all_label)).otherwise(F.col(group))))
     has = F.col("__maxg").isNotNull()
     name = F.when(has, F.col("__top.n")).otherwise(F.lit("—"))
     return agg.select(

@@ -105,6 +105,9 @@ def test_squad_kpis(players):
     # tie on goals (5): higher value wins
     assert b.top_scorer == "Vinicius Junior" and b.top_scorer_goals == 5
     assert b.top_scorer_short == "Vinicius J…"
+    a = r["Todas"]  # all nations together
+    assert a.players == 6 and a.total_value_eur_m == 390.0
+    assert a.top_scorer == "Kylian Mbappé" and a.top_scorer_goals == 8
 
 
 def test_rollup_totals(players):
