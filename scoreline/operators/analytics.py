@@ -138,6 +138,15 @@ def title_years(cups: DataFrame, winner: str = "winner", year: str = "year") ->
                 .agg(F.array_sort(F.collect_list(F.col(year).cast("int"))).alias("title_years")))
 
 
+def title_years_literal(spark, mapping: dict | None = None) -> DataFrame:
+    """Title years from a literal map (nation -> years), in the same shape as
+    ``title_years``: (title_key = lower(name), sorted years)."""
+    from ..sources.dims import TITLE_YEARS
+    m = TITLE_YEARS if mapping is None else mapping
+    rows = [(k.lower(), sorted(int(y) for y in v)) for k, v in m.items()]
+    return spark.createDataFrame(rows, "title_key string, title_years array<int>")
+
+
 def with_title_flags(history: DataFrame, titles: DataFrame, team: str = "team") -> DataFrame:
     """Per-edition rows + is_title_year, n_titles, titles_str ('—' when none)."""
     j = history.join(titles, F.lower(F.col(team)) == F.col("title_key"), "left").drop("title_key")

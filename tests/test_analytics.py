@@ -57,6 +57,10 @@ def test_title_flags(spark, staged):
     assert r[("Brazil", 2002)].is_title_year and not r[("Brazil", 2006)].is_title_year
     assert r[("Brazil", 2002)].n_titles == 2 and r[("Brazil", 2002)].titles_str == "1994, 2002"
     assert r[("Turkey", 2002)].n_titles == 0 and r[("Turkey", 2002)].titles_str == "—"
+    from scoreline.operators.analytics import title_years_literal
+    lit = {(x.team, x.edition_year): x for x in with_title_flags(h, title_years_literal(spark)).collect()}
+    assert lit[("Brazil", 2002)].is_title_year and lit[("Brazil", 2002)].n_titles == 5
+    assert lit[("Germany", 2006)].n_titles == 4 and not lit[("Germany", 2006)].is_title_year
 
 
 def test_ranking_metrics_and_top_n(spark):
