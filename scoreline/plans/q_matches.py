@@ -17,7 +17,13 @@ FOCUS_TEAM = "NATION_1"
 
 
 def staged(spark, sf):
-    return stage_matches(fixture(spark, sf, "fx_matches_null"))
+    """The silver match table, stored once per input folder (the reference
+    materialises its staging model; later queries read it)."""
+    from ..sources.fixtures import FIXTURE_SQL, layer_key
+    from ..sources.io import stored_table
+    raw = fixture(spark, sf, "fx_matches_null")
+    key = layer_key(spark, sf, extra=FIXTURE_SQL["fx_matches_null"] + "stg_matches")
+    return stored_table(spark, "stg_matches", key, lambda: stage_matches(raw))
 
 
 def build_nations_mart(spark, sf):
@@ -39,7 +45,7 @@ def nations_mart(spark, sf):
 
 @register("stage_matches", osql(MATCH_FX, [STG_MATCHES], "SELECT * FROM stg_matches"), "P1-P5")
 def q_stage_matches(spark, sf):
-    return staged(spark, sf)
+    return stage_matches(fixture(spark, sf, "fx_matches_null"))
 
 
 @register("nation_stats", osql(MATCH_FX, [STG_MATCHES, ALL_TEAMS, STG_NATIONS],
