@@ -183,6 +183,10 @@ def stored_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     """
     from ..session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layers/{name}-{key}"
+    memo = (id(spark._jsparkSession), path)
+    hit = _READS.get(memo)
+    if hit is not None:
+        return hit
     with _LOCKS_GUARD:
         lock = _BUILD_LOCKS.setdefault(path, threading.Lock())
     with lock:
@@ -195,4 +199,11 @@ def stored_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
                 fs.delete(dst, True)  # an unfinished earlier build
             if not fs.rename(src, dst):
                 fs.delete(src, True)  # another builder won the rename
-    return spark.read.parquet(path)
+    # A committed layer folder is never rewritten (new content gets a new
+    # key), so its DataFrame can be reused for the rest of the session.
+    df = spark.read.parquet(path)
+    _READS[memo] = df
+    return df
+
+
+_READS: dict[tuple, DataFrame] = {}
