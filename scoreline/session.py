@@ -21,11 +21,14 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
+def build_session(master: str | None = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "scoreline", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the bench. On a cluster, use the session the
-    platform gives you; the operators never depend on these settings."""
-    b = SparkSession.builder.master(master).appName(app_name)
+    platform gives you (or pass ``master=None`` to keep the master chosen by
+    spark-submit); the operators never depend on these settings."""
+    b = SparkSession.builder.appName(app_name)
+    if master:
+        b = b.master(master)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
