@@ -59,6 +59,15 @@ def main():
              "Counts are physical nodes of the final plan after execution (AQE may turn a sort-merge join",
              "into a broadcast join once it has measured the smaller side). Stored layers are the bronze",
              "match table and the gold marts written once per input folder.", "",
+             "How to read it:",
+             "* `HashAggregate×2` under one `hashpartitioning` exchange = partial aggregation per task, then the",
+             "  final one after the shuffle (only partial rows cross the network).",
+             "* `SinglePartition` exchanges appear only above a partial global aggregate (one row per task).",
+             "* `WindowGroupLimit` = per-group top-k cut before the shuffle (at most k rows per group leave a task).",
+             "* `TakeOrderedAndProject` = global top-n (each task keeps n rows).",
+             "* `Subquery` = the one-row bounds struct (radar, histogram), computed once.",
+             "* `Generate` = the one-scan both-sides view (`inline(array(struct, struct))`).",
+             "* scans list the columns read and the filters pushed into the parquet reader.", "",
              "| query | exchanges | nodes | scans | sec |", "|---|---|---|---|---|"]
     for name, build in E.queries().items():
         df = build(spark, sf)
