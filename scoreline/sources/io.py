@@ -98,14 +98,21 @@ def write_features(features: DataFrame, path: str) -> None:
             .write.mode("overwrite").json(path)
 
 
-def read_kv_json(spark: SparkSession, path: str, key: str = "name", value: str = "url") -> DataFrame:
-    """A JSON object file {key: value, ...} -> (key, value) rows. A missing or
-    corrupt file gives an empty cache instead of an error."""
+def read_kv_json(spark: SparkSession, path: str, key: str = "name", value: str = "url",
+                 fmt: str = "object") -> DataFrame:
+    """A key-value cache -> (key, value) rows. ``fmt="object"``: one JSON
+    object {key: value, ...} per file (the reference's cache file);
+    ``fmt="lines"``: one {"name": ..., "url": ...} per line (what
+    ``write_kv_json`` writes). A missing or corrupt file gives an empty cache
+    instead of an error."""
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(value, T.StringType())])
     try:
-        txt = spark.read.option("wholetext", True).text(path)
-        m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.StringType()))
-        out = txt.select(F.explode(m).alias(key, value))
+        if fmt == "lines":
+            out = spark.read.schema(schema).json(path).where(F.col(key).isNotNull())
+        else:
+            txt = spark.read.option("wholetext", True).text(path)
+            m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.StringType()))
+            out = txt.select(F.explode(m).alias(key, value))
         out.schema  # noqa: B018 - resolves the path now
         return out
     except Exception:  # noqa: BLE001
@@ -113,7 +120,9 @@ def read_kv_json(spark: SparkSession, path: str, key: str = "name", value: str =
 
 
 def write_kv_json(df: DataFrame, path: str, key: str = "name", value: str = "url") -> None:
-    """(key, value) rows -> JSON lines {"name":..., "url":...}; overwrite."""
+    """(key, value) rows -> JSON lines {"name": ..., "url": ...}; overwrite.
+    One line per entry, written by every task in parallel (a single JSON
+    object would have to be assembled in one task)."""
     df.select(key, value).write.mode("overwrite").json(path)
 
 
