@@ -62,9 +62,13 @@ GEO_SCHEMA = T.StructType([
 ])
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON FeatureCollection file(s) -> one row per feature with its
-    properties map and geometry kept as JSON text."""
+def read_features(spark: SparkSession, path: str, fmt: str = "collection") -> DataFrame:
+    """GeoJSON -> one row per feature with its properties map and geometry
+    kept as JSON text. ``fmt="collection"``: FeatureCollection file(s);
+    ``fmt="lines"``: one feature per line (what ``write_features`` writes)."""
+    if fmt == "lines":
+        feature = GEO_SCHEMA["features"].dataType.elementType
+        return spark.read.schema(feature).json(path).select("properties", "geometry")
     raw = spark.read.schema(GEO_SCHEMA).option("multiLine", True).json(path)
     return raw.select(F.explode("features").alias("f")).select(
         F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geometry"))

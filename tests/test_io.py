@@ -43,6 +43,8 @@ def test_geojson_roundtrip(spark, tmp_out):
     write_features(named_features(feats).where(F.col("properties")["name"] == "Brazil"), out)
     back = spark.read.json(out)
     assert back.count() == 1 and back.first().type == "Feature"
+    again = read_features(spark, out, fmt="lines").first()
+    assert again.properties["name"] == "Brazil" and again.properties["ISO3166-1-Alpha-3"] == "BRA"
 
 
 def test_kv_cache_read_merge_write(spark, tmp_out):
