@@ -43,9 +43,12 @@ class _TableParser(HTMLParser):
             return
         elif tag == "tr":
             t = self.stack[-1]
+            self._close_cell(t)  # an unclosed cell / row ends where the next row starts
+            self._close_row(t)
             t["row"] = {"cells": [], "classes": [], "section": t["section"]}
         elif tag in ("td", "th"):
             t = self.stack[-1]
+            self._close_cell(t)  # an unclosed cell ends where the next one starts
             if t["row"] is None:
                 t["row"] = {"cells": [], "classes": [], "section": t["section"]}
             self.cell = []

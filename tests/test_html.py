@@ -58,3 +58,13 @@ def test_html_table_frame_with_source_column(spark):
     assert set(rows) == {"Alisson", "Endrick"}  # repeated header row dropped
     assert rows["Alisson"].nation == "Brazil" and rows["Alisson"].player_nationality == "BRA"
     assert rows["Endrick"].pos is None
+
+
+def test_malformed_markup():
+    page = ("<table id='t'><tr><td>a<td>b</tr><tr><td>c</td><td>d"  # unclosed cells and row
+            "</table></table><p>after</p>"                           # stray close tag
+            "<table id='u'><tr><td>x</td>")                          # truncated page
+    rows = parse_table_rows(page)
+    t = [r[5] for r in rows if r[0] == "t"]
+    assert t == [["a", "b"], ["c", "d"]]
+    assert [r[5] for r in rows if r[0] == "u"] == [["x"]]
