@@ -110,6 +110,8 @@ class _LinkParser(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag == "a":
+            if self.cur is not None:  # an unclosed link ends where the next one starts
+                self.handle_endtag("a")
             self.cur, self.href = [], dict(attrs).get("href")
 
     def handle_endtag(self, tag):
@@ -121,6 +123,11 @@ class _LinkParser(HTMLParser):
         if self.cur is not None:
             self.cur.append(data)
 
+    def close(self):
+        super().close()
+        if self.cur is not None:  # truncated page: keep the last, unclosed link
+            self.handle_endtag("a")
+
 
 TABLE_ROWS_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),

@@ -31,6 +31,7 @@ def test_parse_table_rows_pure_python():
 
 def test_parse_links():
     assert parse_links(PAGE) == [("/a?x=1&y=2", "A & B")]
+    assert parse_links("<a href='/1'>one<a href='/2'>two</a><a>three") == [("/1", "one"), ("/2", "two"), (None, "three")]
 
 
 def test_html_frames(spark):
