@@ -50,3 +50,14 @@ def test_query_matches_oracle(spark, duck, name):
     idx = [ocols.index(c) for c in cols]
     want = sorted(repr(tuple(_norm(r[i]) for i in idx)) for r in cur.fetchall())
     assert got == want
+
+
+def test_switching_input_folders_in_one_session(spark):
+    q = E.queries()
+    small = q["nation_stats"](spark, SF_SMALL).agg({"total_matches": "sum"}).first()[0]
+    big = q["nation_stats"](spark, "/root/testdata/sf0.01").agg({"total_matches": "sum"}).first()[0]
+    again = q["nation_stats"](spark, SF_SMALL).agg({"total_matches": "sum"}).first()[0]
+    assert small == again and big > 5 * small
+    p_small = q["players_profile"](spark, SF_SMALL).count()
+    p_big = q["radar_scores"](spark, "/root/testdata/sf0.01").count()
+    assert (p_small, p_big) == (150, 1500)
