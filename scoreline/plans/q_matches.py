@@ -19,11 +19,12 @@ FOCUS_TEAM = "NATION_1"
 def staged(spark, sf):
     """The silver match table, stored once per input folder (the reference
     materialises its staging model; later queries read it)."""
-    from ..sources.fixtures import FIXTURE_SQL, layer_key
+    from ..sources.fixtures import FIXTURE_SQL, MATCH_TABLES, layer_files, layer_key
     from ..sources.io import stored_table
     raw = fixture(spark, sf, "fx_matches_null")
     key = layer_key(spark, sf, extra=FIXTURE_SQL["fx_matches_null"] + "stg_matches")
-    return stored_table(spark, "stg_matches", key, lambda: stage_matches(raw))
+    return stored_table(spark, "stg_matches", key, lambda: stage_matches(raw),
+                        min_files=layer_files(spark, sf, MATCH_TABLES))
 
 
 def build_nations_mart(spark, sf):

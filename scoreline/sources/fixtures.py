@@ -172,11 +172,39 @@ def layer_key(spark: SparkSession, sf_dir: str,
     return h.hexdigest()[:16]
 
 
+# Layers whose inputs total less than this are spread over the default
+# parallelism when stored (cheap at that size, and scans then run in parallel).
+SMALL_LAYER_BYTES = 1 << 30
+
+
+def input_bytes(spark: SparkSession, sf_dir: str, tables) -> int:
+    """Total size of the input tables' files (Hadoop file system listing)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for t in tables:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        total += int(p.getFileSystem(conf).getContentSummary(p).getLength())
+    return total
+
+
+def layer_files(spark: SparkSession, sf_dir: str, tables) -> int | None:
+    """Files to spread a stored layer over: the default parallelism for small
+    inputs, None (keep the natural partitioning) for large ones."""
+    if input_bytes(spark, sf_dir, tables) < SMALL_LAYER_BYTES:
+        return spark.sparkContext.defaultParallelism
+    return None
+
+
+MATCH_TABLES = ("lineitem", "orders", "customer", "supplier", "nation")
+
+
 def bronze_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fx_matches`` materialised once per input folder (the bronze match
     table); every match query reads this table instead of re-running the
     five-way join."""
-    return stored_table(spark, "bronze_matches", layer_key(spark, sf_dir), lambda: matches_frame(spark, sf_dir))
+    return stored_table(spark, "bronze_matches", layer_key(spark, sf_dir), lambda: matches_frame(spark, sf_dir),
+                        min_files=layer_files(spark, sf_dir, MATCH_TABLES))
 
 
 # Input folder whose views are currently registered, per session.

@@ -182,7 +182,7 @@ _BUILD_LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
 
 
-def stored_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
+def stored_table(spark: SparkSession, name: str, key: str, build, min_files: int | None = None) -> DataFrame:
     """A layer table built once and reused (the medallion pattern: bronze /
     silver tables are materialised, later layers read them).
 
@@ -192,7 +192,10 @@ def stored_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     (``_SUCCESS`` present). A build writes to a fresh temporary folder and
     renames it into place, so concurrent builders never mix files: the first
     rename wins and the others read the winner's table. Written files survive
-    executor loss and cut the lineage.
+    executor loss and cut the lineage. ``min_files``: spread a small table
+    over that many files (a round-robin repartition before the write) so
+    later scans run in parallel; callers pass it only for inputs measured
+    small, large tables keep the partitioning of their last stage.
     """
     from ..session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layers/{name}-{key}"
@@ -205,7 +208,10 @@ def stored_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     with lock:
         if not _fs_exists(spark, f"{path}/_SUCCESS"):
             tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-            build().write.mode("overwrite").parquet(tmp)
+            df = build()
+            if min_files:
+                df = df.repartition(min_files)
+            df.write.mode("overwrite").parquet(tmp)
             fs, dst = _fs(spark, path)
             _, src = _fs(spark, tmp)
             if fs.exists(dst) and not fs.exists(_fs(spark, f"{path}/_SUCCESS")[1]):
