@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import percent_encode, upgrade_thumbnail, wiki_slug
+from ..functions import upgrade_thumbnail, wiki_slug
 
 
 def names_to_fetch(names: DataFrame, cache: DataFrame, overrides: DataFrame,
@@ -43,8 +43,3 @@ def with_photo(players: DataFrame, cache: DataFrame, name: str = "player_name")
     j = players.join(c, F.col(name) == F.col("__pname"), "left")
     return j.withColumn("photo_url", F.coalesce(upgrade_thumbnail(F.col("__purl")), F.lit(""))) \
             .drop("__pname", "__purl")
-
-
-def summary_urls(slug_col, api: str = "https://en.wikipedia.org/api/rest_v1/page/summary") -> F.Column:
-    """Lookup URL of a slug (the slug percent-encoded, '_' kept)."""
-    return F.concat(F.lit(api.rstrip("/") + "/"), percent_encode(slug_col))

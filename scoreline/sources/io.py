@@ -156,17 +156,6 @@ def table_or_fallback(spark: SparkSession, path: str, fallback, fmt: str = "parq
     return fallback()
 
 
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Cut lineage: write ``df`` under the shared checkpoint folder (or
-    ``path``) and read it back. Survives executor loss, unlike a local cache."""
-    spark = df.sparkSession
-    if path is None:
-        from ..session import ensure_checkpoint_dir
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mat-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
