@@ -78,3 +78,22 @@ def test_radar_scores_in_range(spark, rows):
         for c in ("score_g90", "score_a90", "score_matches", "score_value", "score_youth"):
             v = getattr(r, c)
             assert 3.0 <= v <= 100.0 or v == 50.0
+
+
+@settings(max_examples=10, deadline=None)
+@given(matches(with_nulls=True))
+def test_head_to_head_and_history_add_up_to_all_time(spark, rows):
+    m = stage_matches(spark.createDataFrame(rows, SCHEMA))
+    stats = {r.nation: r for r in nation_stats(m).collect()}
+    h2h = {}
+    for r in head_to_head(m).collect():
+        g, gf = h2h.get(r.team, (0, 0))
+        h2h[r.team] = (g + r.games, gf + r.goals_for)
+    hist = {}
+    for r in edition_history_goals(m).collect():
+        g, e = hist.get(r.team, (0, set()))
+        hist[r.team] = (g + r.games, e | {r.edition_year})
+    for team, s in stats.items():
+        assert h2h[team][0] == s.total_matches and hist[team][0] == s.total_matches
+        assert h2h[team][1] == (s.total_goals_for or 0)
+        assert len(hist[team][1]) == s.editions_played
