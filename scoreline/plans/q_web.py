@@ -31,7 +31,7 @@ SELECT nation, list_sort(list(player)) AS top_players FROM (
 WHERE rn <= 4 GROUP BY nation""")], """
 SELECT f.country_name, f.iso_a3, f.qualified_2026,
        COALESCE(m.world_cup_titles, 0) AS titles, COALESCE(m.editions_played, 0) AS editions,
-       COALESCE(p.top_players, []::VARCHAR[]) AS top_players,
+       COALESCE(array_to_string(p.top_players, ', '), '') AS top_players,
        CASE WHEN COALESCE(m.world_cup_titles, 0) > 0 THEN trim(repeat('🏆 ', CAST(m.world_cup_titles AS INTEGER)))
             ELSE '—' END AS trophy_str
 FROM fx_countries f
@@ -52,7 +52,8 @@ def q_features_lookup(spark, sf):
         "country_name", "iso_a3", "qualified_2026",
         titles.alias("titles"),
         F.coalesce(F.col("editions_played"), F.lit(0)).alias("editions"),
-        F.coalesce(F.col("top_players"), F.array().cast("array<string>")).alias("top_players"),
+        # the first four names, in order, as one text (as the page lists them)
+        F.coalesce(F.array_join("top_players", ", "), F.lit("")).alias("top_players"),
         F.when(titles > 0, F.trim(F.repeat(F.lit("🏆 "), titles.cast("int")))).otherwise(F.lit("—")).alias("trophy_str"),
     )
 
