@@ -33,6 +33,16 @@ def pct1(num, den) -> Column:
     return F.round(col_(num).cast("double") / F.nullif(col_(den), F.lit(0)) * 100, 1)
 
 
+def pct1_float32(num, den) -> Column:
+    """ROUND(num::FLOAT / NULLIF(den, 0) * 100, 1) with 32-bit float steps, as
+    the reference's mart computes it: each step is done in double and rounded
+    to float (exact for one division or one product of small operands), the
+    result is a FloatType."""
+    q = (col_(num).cast("double") / F.nullif(col_(den), F.lit(0)).cast("double")).cast("float")
+    p = (q.cast("double") * 100).cast("float")
+    return F.round(p, 1)
+
+
 def round_half_even(c, scale: int) -> Column:
     """pandas ``Series.round`` (half to even)."""
     return F.bround(col_(c), scale)

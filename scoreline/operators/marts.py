@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import pct1
+from ..functions import pct1, pct1_float32
 from ..sources.dims import POSITION_GROUPS
 from .facts import both_sides
 
@@ -44,7 +44,7 @@ def titles_per_winner(cups: DataFrame, winner="winner") -> DataFrame:
 
 def nations_performance(stats: DataFrame, cups: DataFrame, countries: DataFrame,
                         winner="winner", country="country_name", iso="iso_a3",
-                        qualified="qualified_2026") -> DataFrame:
+                        qualified="qualified_2026", float32: bool = False) -> DataFrame:
     """stats LEFT JOIN titles LEFT JOIN countries, both on lower(name).
 
     Titles and countries are small derived tables (one row per edition winner /
@@ -52,6 +52,8 @@ def nations_performance(stats: DataFrame, cups: DataFrame, countries: DataFrame,
     the threshold (AQE re-plans from the actual shuffle size) and falls back
     to a sort-merge join otherwise. Names are matched case-insensitively
     without aliases, so different spellings do not match (reference rule).
+    ``float32=True`` computes win_pct with the reference's 32-bit float steps
+    (FloatType); the default is double precision.
     """
     t = titles_per_winner(cups, winner).select(F.lower("nation").alias("__tkey"), "titles")
     g = countries.select(F.lower(country).alias("__gkey"), F.col(iso).alias("iso_a3"),
@@ -64,7 +66,7 @@ def nations_performance(stats: DataFrame, cups: DataFrame, countries: DataFrame,
         F.coalesce(F.col("titles"), F.lit(0)).alias("world_cup_titles"),
         F.col("iso_a3"),
         F.coalesce(F.col("__q"), F.lit(False)).alias("qualified_2026"),
-        pct1("wins", "total_matches").alias("win_pct"),
+        (pct1_float32 if float32 else pct1)("wins", "total_matches").alias("win_pct"),
     )
 
 
