@@ -48,22 +48,25 @@ def stage_matches(df: DataFrame, year="year", stage="stage", home="home_team_nam
 def stage_players(squads: DataFrame, market: DataFrame, nation="nation", player="player",
                   pos="pos", age="age", mp="mp", gls="gls", ast="ast", m90="90s",
                   m_nation="nation", m_player="player_name",
-                  m_value="market_value_eur_m") -> DataFrame:
+                  m_value="market_value_eur_m", float32: bool = False) -> DataFrame:
     """Squad rows LEFT JOIN market values on (nation, lower(trim(name))).
 
     Numeric text is cast leniently (bad values -> NULL); age is the integer
     part before '-' of a 'YY-DDD' text. Join keys are computed once as
     columns so the sort-merge / hash join compares plain strings.
+    ``float32=True`` types goals, assists and minutes as 32-bit floats, as the
+    reference's staging does; the default is double precision.
     """
+    ftype = "float" if float32 else "double"
     s = squads.select(
         F.col(nation).alias("nation"),
         F.col(player).alias("player_name"),
         F.col(pos).alias("position"),
         safe_int(F.split_part(F.col(age).cast("string"), F.lit("-"), F.lit(1))).alias("age"),
         safe_int(F.col(mp)).alias("matches_played"),
-        F.col(gls).try_cast("double").alias("goals"),
-        F.col(ast).try_cast("double").alias("assists"),
-        F.col(f"`{m90}`").try_cast("double").alias("minutes_90s"),
+        F.col(gls).try_cast(ftype).alias("goals"),
+        F.col(ast).try_cast(ftype).alias("assists"),
+        F.col(f"`{m90}`").try_cast(ftype).alias("minutes_90s"),
         norm_key(player).alias("__pkey"),
     )
     m = market.select(F.col(m_nation).alias("__mnation"), norm_key(m_player).alias("__mkey"),

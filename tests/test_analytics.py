@@ -102,6 +102,15 @@ def test_stage_players_join_and_casts(players):
     assert r["N'Golo Kanté"].position_group == "Unknown"
 
 
+def test_stage_players_float32_option(spark):
+    s = spark.createDataFrame(SQUADS, "nation string, player string, pos string, age string, mp int, "
+                                      "gls double, ast double, `90s` double")
+    m = spark.createDataFrame(MARKET, "nation string, player_name string, market_value_eur_m double")
+    types = dict(stage_players(s, m, float32=True).dtypes)
+    assert (types["goals"], types["assists"], types["minutes_90s"]) == ("float", "float", "float")
+    assert dict(stage_players(s, m).dtypes)["goals"] == "double"
+
+
 def test_squad_kpis(players):
     r = {x.nation: x for x in squad_kpis(players).collect()}
     b = r["Brazil"]
