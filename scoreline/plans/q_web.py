@@ -11,7 +11,8 @@ from ..functions import (ellipsis, flag_emoji, flag_url, flag_url_alt, initials,
 from ..operators.analytics import top_per_group
 from ..operators.facts import team_names
 from ..operators.photos import merge_cache, names_to_fetch, with_photo
-from ..sources.dims import HIGHLIGHT_STAGES_PT, NATION_ISO2, SQUAD_NATIONS, STAGE_PT, map_expr, values_sql
+from ..sources.dims import (HIGHLIGHT_STAGES_PT, NATION_ISO2, NATION_PT, SQUAD_NATIONS, STAGE_PT, map_expr,
+                            values_sql)
 from ..sources.fixtures import fixture
 from ..sources.html import html_links
 from .oracle import ALL_TEAMS, MART_NATIONS, MART_PLAYERS, MATCH_FX, NATION_FX, PLAYER_FX, STG_MATCHES, STG_NATIONS, STG_PLAYERS
@@ -209,3 +210,20 @@ def q_json_fields(spark, sf):
     e = read_table(spark, sf, "events")
     return e.select("event_id", "event_type", json_get("props", "$.k").alias("k"),
                     json_get("props", "$.thumbnail.source").alias("thumbnail_source"))
+
+
+@register("nations_table", osql(NATION_FX, N_CTES, f"""
+SELECT m.nation, COALESCE(pt.label, m.nation) AS nacao, m.editions_played, m.wins, m.draws, m.losses,
+       m.total_goals_for, m.world_cup_titles, m.win_pct,
+       CASE WHEN i.iso2 IS NULL OR i.iso2 = '' THEN '' ELSE concat('https://flagcdn.com/w40/', lower(i.iso2), '.png') END
+         AS flag_url
+FROM mart_nations m
+LEFT JOIN {values_sql(NATION_PT, "key", "label", "pt")} ON m.nation = pt.key
+LEFT JOIN {values_sql(NATION_ISO2, "key", "iso2", "i")} ON m.nation = i.key
+ORDER BY m.world_cup_titles DESC, m.nation"""), "K11 P19 P39")
+def q_nations_table(spark, sf):
+    m = nations_mart(spark, sf)
+    return (m.select("nation", map_expr(NATION_PT, "nation", F.col("nation")).alias("nacao"),
+                     "editions_played", "wins", "draws", "losses", "total_goals_for", "world_cup_titles",
+                     "win_pct", flag_url(map_expr(NATION_ISO2, "nation")).alias("flag_url"))
+             .orderBy(F.col("world_cup_titles").desc(), "nation"))
