@@ -94,3 +94,14 @@ def test_pct1_float32_matches_duckdb_float_rounding(spark):
     for w, n, want in ref:
         g = got[(w, n)]
         assert (g is None and want is None) or np.float32(g) == np.float32(want), (w, n, g, want)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="0123456789.- ", max_size=7), min_size=1, max_size=25))
+def test_safe_int_matches_duckdb_try_cast(spark, texts):
+    import duckdb
+    con = duckdb.connect()
+    want = [con.execute("SELECT TRY_CAST(? AS INTEGER)", [t]).fetchone()[0] for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [r.r for r in df.select(safe_int("v").alias("r")).collect()]
+    assert got == want, list(zip(texts, got, want))
