@@ -105,3 +105,17 @@ def test_safe_int_matches_duckdb_try_cast(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "v string")
     got = [r.r for r in df.select(safe_int("v").alias("r")).collect()]
     assert got == want, list(zip(texts, got, want))
+
+
+def _sequential_upgrade(url):
+    for small in ("/50px-", "/80px-", "/100px-", "/150px-", "/200px-"):
+        url = url.replace(small, "/320px-")
+    return url
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="/0123458px-a", max_size=16), min_size=1, max_size=25))
+def test_thumbnail_regex_equals_sequential_replacement(spark, urls):
+    df = spark.createDataFrame([(u,) for u in urls], "v string")
+    got = [r.r for r in df.select(upgrade_thumbnail("v").alias("r")).collect()]
+    assert got == [_sequential_upgrade(u) for u in urls]
