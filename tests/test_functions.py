@@ -132,3 +132,11 @@ def test_initials_match_python_rule(spark, names):
     df = spark.createDataFrame([(n,) for n in names], "v string")
     got = [r.r for r in df.select(initials("v").alias("r")).collect()]
     assert got == [_py_initials(n) for n in names], list(zip(names, got))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="aé€🏆 ", max_size=14), min_size=1, max_size=25), st.integers(1, 12))
+def test_ellipsis_matches_python_slicing(spark, texts, n):
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [r.r for r in df.select(ellipsis("v", n).alias("r")).collect()]
+    assert got == [t[:n] + ("…" if len(t) > n else "") for t in texts]
