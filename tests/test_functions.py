@@ -140,3 +140,14 @@ def test_ellipsis_matches_python_slicing(spark, texts, n):
     df = spark.createDataFrame([(t,) for t in texts], "v string")
     got = [r.r for r in df.select(ellipsis("v", n).alias("r")).collect()]
     assert got == [t[:n] + ("…" if len(t) > n else "") for t in texts]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="ab \t\n  　 ", max_size=8), min_size=1, max_size=25))
+def test_sql_trim_matches_duckdb_trim(spark, texts):
+    import duckdb
+    con = duckdb.connect()
+    want = [con.execute("SELECT trim(?)", [t]).fetchone()[0] for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [r.r for r in df.select(sql_trim("v").alias("r")).collect()]
+    assert got == want, [(repr(t), g, w) for t, g, w in zip(texts, got, want) if g != w][:3]
