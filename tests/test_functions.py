@@ -151,3 +151,16 @@ def test_sql_trim_matches_duckdb_trim(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "v string")
     got = [r.r for r in df.select(sql_trim("v").alias("r")).collect()]
     assert got == want, [(repr(t), g, w) for t, g, w in zip(texts, got, want) if g != w][:3]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5000), st.integers(1, 700)), min_size=1, max_size=30))
+def test_rounding_matches_pandas(spark, pairs):
+    import pandas as pd
+    from scoreline.functions import round_half_even
+    df = spark.createDataFrame(pairs, "g int, n int")
+    x = F.col("g") / F.col("n")
+    rows = df.select(round2_even(x).alias("r2"), round_half_even(x * 100, 1).alias("r1")).collect()
+    s = pd.Series([g / n for g, n in pairs])
+    assert [r.r2 for r in rows] == list(s.round(2))
+    assert [r.r1 for r in rows] == list((s * 100).round(1))
