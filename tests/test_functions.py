@@ -164,3 +164,14 @@ def test_rounding_matches_pandas(spark, pairs):
     s = pd.Series([g / n for g, n in pairs])
     assert [r.r2 for r in rows] == list(s.round(2))
     assert [r.r1 for r in rows] == list((s * 100).round(1))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 800), st.integers(0, 800)), min_size=1, max_size=30))
+def test_pct1_matches_duckdb_round(spark, pairs):
+    import duckdb
+    con = duckdb.connect()
+    want = [con.execute("SELECT ROUND(CAST(? AS DOUBLE) / NULLIF(?, 0) * 100, 1)", [w, n]).fetchone()[0]
+            for w, n in pairs]
+    df = spark.createDataFrame(pairs, "w int, n int")
+    assert [r.p for r in df.select(pct1("w", "n").alias("p")).collect()] == want
