@@ -97,3 +97,14 @@ def test_head_to_head_and_history_add_up_to_all_time(spark, rows):
         assert h2h[team][0] == s.total_matches and hist[team][0] == s.total_matches
         assert h2h[team][1] == (s.total_goals_for or 0)
         assert len(hist[team][1]) == s.editions_played
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["A", "B", "", None, " C "]), st.sampled_from(["A", "D", None])),
+                min_size=1, max_size=20))
+def test_team_names_is_the_set_of_named_sides(spark, pairs):
+    from scoreline.operators.facts import team_names
+    df = spark.createDataFrame(pairs, "home_team string, away_team string")
+    got = sorted(r.nation for r in team_names(df).collect())
+    want = sorted({n for p in pairs for n in p if n})
+    assert got == want
