@@ -5,14 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .learning import fold, labelled_sample
+from .op02_mixture import document_dimensions, mix_sources, oracle_sql as mixture_sql, word_count
+from .op04_decontaminate import find_leaks
+from .op06_token_shards import read_token_shards, write_token_shards
+from .op07_toxicity import fit_grammar, score_toxicity
 from .op10_ngram_join import ngram_jaccard_join
+from .storage import fresh_path
+
+#: Labelled rows that a classifier is fitted on at most.
+FIT_ROWS = 20_000
+#: Share of all tokens that the mixture keeps.
+MIX_KEEP = 0.6
+#: Ends each document's token ids.
+END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, probability (6 decimals), sampled."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mix_sources(docs, document_dimensions(), word_count(), MIX_KEEP)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it leaks: doc_id, item_id,
+    similarity (6 decimals), start_word, end_word, distance."""
+    leaks = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", F.inline("leaks")).withColumn("similarity", F.round("similarity", 6))
+
+
+def _tokenizer() -> str:
+    """The tokenizer file, which is part of each machine's Python installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def token_ids(docs: DataFrame) -> DataFrame:
+    """Write ``docs`` as token shards and read them back: doc_id, start, n_tokens, ids_crc32."""
+    folder = fresh_path(docs.sparkSession, "tokens")
+    manifest = write_token_shards(docs, folder, _tokenizer(), END_ID)
+    return read_token_shards(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the shards written."""
+    return token_ids(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted (score >= 0.3), toxic_clauses."""
+    docs = _table(spark, sf_dir, "documents")
+    grammar = fit_grammar(labelled_sample(docs, _table(spark, sf_dir, "labels"), "toxic", 4, 2, FIT_ROWS))
+    scored = score_toxicity(docs.select("doc_id", "text"), grammar)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"), "toxic_clauses")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, similarity 0.9: doc_id, n_shingles, component_id."""
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
@@ -21,8 +76,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_source_mixture,
+        op4_benchmark_decontamination,
+        op6_token_shards,
+        op7_toxicity_grammar,
         op10_ngram_jaccard_join,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_source_mixture": mixture_sql(MIX_KEEP)}

@@ -59,9 +59,12 @@ class Words:
     """The words of a run of documents: ``starts`` and ``ends`` (byte positions),
     ``hashes``, ``doc`` (row of each word) and ``first`` (words before each row)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = (), between: np.ndarray = _SPACE):
+        """``between``: by byte, whether it separates words. ``prefixes``: lengths in
+        bytes; ``prefix_hashes`` then has, for each, a hash of the first so many bytes
+        of each word (0 for shorter words)."""
         n, rows = len(data), len(offsets) - 1
-        space = _SPACE[data]
+        space = between[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
         before = np.empty(n, dtype=bool)
@@ -82,9 +85,21 @@ class Words:
                 _POWERS[0] = np.cumprod(np.full(2 * longest, _BASE, dtype=np.uint64))
             at = np.arange(self.starts[0], n) - np.repeat(self.starts, width)
             value = _BYTE[data[self.starts[0] :]] * _POWERS[0][at]
-            self.hashes = mix(np.add.reduceat(value, self.starts - self.starts[0]))
+            if between is not _SPACE:
+                value[space[self.starts[0] :]] = 0
+            begin = self.starts - self.starts[0]
+            self.hashes = mix(np.add.reduceat(value, begin))
+            self.prefix_hashes = []
+            if prefixes:
+                total = np.zeros(len(value) + 1, np.uint64)
+                np.cumsum(value, out=total[1:])
+                wide = self.ends - self.starts
+                for size in prefixes:
+                    part = total[np.minimum(begin + size, len(value))] - total[begin]
+                    self.prefix_hashes.append(np.where(wide >= size, mix(part, size), np.uint64(0)))
         else:
             self.hashes = np.zeros(0, np.uint64)
+            self.prefix_hashes = [self.hashes for _ in prefixes]
 
     def counts(self) -> np.ndarray:
         """Words of each row."""
@@ -103,9 +118,15 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out, width)
 
 
-def word_chunks(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Words]]:
+def word_chunks(column: pa.Array, most: int = 1 << 19, **how) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Words]]:
     """(first row, end row, bytes, offsets, words) of each chunk of a text column."""
     data, offsets = text_buffers(column)
     for lo, hi in chunks(offsets, most):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        yield lo, hi, part, at, Words(part, at)
+        yield lo, hi, part, at, Words(part, at, **how)
+
+
+def word_hash(word: str, between: np.ndarray = _SPACE) -> int:
+    """The hash that ``Words`` gives to ``word``."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(Words(data, np.array([0, len(data)]), between=between).hashes[0])
