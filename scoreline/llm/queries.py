@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .learning import fold, labelled_sample
+from .op01_norm_topk import ORACLE_SQL as TOPK_SQL, integer_vectors, norm_topk
 from .op02_mixture import document_dimensions, mix_sources, oracle_sql as mixture_sql, word_count
 from .op04_decontaminate import find_leaks
 from .op06_token_shards import read_token_shards, write_token_shards
@@ -27,6 +28,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 best of each vector whose id 20 divides."""
+    return norm_topk(integer_vectors(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability (6 decimals), sampled."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -76,6 +82,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_norm_bucketed_topk,
         op2_source_mixture,
         op4_benchmark_decontamination,
         op6_token_shards,
@@ -84,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mixture": mixture_sql(MIX_KEEP)}
+ORACLE_SQL: dict[str, str] = {"op1_norm_bucketed_topk": TOPK_SQL, "op2_source_mixture": mixture_sql(MIX_KEEP)}
