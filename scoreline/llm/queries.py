@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from .learning import fold, labelled_sample
 from .op01_norm_topk import ORACLE_SQL as TOPK_SQL, integer_vectors, norm_topk
 from .op02_mixture import document_dimensions, mix_sources, oracle_sql as mixture_sql, word_count
+from .op03_quality import fit_quality, score_quality
 from .op04_decontaminate import find_leaks
 from .op06_token_shards import read_token_shards, write_token_shards
 from .op07_toxicity import fit_grammar, score_toxicity
+from .op08_language import fit_languages, identify_language
+from .op09_secrets import find_secrets
 from .op10_ngram_join import ngram_jaccard_join
 from .storage import fresh_path
 
 #: Labelled rows that a classifier is fitted on at most.
 FIT_ROWS = 20_000
+#: The same for the quality classifier, whose sample goes to one task.
+QUALITY_ROWS = 8_000
 #: Share of all tokens that the mixture keeps.
 MIX_KEEP = 0.6
 #: Ends each document's token ids.
@@ -40,6 +45,14 @@ def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op3_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted (score >= 0.7)."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", 4, 2, QUALITY_ROWS))
+    score = F.col("quality_score")
+    return score_quality(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that it leaks: doc_id, item_id,
     similarity (6 decimals), start_word, end_word, distance."""
@@ -74,6 +87,20 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"), "toxic_clauses")
 
 
+def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 3) == 1)
+    model = fit_languages(docs.where("NOT held_out"))
+    return identify_language(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied; a source is
+    an owner, its documents of one language are a repository."""
+    docs = _table(spark, sf_dir, "documents")
+    return find_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, similarity 0.9: doc_id, n_shingles, component_id."""
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
@@ -84,9 +111,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_norm_bucketed_topk,
         op2_source_mixture,
+        op3_quality_nbsvm,
         op4_benchmark_decontamination,
         op6_token_shards,
         op7_toxicity_grammar,
+        op8_language_codes,
+        op9_secret_ownership,
         op10_ngram_jaccard_join,
     )
 }
