@@ -12,6 +12,7 @@ from .op01_norm_topk import ORACLE_SQL as TOPK_SQL, integer_vectors, norm_topk
 from .op02_mixture import document_dimensions, mix_sources, oracle_sql as mixture_sql, word_count
 from .op03_quality import fit_quality, score_quality
 from .op04_decontaminate import find_leaks
+from .op05_attention_lm import fit_language_model, score_texts
 from .op06_token_shards import read_token_shards, write_token_shards
 from .op07_toxicity import fit_grammar, score_toxicity
 from .op08_language import fit_languages, identify_language
@@ -67,6 +68,13 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_language_model(docs.where(fold("doc_id", 5) != 1), _tokenizer())
+    return score_texts(docs, model).withColumn("held_out", fold("doc_id", 5) == 1)
+
+
 def token_ids(docs: DataFrame) -> DataFrame:
     """Write ``docs`` as token shards and read them back: doc_id, start, n_tokens, ids_crc32."""
     folder = fresh_path(docs.sparkSession, "tokens")
@@ -113,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_source_mixture,
         op3_quality_nbsvm,
         op4_benchmark_decontamination,
+        op5_attention_lm,
         op6_token_shards,
         op7_toxicity_grammar,
         op8_language_codes,
