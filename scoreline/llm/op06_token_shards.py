@@ -29,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pieces import PartIds, part_ids
 from .storage import saved
-from .tokens import chunks, text_buffers
+from .tokens import word_chunks
 
 FRAME_BYTES = 1 << 20
 _SKIPPABLE, _MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -116,49 +117,15 @@ class ShardReader:
         return out
 
 
-class PieceEncoder:
-    """Encodes whole texts with a tokenizer that never joins or splits across white
-    space: each distinct run of other characters is encoded once and remembered."""
-
-    def __init__(self, path: str, end_id: int, most: int = 1 << 20):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end, self.most, self.known = Tokenizer.from_file(path), end_id, most, {}
-
-    def pieces(self, words: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list(dict.fromkeys(words))
-        if new:
-            for lo in range(0, len(new), 4096):
-                part = new[lo : lo + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        return [self.known[w] for w in words]
-
-    def encode(self, column: pa.Array) -> list[np.ndarray]:
-        """Ids of each row, with the end id appended; null and empty texts have it alone."""
-        data, offsets = text_buffers(column)
-        end = np.array([self.end], np.uint32).tobytes()
-        raw, out = data.tobytes(), []
-        for lo, hi in chunks(offsets, 1 << 20):
-            split = [raw[offsets[r] : offsets[r + 1]].split() for r in range(lo, hi)]
-            flat = self.pieces([w for s in split for w in s])
-            at = 0
-            for s in split:
-                out.append(np.frombuffer(b"".join(flat[at : at + len(s)]) + end, np.uint32))
-                at += len(s)
-        return out
-
-
-_ENCODERS: dict[tuple, PieceEncoder] = {}
-
-
-def encoder(path: str, end_id: int) -> PieceEncoder:
-    """One encoder for each worker process, so that tasks share what it remembers."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = PieceEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+def encode_texts(column: pa.Array, parts: PartIds, end_id: int) -> list[np.ndarray]:
+    """Ids of each row's whole text, with the end id appended; null and empty texts have
+    it alone. The tokenizer must not join or split across white space."""
+    out = []
+    for lo, hi, data, _, words in word_chunks(column, 1 << 20):
+        ids, first = parts.ids_of(data, words)
+        ids = np.insert(ids, first[1:], end_id)
+        out += np.split(ids, first[1:-1] + np.arange(1, hi - lo))
+    return out
 
 
 def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
@@ -174,12 +141,12 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         store, root = pafs.FileSystem.from_uri(folder)
         name, writer, out, tokens, own = f"{root}/{uuid.uuid4().hex}.tok", None, None, 0, None
         for batch in batches:
-            own = own or encoder(tokenizer, end_id)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
+            own = own or part_ids(tokenizer)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1), own, end_id), strict=True):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(name)
-                    wide = max(end_id, own.tokenizer.get_vocab_size(with_added_tokens=True)) >= 1 << 16
+                    wide = max(end_id, own.vocabulary) >= 1 << 16
                     writer = ShardWriter(out, 4 if wide else 2)
                 tokens += len(ids)
                 writer.add(doc_id, ids)

@@ -55,6 +55,24 @@ def chunks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]
         lo = min(hi, n)
 
 
+def _values(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """From the first start on, each byte's value times a power for its place in its span;
+    spans reach to the next start, white space counts nothing."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    width = np.diff(starts, append=len(data))
+    longest = int(width.max())
+    if longest > len(_POWERS[0]):
+        _POWERS[0] = np.cumprod(np.full(2 * longest, _BASE, dtype=np.uint64))
+    at = np.arange(starts[0], len(data)) - np.repeat(starts, width)
+    return _BYTE[data[starts[0] :]] * _POWERS[0][at]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each span from a start to the next or to white space."""
+    return mix(np.add.reduceat(_values(data, starts), starts - starts[0])) if len(starts) else np.zeros(0, np.uint64)
+
+
 class Words:
     """The words of a run of documents: ``starts`` and ``ends`` (byte positions),
     ``hashes``, ``doc`` (row of each word) and ``first`` (words before each row)."""
@@ -78,28 +96,19 @@ class Words:
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1
         self.first = np.searchsorted(self.starts, offsets)
         self.rows = rows
-        if len(self.starts):
-            width = np.diff(self.starts, append=n)
-            longest = int(width.max())
-            if longest > len(_POWERS[0]):
-                _POWERS[0] = np.cumprod(np.full(2 * longest, _BASE, dtype=np.uint64))
-            at = np.arange(self.starts[0], n) - np.repeat(self.starts, width)
-            value = _BYTE[data[self.starts[0] :]] * _POWERS[0][at]
-            if between is not _SPACE:
-                value[space[self.starts[0] :]] = 0
-            begin = self.starts - self.starts[0]
-            self.hashes = mix(np.add.reduceat(value, begin))
-            self.prefix_hashes = []
-            if prefixes:
-                total = np.zeros(len(value) + 1, np.uint64)
-                np.cumsum(value, out=total[1:])
-                wide = self.ends - self.starts
-                for size in prefixes:
-                    part = total[np.minimum(begin + size, len(value))] - total[begin]
-                    self.prefix_hashes.append(np.where(wide >= size, mix(part, size), np.uint64(0)))
-        else:
-            self.hashes = np.zeros(0, np.uint64)
-            self.prefix_hashes = [self.hashes for _ in prefixes]
+        value = _values(data, self.starts)
+        if between is not _SPACE and len(value):
+            value[space[self.starts[0] :]] = 0
+        begin = self.starts - self.starts[:1].sum()
+        self.hashes = mix(np.add.reduceat(value, begin)) if len(begin) else np.zeros(0, np.uint64)
+        self.prefix_hashes = []
+        if prefixes:
+            total = np.zeros(len(value) + 1, np.uint64)
+            np.cumsum(value, out=total[1:])
+            wide = self.ends - self.starts
+            for size in prefixes:
+                part = total[np.minimum(begin + size, len(value))] - total[begin]
+                self.prefix_hashes.append(np.where(wide >= size, mix(part, size), np.uint64(0)))
 
     def counts(self) -> np.ndarray:
         """Words of each row."""
