@@ -37,20 +37,20 @@ class Dimension:
 def rake(cells: DataFrame, dimensions: list[Dimension], rounds: int) -> DataFrame:
     """``cells`` (a column for each dimension, tokens > 0) with ``weight``, raked; sums to 1."""
     for d in dimensions:
-        own, every = Window.partitionBy(d.name), Window.partitionBy(F.lit(0))
+        every = Window.partitionBy(F.lit(0))
         named = F.coalesce(*[F.when(F.col(d.name) == v, F.lit(float(t))) for v, t in d.targets.items()], F.lit(None).cast("double")) if d.targets else F.lit(None).cast("double")
         left = 1.0 - sum(d.targets.values())
-        values = cells.groupBy(d.name).agg(F.sum("tokens").alias("t")).withColumn("named", named)
-        values = values.withColumn("free", F.when(F.col("named").isNull(), F.pow("t", F.lit(d.temper))).otherwise(0.0))
-        values = values.withColumn("raw", F.coalesce("named", F.when(F.sum("free").over(every) > 0, F.lit(left) * F.col("free") / F.sum("free").over(every))))
-        values = values.select(d.name, (F.col("raw") / F.sum("raw").over(every)).alias(f"_{d.name}"))
+        values = cells.groupBy(d.name).agg(F.sum("tokens").alias("_sum")).withColumn("_named", named)
+        values = values.withColumn("_free", F.when(F.col("_named").isNull(), F.pow("_sum", F.lit(d.temper))).otherwise(0.0))
+        values = values.withColumn("_raw", F.coalesce("_named", F.try_divide(F.lit(left) * F.col("_free"), F.sum("_free").over(every)), F.lit(0.0)))
+        values = values.select(d.name, F.coalesce(F.try_divide(F.col("_raw"), F.sum("_raw").over(every)), F.lit(0.0)).alias(f"_of_{d.name}"))
         cells = cells.join(values, d.name)
     cells = saved(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for _ in range(rounds):
         for d in dimensions:
             own = Window.partitionBy(d.name)
-            cells = cells.withColumn("weight", F.col("weight") * F.col(f"_{d.name}") / F.sum("weight").over(own))
-    return saved(cells.drop(*(f"_{d.name}" for d in dimensions)), "raked")
+            cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_of_{d.name}"), F.sum("weight").over(own)), F.lit(0.0)))
+    return saved(cells.drop(*(f"_of_{d.name}" for d in dimensions)), "raked")
 
 
 def probabilities(raked: DataFrame, keep: float) -> DataFrame:
@@ -60,14 +60,14 @@ def probabilities(raked: DataFrame, keep: float) -> DataFrame:
     Cells come by falling weight per token; if the first k are certain, s is what is
     still wanted over the weight of the rest, and k is the least for which no further
     cell would exceed 1. One running sum over the cells finds it."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("rate"), *(F.col(c) for c in raked.columns if c not in ("tokens", "weight")))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    names = [c for c in raked.columns if c not in ("tokens", "weight")]
     every = Window.partitionBy(F.lit(0))
-    x = raked.withColumn("rate", F.col("weight") / F.col("tokens"))
-    x = x.withColumn("sure", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("rest", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    x = x.withColumn("s", (F.lit(keep) * F.sum("tokens").over(every) - F.col("sure")) / F.col("rest"))
-    x = x.withColumn("s", F.max(F.when((F.col("s") > 0) & (F.col("s") * F.col("rate") <= 1.0), F.struct(-F.col("sure"), "s"))).over(every).getField("s"))
-    return x.withColumn("probability", F.least(F.lit(1.0), F.coalesce(F.col("s") * F.col("rate"), F.lit(1.0)))).drop("rate", "sure", "rest", "s")
+    before = every.orderBy(F.desc("_rate"), *names).rowsBetween(Window.unboundedPreceding, -1)
+    x = raked.withColumn("_rate", F.col("weight") / F.col("tokens"))
+    x = x.withColumn("_sure", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("_rest", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    x = x.withColumn("_s", F.try_divide(F.lit(keep) * F.sum("tokens").over(every) - F.col("_sure"), F.col("_rest")))
+    x = x.withColumn("_s", F.max(F.when((F.col("_s") > 0) & (F.col("_s") * F.col("_rate") <= 1.0), F.struct(-F.col("_sure"), "_s"))).over(every).getField("_s"))
+    return x.select(*names, "tokens", "weight", F.least(F.lit(1.0), F.coalesce(F.col("_s") * F.col("_rate"), F.lit(1.0))).alias("probability"))
 
 
 def mix_sources(docs: DataFrame, dimensions: list[Dimension], tokens: Column, keep: float, seed: str = "mix", rounds: int = 10, id_col: str = "doc_id") -> DataFrame:
@@ -109,13 +109,14 @@ def form_topic(text: str = "text") -> Column:
 
 
 #: The mixture of the registered query: tempered sources, fixed languages, tempered topics.
-LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+#: Other languages share what is left.
+LANGUAGES = {"en": 0.54, "de": 0.15, "fr": 0.15, "es": 0.14}
 
 
-def document_dimensions(prefix: str = "") -> list[Dimension]:
-    """Source, language and topic of ``documents``; ``prefix`` keeps their columns apart
-    from those of the table."""
-    return [Dimension(f"{prefix}source", F.col("source"), 0.7), Dimension(f"{prefix}lang", F.col("lang"), 0.7, LANGUAGES), Dimension(f"{prefix}topic", form_topic(), 0.8)]
+def document_dimensions(prefix: str = "", topic: Column | None = None) -> list[Dimension]:
+    """Source, language and topic (the form, if not given) of ``documents``; ``prefix``
+    keeps their columns apart from those of the table."""
+    return [Dimension(f"{prefix}source", F.col("source"), 0.7), Dimension(f"{prefix}lang", F.col("lang"), 0.7, LANGUAGES), Dimension(f"{prefix}topic", form_topic() if topic is None else topic, 0.8)]
 
 
 def oracle_sql(keep: float, rounds: int = 10, seed: str = "mix") -> str:
@@ -132,15 +133,15 @@ def oracle_sql(keep: float, rounds: int = 10, seed: str = "mix") -> str:
     for dim, temper in (("source", 0.7), ("topic", 0.8)):
         steps.append(f"t_{dim} AS (SELECT {dim}, pow(sum(n), {temper}) / sum(pow(sum(n), {temper})) OVER () AS target FROM c GROUP BY {dim})")
     steps.append(f"""t_lang0 AS (SELECT lang, CASE lang {named} END AS fixed, CASE WHEN lang IN ({', '.join(f"'{k}'" for k in LANGUAGES)}) THEN 0.0 ELSE pow(sum(n), 0.7) END AS free FROM c GROUP BY lang)""")
-    steps.append(f"t_lang AS (SELECT lang, x / sum(x) OVER () AS target FROM (SELECT lang, coalesce(fixed, {left!r} * free / nullif(sum(free) OVER (), 0)) AS x FROM t_lang0))")
+    steps.append(f"t_lang AS (SELECT lang, x / sum(x) OVER () AS target FROM (SELECT lang, coalesce(fixed, {left!r} * free / nullif(sum(free) OVER (), 0), 0) AS x FROM t_lang0))")
     steps.append("r0 AS (SELECT source, lang, topic, n, n AS w FROM c)")
     k = 0
     for _ in range(rounds):
         for dim in ("source", "lang", "topic"):
-            steps.append(f"r{k + 1} AS (SELECT r.source, r.lang, r.topic, n, w * target / sum(w) OVER (PARTITION BY r.{dim}) AS w FROM r{k} r JOIN t_{dim} t ON r.{dim} = t.{dim})")
+            steps.append(f"r{k + 1} AS (SELECT r.source, r.lang, r.topic, n, coalesce(w * target / nullif(sum(w) OVER (PARTITION BY r.{dim}), 0), 0) AS w FROM r{k} r JOIN t_{dim} t ON r.{dim} = t.{dim})")
             k += 1
     steps.append(f"q AS (SELECT *, w / n AS rate, coalesce(sum(n) OVER b, 0) AS sure, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS rest, sum(n) OVER () AS total FROM r{k} WINDOW b AS (ORDER BY w / n DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
-    steps.append(f"s AS (SELECT arg_min(({keep!r} * total - sure) / rest, sure) AS s FROM q WHERE ({keep!r} * total - sure) / rest > 0 AND ({keep!r} * total - sure) / rest * rate <= 1)")
+    steps.append(f"s AS (SELECT arg_min(s, sure) AS s FROM (SELECT *, ({keep!r} * total - sure) / nullif(rest, 0) AS s FROM q) WHERE s > 0 AND s * rate <= 1)")
     steps.append("p AS (SELECT source, lang, topic, least(1.0, coalesce((SELECT s FROM s) * rate, 1.0)) AS p FROM q)")
     return f"""WITH {', '.join(steps)}
     SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(CASE WHEN n_tokens > 0 THEN coalesce(p, 0) ELSE 0 END, 6) AS probability,

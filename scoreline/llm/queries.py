@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .learning import fold, labelled_sample
 from .op01_norm_topk import ORACLE_SQL as TOPK_SQL, integer_vectors, norm_topk
-from .op02_mixture import document_dimensions, mix_sources, oracle_sql as mixture_sql, word_count
+from .op02_mixture import document_dimensions, form_topic, mix_sources, oracle_sql as mixture_sql, word_count
 from .op03_quality import fit_quality, score_quality
 from .op04_decontaminate import find_leaks
 from .op05_attention_lm import fit_language_model, score_texts
@@ -18,7 +18,7 @@ from .op07_toxicity import fit_grammar, score_toxicity
 from .op08_language import fit_languages, identify_language
 from .op09_secrets import find_secrets
 from .op10_ngram_join import ngram_jaccard_join
-from .storage import fresh_path
+from .storage import fresh_path, saved
 
 #: Labelled rows that a classifier is fitted on at most.
 FIT_ROWS = 20_000
@@ -41,8 +41,9 @@ def op1_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability (6 decimals), sampled."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    mixed = mix_sources(docs, document_dimensions(), word_count(), MIX_KEEP)
+    # texts are read once, for their topic and number of tokens
+    docs = saved(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", form_topic().alias("topic"), word_count().alias("words")), "counted")
+    mixed = mix_sources(docs, document_dimensions(topic=F.col("topic")), F.col("words"), MIX_KEEP)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
