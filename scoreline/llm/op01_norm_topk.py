@@ -73,7 +73,7 @@ def search_group(q_ids, q, floor, c_ids, c, k: int):
         out.append((np.full(len(best), q_ids[row]), c_ids[at[best]], scores[best]))
 
     longest = lengths[0] if len(lengths) else 0.0
-    cosine = np.where(longest > 0, need / max(longest, 1e-300), np.inf)
+    cosine = need / longest if longest > 0 else np.where(need <= 0, -np.inf, np.inf)
     live = np.flatnonzero(cosine <= 1 + 1e-9)
     by_length = live[cosine[live] < COORDINATES_FROM]
     by_length = by_length[np.argsort(need[by_length], kind="stable")]
