@@ -111,6 +111,8 @@ def fit_quality(sample: DataFrame) -> NaiveBayesSvm:
     smoothed share of label 1."""
     rows = sample.select("text", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("text"), "label").coalesce(1)
     found = rows.mapInArrow(_fit, "weights array<double>, rest array<double>").first()
+    if found is None:  # no partition at all
+        return NaiveBayesSvm(np.zeros(1 << BITS), 0.0, np.zeros(2))
     return NaiveBayesSvm(np.array(found["weights"]), found["rest"][2], np.array(found["rest"][:2]))
 
 

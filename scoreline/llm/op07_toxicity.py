@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .learning import fit_logistic, sigmoid
-from .tokens import word_chunks, word_hash
+from .tokens import shingles, word_chunks, word_hash
 
 #: Word beginnings that may enter the lexicon, in bytes.
 BEGINNINGS = (4, 5, 6, 8)
@@ -117,7 +117,7 @@ class Grammar:
 
 def _evidence(batches):
     """mapInArrow over (text, label): documents of each label that hold each lexicon
-    candidate. Texts that share their smallest word hash within a task count once, so
+    candidate. Texts that share their smallest shingle hash within a task count once, so
     that copies don't lend weight to words of their own."""
     schema = pa.schema([("entry", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
     found, seen, rows = [[], []], set(), [0, 0]
@@ -129,7 +129,7 @@ def _evidence(batches):
                 if part.start == part.stop:
                     continue
                 y = int(labels[lo + r] > 0)
-                own = (y, int(words.hashes[part].min()))
+                own = (y, int(shingles(words.hashes[part], 3).min()))
                 if own in seen:
                     continue
                 seen.add(own)
