@@ -57,7 +57,3 @@ def clip_lower(c, lo: float) -> Column:
     """pandas ``clip(lower=lo)``: NULL stays NULL."""
     c = col_(c)
     return F.when(c.isNull(), F.lit(None)).otherwise(F.greatest(c, F.lit(lo)))
-
-
-def zero_if_null(c) -> Column:
-    return F.coalesce(col_(c), F.lit(0))

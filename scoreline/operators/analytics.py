@@ -132,10 +132,9 @@ def best_worst_edition(history: DataFrame, min_games: int = 3) -> DataFrame:
 
 def title_years(cups: DataFrame, winner: str = "winner", year: str = "year") -> DataFrame:
     """Editions won per winner as a sorted array, keyed by lower(name).
-    One row per edition goes in, so each array is bounded by the number of
-    editions."""
+    A set, so each array is bounded by the number of editions."""
     return (cups.groupBy(F.lower(F.col(winner)).alias("title_key"))
-                .agg(F.array_sort(F.collect_list(F.col(year).cast("int"))).alias("title_years")))
+                .agg(F.array_sort(F.collect_set(F.col(year).cast("int"))).alias("title_years")))
 
 
 def title_years_literal(spark, mapping: dict | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.dims import GROUP_START, GROUP_START_DEFAULT, map_expr
-from .analytics import count_when, top_per_group
+from .analytics import count_when
 
 
 def team_results(results: DataFrame, grp="grp", home="home", away="away",
@@ -63,18 +63,16 @@ def best_thirds(table: DataFrame, n: int = 8) -> DataFrame:
                  .limit(n))
 
 
-def matches_by_date(results: DataFrame, k: int = 3, date="date",
-                    order=("seq_order", "seq_line")) -> DataFrame:
-    """Result cards per date: the first ``k`` matches of every date in input
-    order (the cards shown per row) plus the date's match count.
+def matches_by_date(results: DataFrame, date="date", order=("seq_order", "seq_line")) -> DataFrame:
+    """Result cards per date: every match, in order of date and input, with the number of
+    matches on its date.
 
-    The first-k uses a window group limit (at most k rows per date leave each
-    map task) and the count is a partial aggregation, so a date holding a
-    third of all matches never lands whole in one task.
+    The counts are one row per date (partial aggregation, then a join whose small
+    side AQE may broadcast); the order is a range-partitioned sort whose further keys
+    let one date spread over many tasks.
     """
-    first = top_per_group(results, date, [F.col(c).asc_nulls_last() for c in order], k, "slot")
     counts = results.groupBy(date).agg(F.count(F.lit(1)).alias("matches_on_date"))
-    return first.join(counts, date)
+    return results.join(counts, date).orderBy(F.col(date).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order])
 
 
 def group_status(table: DataFrame) -> DataFrame:

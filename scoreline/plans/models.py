@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from ..operators.cleaning import stage_matches, stage_players
 from ..operators.marts import edition_history_winner, nation_stats, nations_performance, players_profile
 from ..operators.quality import not_null_report, unique_report
-from ..sources.fixtures import fixture
+from ..sources.fixtures import FIXTURE_SQL, fixture
 from ..sources.io import replace_table
+from ..sources.layers import use_layers
 
 # model -> (upstream models / bronze inputs, builder)
 MODELS = {
@@ -47,9 +48,28 @@ CHECKS = {
 
 def standin_bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Bronze inputs from the stand-in views over the driver tables."""
-    return {"matches": fixture(spark, sf_dir, "fx_matches_null"), "cups": spark.table("fx_cups"),
-            "countries": spark.table("fx_countries"), "squads": spark.table("fx_squads"),
-            "market": spark.table("fx_market")}
+    return {"matches": fixture(spark, sf_dir, "fx_matches_null"), "cups": fixture(spark, sf_dir, "fx_cups"),
+            "countries": fixture(spark, sf_dir, "fx_countries"), "squads": fixture(spark, sf_dir, "fx_squads"),
+            "market": fixture(spark, sf_dir, "fx_market")}
+
+
+def build_layers(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Write the layers that queries read (bronze and silver matches, both marts) into
+    ``folder``, which all executors share, each from the written one below, and use
+    them for queries over ``sf_dir``. Returns the folder."""
+    from .q_players import players_mart
+    folder = folder.rstrip("/")
+    use_layers(spark, sf_dir, None)
+    replace_table(fixture(spark, sf_dir, "fx_matches"), f"{folder}/bronze_matches")
+    bronze = spark.read.parquet(f"{folder}/bronze_matches")
+    bronze.createOrReplaceTempView("fx_matches")
+    replace_table(stage_matches(spark.sql(FIXTURE_SQL["fx_matches_null"])), f"{folder}/stg_matches")
+    replace_table(players_mart(spark, sf_dir), f"{folder}/mart_players")
+    cups = spark.sql(FIXTURE_SQL["fx_cups"])
+    nations = nations_performance(nation_stats(spark.read.parquet(f"{folder}/stg_matches")), cups, fixture(spark, sf_dir, "fx_countries"))
+    replace_table(nations, f"{folder}/mart_nations")
+    use_layers(spark, sf_dir, folder)
+    return folder
 
 
 def run_models(spark: SparkSession, bronze: dict[str, DataFrame], out_dir: str,

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import combined_label
 from ..operators.analytics import (best_worst_edition, filter_in, head_to_head, history_kpis,
-                                   title_years, top_n, top_per_group, with_points,
+                                   title_years, title_years_literal, top_n, top_per_group, with_points,
                                    with_ranking_metrics, with_title_flags)
 from ..operators.facts import team_names
 from ..operators.marts import edition_history_goals
-from ..sources.dims import (CONFEDERATION_DEFAULT, NATION_PT, POPULAR_NATIONS, confederation_map,
-                            map_expr, values_sql)
+from ..sources.dims import (CONFEDERATION_DEFAULT, NATION_PT, POPULAR_NATIONS, RANKING_METRICS, TITLE_YEARS,
+                            confederation_map, map_expr, values_sql)
+from ..sources.fixtures import fixture
 from .oracle import ALL_TEAMS, HIST_GOALS, MART_NATIONS, MATCH_FX, NATION_FX, STG_MATCHES, STG_NATIONS
 from .q_matches import nations_mart, staged
 from .registry import osql, register
@@ -116,6 +117,36 @@ def q_head_to_head_top(spark, sf):
     return top_per_group(h, "team", [F.col("games").desc(), F.col("opponent").asc()], H2H_TOP)
 
 
+@register("head_to_head_translated", osql(MATCH_FX, [STG_MATCHES, ALL_TEAMS, ("h2h", _H2H_SQL)], f"""
+SELECT h2h.*, coalesce(pt.label, opponent) AS adversario
+FROM h2h LEFT JOIN {values_sql(NATION_PT, "key", "label", "pt")} ON opponent = pt.key"""), "A10 P19")
+def q_head_to_head_translated(spark, sf):
+    return head_to_head(staged(spark, sf)).withColumn("adversario", map_expr(NATION_PT, "opponent", F.col("opponent")))
+
+
+@register("ranking_metrics", osql(NATION_FX, N_CTES + [RANKED], f"""
+SELECT metric, rank::INTEGER AS rank, nation, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC NULLS LAST, nation) AS rank
+  FROM (UNPIVOT (SELECT nation, {", ".join(f"{m}::DOUBLE AS {m}" for m in RANKING_METRICS)} FROM ranked)
+        ON {", ".join(RANKING_METRICS)} INTO NAME metric VALUE value))
+WHERE rank <= {RANK_N}"""), "K6")
+def q_ranking_metrics(spark, sf):
+    """The top nations by each of the ranking page's metrics, in one job."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in RANKING_METRICS])
+    long = ranked(spark, sf).select("nation", F.inline(pairs))
+    return top_per_group(long, "metric", [F.col("value").desc_nulls_last(), F.col("nation").asc()], RANK_N)
+
+
+@register("title_years_literal", osql(MATCH_FX, H_CTES + [("ty", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{n}', {y})" for n, years in TITLE_YEARS.items() for y in years) + ") v(nation, year)")], """
+SELECT h.*, EXISTS (FROM ty WHERE nation = team AND year = edition_year) AS is_title_year,
+       (SELECT count(*)::INTEGER FROM ty WHERE nation = team) AS n_titles,
+       coalesce((SELECT string_agg(year, ', ' ORDER BY year) FROM ty WHERE nation = team), '—') AS titles_str
+FROM hist_goals h"""), "J9 P45")
+def q_title_years_literal(spark, sf):
+    return with_title_flags(history(spark, sf), title_years_literal(spark))
+
+
 @register("history_kpis", osql(MATCH_FX, H_CTES, """
 SELECT team, COUNT(DISTINCT edition_year) AS editions,
        CAST(COALESCE(SUM(wins), 0) AS BIGINT) AS total_wins,
@@ -154,7 +185,7 @@ LEFT JOIN (SELECT lower(winner) AS k, list_sort(list(CAST(year AS INTEGER))) AS
   ON lower(h.team) = ty.k"""), "J9 P45 A26")
 def q_title_flags(spark, sf):
     h = history(spark, sf)
-    return with_title_flags(h, title_years(spark.table("fx_cups")))
+    return with_title_flags(h, title_years(fixture(spark, sf, "fx_cups")))
 
 
 _POP = "[" + ", ".join(f"'{n}'" for n in POPULAR_NATIONS) + "]"

@@ -9,39 +9,27 @@ from ..operators.facts import both_sides, result_code, team_names
 from ..operators.marts import (edition_history_goals, edition_history_winner,
                                furthest_stage_ranked, nation_stats, nations_performance)
 from ..sources.fixtures import fixture
-from .oracle import ALL_TEAMS, MART_NATIONS, MATCH_FX, NATION_FX, STG_MATCHES, STG_NATIONS
+from ..sources.layers import layer
+from .oracle import ALL_TEAMS, HIST_GOALS, MART_NATIONS, MATCH_FX, NATION_FX, STG_MATCHES, STG_NATIONS
 from .registry import osql, register
 
-STAGE_ORDER = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH"]
-FOCUS_TEAM = "NATION_1"
+STAGE_ORDER = ["Group Stage", "Round of 16", "Quarter-finals", "Semi-finals", "Third Place", "Final"]
+FOCUS_TEAM = "Brazil"
+TEAM_ORDER = ["edition_year", "stage", "home_team", "away_team", "home_goals", "away_goals", "attendance", "referee", "stadium"]
 
 
 def staged(spark, sf):
-    """The silver match table, stored once per input folder (the reference
-    materialises its staging model; later queries read it)."""
-    from ..sources.fixtures import FIXTURE_SQL, MATCH_TABLES, layer_files, layer_key
-    from ..sources.io import stored_table
-    raw = fixture(spark, sf, "fx_matches_null")
-    key = layer_key(spark, sf, extra=FIXTURE_SQL["fx_matches_null"] + "stg_matches")
-    return stored_table(spark, "stg_matches", key, lambda: stage_matches(raw),
-                        min_files=layer_files(spark, sf, MATCH_TABLES))
+    """The silver match table: the layer if one is in use, else computed."""
+    return layer(spark, sf, "stg_matches", lambda: stage_matches(fixture(spark, sf, "fx_matches_null")))
 
 
 def build_nations_mart(spark, sf):
-    m = staged(spark, sf)
-    return nations_performance(nation_stats(m), spark.table("fx_cups"), spark.table("fx_countries"))
+    return nations_performance(nation_stats(staged(spark, sf)), fixture(spark, sf, "fx_cups"), fixture(spark, sf, "fx_countries"))
 
 
 def nations_mart(spark, sf):
-    """The gold nations mart as stored once per input folder (read by the
-    ranking, map and selector queries, as the reference's pages read it)."""
-    from ..sources.fixtures import FIXTURE_SQL, layer_key
-    from ..sources.io import stored_table
-    staged(spark, sf)
-    key = layer_key(spark, sf, ("lineitem", "orders", "customer", "supplier", "nation", "region"),
-                    FIXTURE_SQL["fx_matches_null"] + FIXTURE_SQL["fx_cups"] + FIXTURE_SQL["fx_countries"]
-                    + "nations-1")
-    return stored_table(spark, "mart_nations", key, lambda: build_nations_mart(spark, sf))
+    """The gold nations mart: the layer if one is in use, else computed."""
+    return layer(spark, sf, "mart_nations", lambda: build_nations_mart(spark, sf))
 
 
 @register("stage_matches", osql(MATCH_FX, [STG_MATCHES], "SELECT * FROM stg_matches"), "P1-P5")
@@ -64,35 +52,24 @@ def q_nations_performance(spark, sf):
 
 
 @register("edition_history_winner", osql(MATCH_FX, [STG_MATCHES, ALL_TEAMS], """
-SELECT team, edition_year, COUNT(*) AS matches_played,
-       CAST(SUM(CASE WHEN winner = team THEN 1 ELSE 0 END) AS BIGINT) AS wins,
-       CAST(SUM(CASE WHEN winner = 'Draw' THEN 1 ELSE 0 END) AS BIGINT) AS draws,
-       CAST(SUM(CASE WHEN winner NOT IN (team, 'Draw') THEN 1 ELSE 0 END) AS BIGINT) AS losses,
-       CAST(SUM(goals_for) AS BIGINT) AS goals_scored, CAST(SUM(goals_against) AS BIGINT) AS goals_conceded,
-       MAX(stage) AS furthest_stage
-FROM all_teams GROUP BY team, edition_year ORDER BY team, edition_year"""), "A7 A8 K2")
+SELECT team, edition_year, matches_played, wins, draws, matches_played - wins - draws AS losses, goals_scored, goals_conceded, furthest_stage
+FROM (SELECT team, edition_year, count(*) AS matches_played, count_if(winner = team) AS wins, count_if(winner = 'Draw') AS draws,
+             sum(goals_for)::BIGINT AS goals_scored, sum(goals_against)::BIGINT AS goals_conceded, list_max(list(stage)) AS furthest_stage
+      FROM all_teams GROUP BY ALL)
+ORDER BY team, edition_year"""), "A7 A8 K2")
 def q_edition_history_winner(spark, sf):
     return edition_history_winner(staged(spark, sf)).orderBy("team", F.asc_nulls_last("edition_year"))
 
 
-@register("edition_history_goals", osql(MATCH_FX, [STG_MATCHES, ALL_TEAMS], """
-SELECT team, edition_year, COUNT(*) AS games,
-       CAST(SUM(CASE WHEN goals_for > goals_against THEN 1 ELSE 0 END) AS BIGINT) AS wins,
-       CAST(SUM(CASE WHEN goals_for = goals_against THEN 1 ELSE 0 END) AS BIGINT) AS draws,
-       CAST(SUM(CASE WHEN goals_for < goals_against THEN 1 ELSE 0 END) AS BIGINT) AS losses,
-       CAST(SUM(goals_for) AS BIGINT) AS goals_scored, CAST(SUM(goals_against) AS BIGINT) AS goals_conceded
-FROM all_teams GROUP BY team, edition_year"""), "A9 P9")
+@register("edition_history_goals", osql(MATCH_FX, [STG_MATCHES, ALL_TEAMS, HIST_GOALS], "SELECT * FROM hist_goals"), "A9 P9")
 def q_edition_history_goals(spark, sf):
     return edition_history_goals(staged(spark, sf))
 
 
 @register("edition_history_null_goals", osql(MATCH_FX, [STG_MATCHES, ALL_TEAMS], """
-SELECT team, edition_year,
-       CAST(SUM(CASE WHEN goals_for IS NULL OR goals_against IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_score_matches,
-       CAST(SUM(CASE WHEN winner = 'Draw' THEN 1 ELSE 0 END) AS BIGINT) AS draws_by_winner,
-       CAST(SUM(CASE WHEN goals_for = goals_against THEN 1 ELSE 0 END) AS BIGINT) AS draws_by_goals,
-       CAST(SUM(CASE WHEN goals_for > goals_against THEN 0 WHEN goals_for = goals_against THEN 0 ELSE 1 END) AS BIGINT) AS defeats_by_code
-FROM all_teams GROUP BY team, edition_year"""), "T1")
+SELECT team, edition_year, count_if(x IS NULL) AS null_score_matches, count_if(winner = 'Draw') AS draws_by_winner,
+       count_if(x = 0) AS draws_by_goals, count_if(coalesce(x, -1) < 0) AS defeats_by_code
+FROM (SELECT *, goals_for - goals_against AS x FROM all_teams) GROUP BY ALL"""), "T1")
 def q_edition_history_null_goals(spark, sf):
     s = both_sides(staged(spark, sf))
     gf, ga = F.col("goals_for"), F.col("goals_against")
@@ -120,16 +97,15 @@ def q_furthest_stage_ranked(spark, sf):
 
 
 @register("team_names", osql(MATCH_FX, [STG_MATCHES], """
-SELECT n AS nation FROM (SELECT DISTINCT home_team AS n FROM stg_matches
-                         UNION SELECT DISTINCT away_team FROM stg_matches) t
-WHERE n IS NOT NULL AND n <> '' ORDER BY n"""), "U2 K16")
+SELECT DISTINCT nation FROM (SELECT unnest([home_team, away_team]) AS nation FROM stg_matches)
+WHERE length(nation) > 0 ORDER BY nation"""), "U2 K16")
 def q_team_names(spark, sf):
     return team_names(staged(spark, sf)).orderBy("nation")
 
 
 @register("team_matches", osql(MATCH_FX, [STG_MATCHES], f"""
-SELECT * FROM stg_matches WHERE home_team = '{FOCUS_TEAM}' OR away_team = '{FOCUS_TEAM}'
-ORDER BY edition_year, stage"""), "P10 P11 K4")
+SELECT * FROM stg_matches WHERE '{FOCUS_TEAM}' IN (home_team, away_team)
+ORDER BY {", ".join(TEAM_ORDER)}"""), "P10 P11 K4")
 def q_team_matches(spark, sf):
     # Bound parameter marker, as the reference's page query; the predicate is
     # an OR of two equalities that Spark pushes into the parquet scan as far
@@ -138,6 +114,5 @@ def q_team_matches(spark, sf):
     # split an (edition, stage) holding many rows across tasks.
     return spark.sql(
         "SELECT * FROM {m} WHERE home_team = :t OR away_team = :t "
-        "ORDER BY edition_year ASC NULLS LAST, stage ASC NULLS LAST, home_team, away_team, "
-        "home_goals, away_goals",
+        "ORDER BY " + ", ".join(f"{c} ASC NULLS LAST" for c in TEAM_ORDER),
         args={"t": FOCUS_TEAM}, m=staged(spark, sf))

@@ -11,14 +11,16 @@ from ..operators.facts import team_names
 from ..operators.marts import edition_history_winner, nation_stats
 from ..operators.quality import lookup_coverage, not_null_report, unique_report
 from ..sources.dims import POSITION_PT, confederation_map, dim_frame, values_sql
+from ..sources.fixtures import fixture
 from ..sources.io import union_sources, with_source
-from .oracle import ALL_TEAMS, MART_PLAYERS, STG_MATCHES, STG_NATIONS, STG_PLAYERS
-from .q_matches import staged
-from .q_players import players_mart
+from .oracle import ALL_TEAMS, MART_NATIONS, MART_PLAYERS, STG_MATCHES, STG_NATIONS, STG_PLAYERS
+from .q_matches import nations_mart, staged
+from .q_players import players_mart, staged_players
 from .registry import osql, register
 
-ALL_FX = ["fx_matches_null", "fx_squads", "fx_market", "fx_countries"]
-CTES = [STG_MATCHES, ALL_TEAMS, STG_NATIONS, STG_PLAYERS, MART_PLAYERS]
+ALL_FX = ["fx_matches_null", "fx_cups", "fx_squads", "fx_market", "fx_countries"]
+CTES = [STG_MATCHES, ALL_TEAMS, STG_NATIONS, MART_NATIONS, STG_PLAYERS, MART_PLAYERS,
+        ("hist", "SELECT DISTINCT team, edition_year FROM all_teams")]
 
 
 def _nn(table, col):
@@ -27,18 +29,29 @@ def _nn(table, col):
             f"COUNT(*) FILTER (WHERE {col} IS NULL) = 0 AS passed FROM {table}")
 
 
-NOT_NULL = [("stg_matches", "edition_year"), ("stg_matches", "home_team"), ("stg_matches", "away_team"),
-            ("stg_nations", "nation"), ("mart_players", "player_name")]
+# The declared checks: columns that must not be null, and unique keys, by table.
+NOT_NULL = {"fx_cups": ["winner"], "stg_matches": ["edition_year", "home_team", "away_team"], "stg_nations": ["nation"],
+            "stg_players": ["player_name"], "mart_nations": ["nation"], "hist": ["edition_year"], "mart_players": ["player_name"]}
+UNIQUE = {"stg_nations": ["nation"], "mart_nations": ["nation"], "hist": ["team", "edition_year"]}
 
 
-@register("dq_not_null", osql(ALL_FX, CTES, "\nUNION ALL\n".join(_nn(t, c) for t, c in NOT_NULL)), "D1")
-def q_dq_not_null(spark, sf):
+def _checked(spark, sf, name):
+    """The table that a check is declared on."""
+    if name == "fx_cups":
+        return fixture(spark, sf, name)
+    if name == "mart_players":
+        return players_mart(spark, sf)
+    if name == "stg_players":
+        return staged_players(spark, sf)
+    if name == "mart_nations":
+        return nations_mart(spark, sf)
     m = staged(spark, sf)
-    reports = [
-        not_null_report(m, "stg_matches", ["edition_year", "home_team", "away_team"]),
-        not_null_report(nation_stats(m), "stg_nations", ["nation"]),
-        not_null_report(players_mart(spark, sf), "mart_players", ["player_name"]),
-    ]
+    return {"stg_matches": lambda: m, "stg_nations": lambda: nation_stats(m), "hist": lambda: edition_history_winner(m)}[name]()
+
+
+@register("dq_not_null", osql(ALL_FX, CTES, "\nUNION ALL\n".join(_nn(t, c) for t, cols in NOT_NULL.items() for c in cols)), "D1")
+def q_dq_not_null(spark, sf):
+    reports = [not_null_report(_checked(spark, sf, t), t, cols) for t, cols in NOT_NULL.items()]
     return reduce(lambda a, b: a.unionByName(b), reports).withColumnsRenamed(
         {"table": "table_name", "column": "column_name"})
 
@@ -51,20 +64,9 @@ def _uq(table, cols):
             f"(SELECT {k}, COUNT(*) AS n FROM {table} WHERE {nn} GROUP BY {k} HAVING COUNT(*) > 1) d")
 
 
-UNIQUE = [("stg_nations", ["nation"]), ("hist", ["team", "edition_year"]),
-          ("mart_players", ["nation", "player_name"]), ("stg_matches", ["edition_year", "home_team", "away_team", "stage"])]
-
-
-@register("dq_unique", osql(ALL_FX, CTES + [("hist", "SELECT team, edition_year FROM all_teams GROUP BY team, edition_year")],
-                            "\nUNION ALL\n".join(_uq(t, c) for t, c in UNIQUE)), "D2")
+@register("dq_unique", osql(ALL_FX, CTES, "\nUNION ALL\n".join(_uq(t, c) for t, c in UNIQUE.items())), "D2")
 def q_dq_unique(spark, sf):
-    m = staged(spark, sf)
-    reports = [
-        unique_report(nation_stats(m), "stg_nations", ["nation"]),
-        unique_report(edition_history_winner(m), "hist", ["team", "edition_year"]),
-        unique_report(players_mart(spark, sf), "mart_players", ["nation", "player_name"]),
-        unique_report(m, "stg_matches", ["edition_year", "home_team", "away_team", "stage"]),
-    ]
+    reports = [unique_report(_checked(spark, sf, t), t, cols) for t, cols in UNIQUE.items()]
     return reduce(lambda a, b: a.unionByName(b), reports).withColumnRenamed("table", "table_name")
 
 
@@ -89,12 +91,11 @@ SELECT 'stg_matches' AS table_name, COUNT(*) AS rows, COUNT(*) FILTER (WHERE win
 UNION ALL SELECT 'countries', COUNT(*), COUNT(*) FILTER (WHERE qualified_2026) FROM fx_countries
 UNION ALL SELECT 'stg_players', COUNT(*), COUNT(*) FILTER (WHERE market_value_eur_m IS NULL) FROM stg_players"""), "A22")
 def q_ingest_counts(spark, sf):
-    from .q_players import staged_players
     m = staged(spark, sf)
     parts = [
         m.agg(F.lit("stg_matches").alias("table_name"), F.count(F.lit(1)).alias("rows"),
               F.count_if(F.col("winner") == "Draw").alias("flagged")),
-        spark.table("fx_countries").agg(F.lit("countries").alias("table_name"), F.count(F.lit(1)).alias("rows"),
+        fixture(spark, sf, "fx_countries").agg(F.lit("countries").alias("table_name"), F.count(F.lit(1)).alias("rows"),
                                         F.count_if(F.col("qualified_2026")).alias("flagged")),
         staged_players(spark, sf).agg(F.lit("stg_players").alias("table_name"), F.count(F.lit(1)).alias("rows"),
                                       F.count_if(F.col("market_value_eur_m").isNull()).alias("flagged")),
@@ -109,6 +110,5 @@ UNION ALL
 SELECT 'market', nation, NULL, NULL, NULL, NULL, NULL, NULL, NULL, player_name, market_value_eur_m FROM fx_market"""),
           "S12 S13 U3")
 def q_multi_source_union(spark, sf):
-    staged(spark, sf)  # registers the stand-in views
-    frames = [with_source(spark.table("fx_squads"), "squads"), with_source(spark.table("fx_market"), "market")]
+    frames = [with_source(fixture(spark, sf, "fx_squads"), "squads"), with_source(fixture(spark, sf, "fx_market"), "market")]
     return union_sources(frames)

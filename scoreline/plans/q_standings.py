@@ -8,7 +8,7 @@ from ..sources.dims import GROUP_START, GROUP_START_DEFAULT, values_sql
 from ..sources.fixtures import fixture
 from .registry import osql, register
 
-FOCUS_TEAM = "NATION_1"
+FOCUS_TEAM = "Brazil"
 RES_FX = ["fx_results"]
 
 TEAM_ROWS = ("team_rows", """
@@ -50,14 +50,10 @@ def q_best_thirds(spark, sf):
 
 
 @register("matches_by_date", osql(RES_FX, [], """
-SELECT * FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY date ORDER BY seq_order, seq_line, grp, home NULLS LAST, away, hs NULLS LAST, as_ NULLS LAST)
-                 AS INTEGER) AS slot,
-         COUNT(*) OVER (PARTITION BY date) AS matches_on_date
-  FROM fx_results) t WHERE slot <= 3"""), "A20")
+SELECT r.*, (SELECT count(*) FROM fx_results o WHERE o.date = r.date) AS matches_on_date FROM fx_results r
+ORDER BY date, seq_order, seq_line, home, away, hs, as_"""), "A20")
 def q_matches_by_date(spark, sf):
-    return matches_by_date(results(spark, sf),
-                           order=("seq_order", "seq_line", "grp", "home", "away", "hs", "as_"))
+    return matches_by_date(results(spark, sf), order=("seq_order", "seq_line", "home", "away", "hs", "as_"))
 
 
 @register("group_not_started", osql(RES_FX, [TEAM_ROWS, STANDINGS], f"""

@@ -6,15 +6,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import (ellipsis, flag_emoji, flag_url, flag_url_alt, initials, upgrade_thumbnail,
-                         wiki_slug)
+from ..functions import (ellipsis, flag_emoji, flag_url, flag_url_alt, initials, repeat_symbol, sql_trim,
+                         upgrade_thumbnail, wiki_slug)
 from ..operators.analytics import top_per_group
-from ..operators.facts import team_names
+from ..operators.facts import select_existing, team_names
 from ..operators.photos import merge_cache, names_to_fetch, with_photo
 from ..sources.dims import (HIGHLIGHT_STAGES_PT, NATION_ISO2, NATION_PT, SQUAD_NATIONS, STAGE_PT, map_expr,
                             values_sql)
 from ..sources.fixtures import fixture
-from ..sources.html import html_links
+from ..sources.tables import read_table
 from .oracle import ALL_TEAMS, MART_NATIONS, MART_PLAYERS, MATCH_FX, NATION_FX, PLAYER_FX, STG_MATCHES, STG_NATIONS, STG_PLAYERS
 from .q_matches import nations_mart, staged
 from .q_players import players_mart
@@ -28,7 +28,7 @@ P_CTES = [STG_PLAYERS, MART_PLAYERS]
 
 @register("features_lookup", osql(NATION_FX + ["fx_squads"], N_CTES + [("top4", """
 SELECT nation, list_sort(list(player)) AS top_players FROM (
-  SELECT nation, player, row_number() OVER (PARTITION BY nation ORDER BY player) AS rn FROM fx_squads) t
+  SELECT nation, player, row_number() OVER (PARTITION BY nation ORDER BY player) AS rn FROM fx_squads WHERE player IS NOT NULL) t
 WHERE rn <= 4 GROUP BY nation""")], """
 SELECT f.country_name, f.iso_a3, f.qualified_2026,
        COALESCE(m.world_cup_titles, 0) AS titles, COALESCE(m.editions_played, 0) AS editions,
@@ -41,11 +41,11 @@ LEFT JOIN top4 p ON f.country_name = p.nation
 WHERE f.country_name <> ''"""), "S7 S9 J5 P43")
 def q_features_lookup(spark, sf):
     info = nations_mart(spark, sf).select(F.col("nation").alias("__n"), "world_cup_titles", "editions_played")
-    squads = spark.table("fx_squads")
+    squads = fixture(spark, sf, "fx_squads").where(F.col("player").isNotNull())
     top4 = (top_per_group(squads, "nation", [F.col("player").asc()], 4)
             .groupBy(F.col("nation").alias("__p"))
             .agg(F.array_sort(F.collect_list("player")).alias("top_players")))
-    f = spark.table("fx_countries").where(F.col("country_name") != "")
+    f = fixture(spark, sf, "fx_countries").where(F.col("country_name") != "")
     j = (f.join(info, f.country_name == F.col("__n"), "left")
           .join(top4, f.country_name == F.col("__p"), "left"))
     titles = F.coalesce(F.col("world_cup_titles"), F.lit(0))
@@ -55,7 +55,7 @@ def q_features_lookup(spark, sf):
         F.coalesce(F.col("editions_played"), F.lit(0)).alias("editions"),
         # the first four names, in order, as one text (as the page lists them)
         F.coalesce(F.array_join("top_players", ", "), F.lit("")).alias("top_players"),
-        F.when(titles > 0, F.trim(F.repeat(F.lit("🏆 "), titles.cast("int")))).otherwise(F.lit("—")).alias("trophy_str"),
+        repeat_symbol("🏆", titles).alias("trophy_str"),
     )
 
 
@@ -70,7 +70,7 @@ CACHE_FX = PLAYER_FX + ["fx_cache", "fx_overrides"]
 
 def _missing(spark, sf):
     p = players_mart(spark, sf)
-    return names_to_fetch(p, spark.table("fx_cache"), spark.table("fx_overrides"))
+    return names_to_fetch(p, fixture(spark, sf, "fx_cache"), fixture(spark, sf, "fx_overrides"))
 
 
 @register("cache_missing", osql(CACHE_FX, P_CTES, _MISSING_SQL), "J6 X2")
@@ -85,7 +85,7 @@ UNION ALL
 SELECT name, url FROM upd"""), "U4 S20")
 def q_cache_merge(spark, sf):
     upd = _missing(spark, sf).select("name", F.concat(F.lit(API), F.col("slug")).alias("url"))
-    return merge_cache(spark.table("fx_cache"), upd)
+    return merge_cache(fixture(spark, sf, "fx_cache"), upd)
 
 
 @register("slug_url", osql(["fx_cache", "fx_overrides"], [], """
@@ -94,7 +94,7 @@ SELECT c.name, url_encode(COALESCE(o.slug, replace(c.name, ' ', '_'))) AS slug,
 FROM fx_cache c LEFT JOIN (SELECT * FROM fx_overrides WHERE slug IS NOT NULL) o ON c.name = o.name"""), "X2 X3")
 def q_slug_url(spark, sf):
     c = fixture(spark, sf, "fx_cache")
-    o = spark.table("fx_overrides").where(F.col("slug").isNotNull()).select(F.col("name").alias("__o"), "slug")
+    o = fixture(spark, sf, "fx_overrides").where(F.col("slug").isNotNull()).select(F.col("name").alias("__o"), "slug")
     j = c.join(o, c.name == F.col("__o"), "left")
     return j.select("name", wiki_slug("name", "slug").alias("slug"), upgrade_thumbnail("url").alias("photo_url"))
 
@@ -103,7 +103,7 @@ def q_slug_url(spark, sf):
 SELECT p.*, COALESCE(regexp_replace(c.url, '/(50|80|100|150|200)px-', '/320px-', 'g'), '') AS photo_url
 FROM mart_players p LEFT JOIN fx_cache c ON p.player_name = c.name"""), "J7")
 def q_player_photos(spark, sf):
-    return with_photo(players_mart(spark, sf), spark.table("fx_cache"))
+    return with_photo(players_mart(spark, sf), fixture(spark, sf, "fx_cache"))
 
 
 @register("flag_columns", osql(MATCH_FX + ["fx_countries"], [STG_MATCHES], f"""
@@ -121,7 +121,7 @@ FROM (SELECT n.nation, c.iso_a3
 LEFT JOIN {values_sql(NATION_ISO2, "key", "iso2", "i")} ON t.nation = i.key"""), "P39 P40")
 def q_flag_columns(spark, sf):
     n = team_names(staged(spark, sf))
-    c = spark.table("fx_countries").select(F.lower("country_name").alias("__k"), "iso_a3")
+    c = fixture(spark, sf, "fx_countries").select(F.lower("country_name").alias("__k"), "iso_a3")
     j = n.join(c, F.lower(F.col("nation")) == F.col("__k"), "left")
     iso2 = map_expr(NATION_ISO2, "nation")
     return j.select("nation", "iso_a3", flag_url("iso_a3").alias("flag_url"),
@@ -163,6 +163,23 @@ def q_label_lookup(spark, sf):
                     F.coalesce(pt.isin(*HIGHLIGHT_STAGES_PT), F.lit(False)).alias("is_highlight"))
 
 
+@register("translated_matches", osql(MATCH_FX, [STG_MATCHES], f"""
+SELECT edition_year AS ano, coalesce(sp.label, stage) AS fase, coalesce(h.label, home_team) AS mandante, home_goals AS gols_mandante,
+       away_goals AS gols_visitante, coalesce(a.label, away_team) AS visitante
+FROM stg_matches LEFT JOIN {values_sql(STAGE_PT, "key", "label", "sp")} ON stage = sp.key
+LEFT JOIN {values_sql(NATION_PT, "key", "label", "h")} ON home_team = h.key
+LEFT JOIN {values_sql(NATION_PT, "key", "label", "a")} ON away_team = a.key"""), "P19 P21 P33 P34")
+def q_translated_matches(spark, sf):
+    """The match table as a page lists it: stage and both names translated, columns
+    pruned and renamed."""
+    name = lambda c: map_expr(NATION_PT, c, F.col(c))
+    m = staged(spark, sf).select("edition_year", map_expr(STAGE_PT, "stage", F.col("stage")).alias("stage"), name("home_team").alias("home_team"),
+                                 "home_goals", "away_goals", name("away_team").alias("away_team"), "referee")
+    shown = {"edition_year": "ano", "stage": "fase", "home_team": "mandante", "home_goals": "gols_mandante",
+             "away_goals": "gols_visitante", "away_team": "visitante"}
+    return select_existing(m, list(shown)).withColumnsRenamed(shown)
+
+
 _SQUADS = "[" + ", ".join(f"'{n}'" for n in SQUAD_NATIONS) + "]"
 
 
@@ -173,7 +190,7 @@ LEFT JOIN (SELECT DISTINCT country_name FROM fx_countries WHERE qualified_2026)
 WHERE n.nation IS NOT NULL AND n.nation <> ''"""), "P32")
 def q_membership_flag(spark, sf):
     n = team_names(staged(spark, sf))
-    q = (spark.table("fx_countries").where(F.col("qualified_2026"))
+    q = (fixture(spark, sf, "fx_countries").where(F.col("qualified_2026"))
               .select(F.col("country_name").alias("__q")).distinct())
     squads = F.array(*[F.lit(x) for x in SQUAD_NATIONS])
     return (n.join(q, F.col("nation") == F.col("__q"), "left")
@@ -189,25 +206,29 @@ def q_qualified_nations(spark, sf):
             .select("nation", "world_cup_titles", "win_pct").orderBy("nation"))
 
 
-@register("html_items", """
-SELECT page_id, CAST(i AS INTEGER) AS link_no, hrefs[i] AS href, trim(texts[i]) AS text
-FROM (SELECT page_id, hrefs, texts, unnest(range(1, len(hrefs) + 1)) AS i
-      FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs,
-                   regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS texts
-            FROM pages) p) t""", "S10 S11")
+LINK = '<a href="([^"]*)">([^<]*)</a>'
+
+
+@register("html_items", f"""
+SELECT page_id, i::INTEGER AS link_no, hrefs[i] AS href, trim(texts[i]) AS text
+FROM (SELECT page_id, hrefs, texts, unnest(generate_series(1, len(hrefs))) AS i
+      FROM (SELECT page_id, regexp_extract_all(html, '{LINK}', 1) AS hrefs, regexp_extract_all(html, '{LINK}', 2) AS texts
+            FROM pages) p) t""", "links of a page")
 def q_html_items(spark, sf):
-    from ..sources.tables import read_table
-    return html_links(read_table(spark, sf, "pages"))
+    found = read_table(spark, sf, "pages").select(
+        "page_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("href"),
+                                             F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("text"))))
+    return found.select("page_id", (F.col("pos") + 1).alias("link_no"), F.col("col.href").alias("href"),
+                        sql_trim(F.col("col.text")).alias("text"))
 
 
-@register("json_fields", """
+@register("json_fields", osql(["fx_events"], [], """
 SELECT event_id, event_type, COALESCE(json_extract_string(props, '$.k'), '') AS k,
        COALESCE(json_extract_string(props, '$.thumbnail.source'), '') AS thumbnail_source
-FROM events""", "S20 JSON get with default")
+FROM fx_events"""), "S20 JSON get with default")
 def q_json_fields(spark, sf):
     from ..functions import json_get
-    from ..sources.tables import read_table
-    e = read_table(spark, sf, "events")
+    e = fixture(spark, sf, "fx_events")
     return e.select("event_id", "event_type", json_get("props", "$.k").alias("k"),
                     json_get("props", "$.thumbnail.source").alias("thumbnail_source"))
 

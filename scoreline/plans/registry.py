@@ -1,9 +1,9 @@
 """Registry of named queries: a Spark plan builder plus its DuckDB oracle SQL.
 
 Each builder takes (spark, sf_dir) and returns a lazy DataFrame over the
-driver tables (through the stand-in views of ``sources.fixtures``). The
-oracle SQL is written independently, in the reference's own SQL style, over
-the very same stand-in view text.
+driver tables (through the stand-in views of ``sources.fixtures``); building
+one starts no job. The oracle SQL states the same rules by another way of
+computing, over the very same stand-in view text.
 """
 
 from __future__ import annotations

@@ -1,10 +1,7 @@
-"""SparkSession construction and the shared checkpoint folder."""
+"""SparkSession construction for tests and the bench."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -15,9 +12,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # HTML pages can be large (up to ~20,000 words): keep Arrow batches for
-    # the mapInPandas extractor small so one batch stays well under memory.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
@@ -36,34 +30,4 @@ def build_session(master: str | None = "local[8]", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named in ``spark.checkpoint.dir``.
-
-    On a cluster this setting names a shared (distributed) folder and is only
-    read. Only when it is unset (local tests) a fresh scratch folder is
-    created and used for this session.
-    """
-    sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    if _LOCAL.get("dir"):
-        return _LOCAL["dir"]
-    local = tempfile.mkdtemp(prefix="scoreline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    try:
-        spark.conf.set("spark.checkpoint.dir", local)
-    except Exception:  # noqa: BLE001 - core confs may be read-only at run time
-        pass
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(local)
-    _LOCAL["dir"] = local
-    return local
-
-
-_LOCAL: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 A literal dimension is a small, fixed Python mapping turned into a DataFrame.
 Its size is bounded by the literal itself (known on the driver before any job
-runs), so it is always safe to broadcast; ``lookup`` does so explicitly.
+runs), so it is always safe to broadcast; ``lookup`` does so if told that it is one.
 """
 
 from __future__ import annotations
@@ -213,14 +213,14 @@ def dim_frame(spark: SparkSession, mapping: dict, key: str = "key", value: str =
 
 
 def lookup(df: DataFrame, key, dim: DataFrame, out: str, default=None,
-           dim_key: str = "key", dim_value: str = "value", bounded: bool = True) -> DataFrame:
+           dim_key: str = "key", dim_value: str = "value", bounded: bool = False) -> DataFrame:
     """Left-join ``dim`` on ``key`` and add column ``out`` with a default.
 
     ``default`` may be a literal (constant default, e.g. "Outro"), a Column
     (e.g. the key itself: identity default) or None (stays NULL). ``dim``
-    must have unique keys. A literal dimension has a size known up front
-    (``bounded=True``) and is broadcast; for a data-derived dimension pass
-    ``bounded=False`` and the planner / AQE choose from runtime sizes.
+    must have unique keys. For a literal dimension, whose size is known up front,
+    pass ``bounded=True`` to broadcast it; else the planner and AQE choose from
+    run-time sizes.
     """
     k = F.col(key) if isinstance(key, str) else key
     tmp_k, tmp_v = f"__lk_{out}", f"__lv_{out}"

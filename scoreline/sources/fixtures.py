@@ -4,7 +4,8 @@ The reference's own inputs (match results, squads, market values, countries,
 photo cache) are mostly not shipped. Each operator therefore runs on views
 derived from the driver tables. The SQL text below is the single source of
 truth: Spark registers it as temp views and the DuckDB oracle prepends the
-very same text as CTEs, so both engines see identical rows.
+very same text as CTEs, so both engines see identical rows. Views change values
+only, so that every branch of every lookup is met; they drop no rows.
 
 ``fx_matches`` is also available as a DataFrame plan with a join order chosen
 for scale (``matches_frame``): orders are joined to their customer first, so
@@ -16,92 +17,124 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .io import stored_table
-from .tables import read_table, register_tables
+from .tables import TABLES, read_table
 
-# Bump when the rows of a stored layer table would change.
-LAYER_VERSION = "2"
+# Real names for some nation keys, so that name lookups hit and miss.
+NATION_NAMES = {0: "Brazil", 1: "Argentina", 2: "Germany", 3: "France", 4: "Spain", 5: "England", 6: "Portugal",
+                7: "Netherlands", 8: "Morocco", 9: "Japan", 10: "United States", 11: "Mexico", 12: "South Korea",
+                13: "Côte d'Ivoire", 14: "New Zealand", 15: "Italy"}
+STAGE_NAMES = {"1-URGENT": "Final", "2-HIGH": "Semi-finals", "3-MEDIUM": "Quarter-finals", "4-NOT SPECIFIED": "Group Stage"}
+PLAYER_NAMES = {1: "Lionel Messi", 2: "Rodri", 3: "Harry Kane", 4: "Kylian Mbappé"}
 
 
-def _code_digest() -> str:
-    """Digest of the package source: any code change gives new layer keys, so
-    a stored table is never served by code that would build it differently."""
-    import hashlib
-    import os
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    h = hashlib.sha1()
-    for d, _, files in sorted(os.walk(root)):
-        for f in sorted(files):
-            if f.endswith(".py"):
-                with open(os.path.join(d, f), "rb") as fh:
-                    h.update(f.encode() + b"\0" + fh.read())
-    return h.hexdigest()
+def _case(column: str, names: dict, other: str) -> str:
+    """A CASE over the literal ``names`` in SQL that both engines read."""
+    return f"CASE {column} " + " ".join(f"WHEN {_quoted(k) if isinstance(k, str) else k} THEN {_quoted(v)}" for k, v in names.items()) + f" ELSE {other} END"
 
 
-CODE_DIGEST = _code_digest()
+def _quoted(v: str) -> str:
+    """A string literal; a quote inside is written as chr(39), which both engines read alike."""
+    return " || chr(39) || ".join(f"'{part}'" for part in v.split("'"))
+
+
+# Two rare sides, so that small groups of matches exist.
+_HOME = "CASE WHEN l_orderkey % 16000 = 3 THEN 'Fiji' WHEN l_orderkey = 7 AND l_linenumber = 1 THEN 'Palau' ELSE hs.nation END"
 
 FIXTURE_SQL: dict[str, str] = {
-    "fx_matches": """
+    "fx_nations": f"""
+SELECT n_nationkey AS nation_key, {_case("n_nationkey", NATION_NAMES, "n_name")} AS nation, n_regionkey AS region_key
+FROM nation""",
+    "fx_matches": f"""
 SELECT l_orderkey AS match_order, l_linenumber AS match_line,
-       CAST(year(o_orderdate) AS INT) AS year, concat(' ', o_orderpriority, ' ') AS stage,
-       hs.n_name AS home_team_name, CAST(CAST(l_quantity AS BIGINT) % 5 AS INT) AS home_team_goals,
-       CAST((l_partkey + l_linenumber) % 5 AS INT) AS away_team_goals, aw.n_name AS away_team_name
+       CAST(year(o_orderdate) AS INT) AS year,
+       ' ' || {_case("o_orderpriority", STAGE_NAMES, "o_orderpriority")} || ' ' AS stage,
+       concat(' Stadium ', l_suppkey % 40) AS stadium, concat('City ', l_suppkey % 12, ' ') AS city,
+       {_HOME} AS home_team_name, CAST(CAST(l_quantity AS BIGINT) % 5 AS INT) AS home_team_goals,
+       CAST((l_partkey + l_linenumber) % 5 AS INT) AS away_team_goals, aw.nation AS away_team_name,
+       CAST(l_partkey % 90000 AS DOUBLE) + 0.5 AS attendance, concat(' Referee ', l_linenumber, ' ') AS referee
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN supplier ON l_suppkey = s_suppkey JOIN nation hs ON s_nationkey = hs.n_nationkey
-JOIN customer ON o_custkey = c_custkey JOIN nation aw ON c_nationkey = aw.n_nationkey
-WHERE hs.n_nationkey <> aw.n_nationkey""",
+JOIN supplier ON l_suppkey = s_suppkey JOIN fx_nations hs ON s_nationkey = hs.nation_key
+JOIN customer ON o_custkey = c_custkey JOIN fx_nations aw ON c_nationkey = aw.nation_key""",
     "fx_matches_null": """
-SELECT match_order, match_line, year, stage, CASE WHEN match_line = 7 THEN NULL ELSE home_team_name END AS home_team_name,
-       nullif(home_team_goals, 4) AS home_team_goals, away_team_goals, away_team_name
+SELECT match_order, match_line, year, stage, stadium, city,
+       CASE WHEN match_line = 7 THEN NULL ELSE home_team_name END AS home_team_name,
+       nullif(home_team_goals, 4) AS home_team_goals, away_team_goals, away_team_name, attendance, referee
 FROM fx_matches""",
     "fx_cups": """
-SELECT year, winner FROM (
+SELECT year, CASE WHEN year = 1997 THEN NULL ELSE winner END AS winner FROM (
   SELECT year, lower(home_team_name) AS winner,
          row_number() OVER (PARTITION BY year ORDER BY sum(home_team_goals) % (year % 10 + 7) DESC, home_team_name) AS rn
   FROM fx_matches GROUP BY year, home_team_name) t
 WHERE rn = 1""",
     "fx_countries": """
-SELECT CASE WHEN n_nationkey % 5 = 4 THEN concat(n_name, ' FR')
-            WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS country_name,
-       substring(r_name, 1, 3) AS iso_a3, n_nationkey % 2 = 0 AS qualified_2026
-FROM nation JOIN region ON n_regionkey = r_regionkey""",
+SELECT CASE WHEN nation_key % 5 = 4 THEN concat(nation, ' FR')
+            WHEN nation_key % 3 = 0 THEN lower(nation) ELSE nation END AS country_name,
+       substring(r_name, 1, 3) AS iso_a3, nation_key % 2 = 0 AS qualified_2026
+FROM fx_nations JOIN region ON region_key = r_regionkey""",
+    "fx_people": f"""
+SELECT c_custkey, c_name, c_acctbal, nation,
+       CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey <= {max(PLAYER_NAMES)} THEN {_case("c_custkey", PLAYER_NAMES, "c_name")}
+            WHEN c_custkey % 4 = 1 THEN concat('Ana ', c_name) ELSE c_name END AS player
+FROM customer JOIN fx_nations ON c_nationkey = nation_key""",
     "fx_squads": """
-SELECT n_name AS nation, c_name AS player,
+SELECT nation, player,
        CASE c_custkey % 9 WHEN 0 THEN 'GK' WHEN 1 THEN 'CB' WHEN 2 THEN 'RB' WHEN 3 THEN 'LB' WHEN 4 THEN 'DM'
             WHEN 5 THEN 'MF' WHEN 6 THEN 'LW' WHEN 7 THEN 'FW' ELSE 'CAM' END AS pos,
        CASE WHEN c_custkey % 11 = 0 THEN 'n/a' ELSE concat(18 + c_custkey % 22, '-', c_custkey % 365) END AS age,
        CAST(c_custkey % 40 AS INT) AS mp, CAST(c_custkey % 17 AS DOUBLE) AS gls, CAST(c_custkey % 13 AS DOUBLE) AS ast,
        CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE CAST(c_custkey % 38 AS DOUBLE) END AS m90
-FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+FROM fx_people""",
     "fx_market": """
-SELECT n_name AS nation,
-       CASE WHEN c_custkey % 7 = 0 THEN concat(c_name, ' Jr') ELSE concat(' ', upper(c_name), ' ') END AS player_name,
+SELECT nation, CASE WHEN c_custkey % 7 = 0 THEN player || ' Jr' ELSE ' ' || upper(player) || ' ' END AS player_name,
        CAST(floor(abs(c_acctbal) / 50) AS DOUBLE) AS market_value_eur_m
-FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+FROM fx_people""",
     "fx_money": """
 SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN concat('€', p_size, 'M') WHEN 1 THEN concat('€', p_size, ',5M')
        WHEN 2 THEN concat('€', p_size, '00k') WHEN 3 THEN '-' WHEN 4 THEN '' WHEN 5 THEN concat('€1.', p_size, ',5M')
        ELSE concat('€', p_size) END AS value_text
 FROM part""",
     "fx_results": """
-SELECT concat(year, '/', trim(stage)) AS grp,
+SELECT substring('ABCDEFGHIJKLZ', CAST(match_order % 13 AS INT) + 1, 1) AS grp,
        concat(lpad(CAST((match_order * 7 + match_line) % 28 + 1 AS STRING), 2, '0'), '/06') AS date,
-       match_order AS seq_order, match_line AS seq_line,
-       home_team_name AS home, home_team_goals AS hs, away_team_goals AS as_, away_team_name AS away
+       match_order AS seq_order, match_line AS seq_line, home_team_name AS home,
+       CASE WHEN match_order % 13 = 10 THEN NULL ELSE home_team_goals END AS hs,
+       CASE WHEN match_order % 13 = 10 THEN NULL ELSE away_team_goals END AS as_, away_team_name AS away
 FROM fx_matches_null""",
     "fx_cache": """
-SELECT CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, ' (old)') ELSE c_name END AS name,
+SELECT CASE WHEN c_custkey % 3 = 0 THEN concat(coalesce(player, c_name), ' (old)') ELSE coalesce(player, c_name) END AS name,
        CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('https://img.example/', c_custkey, '/200px-x.jpg') END AS url
-FROM customer""",
+FROM fx_people""",
     "fx_overrides": """
-SELECT c_name AS name, CASE WHEN c_custkey % 10 = 0 THEN concat('slug_(', c_custkey, ')') END AS slug FROM customer""",
+SELECT coalesce(player, c_name) AS name, CASE WHEN c_custkey % 10 = 0 THEN concat('slug_(', c_custkey, ')') END AS slug
+FROM fx_people""",
+    "fx_csv": """
+SELECT c_custkey, CASE WHEN c_custkey % 10 = 3 THEN concat('x', c_custkey, ',', c_mktsegment, ',', c_nationkey)
+                       WHEN c_custkey % 10 = 7 THEN concat(c_custkey, ',', c_mktsegment)
+                       ELSE concat(c_custkey, ',', c_mktsegment, ',', c_nationkey) END AS line
+FROM customer""",
+    "fx_events": """
+SELECT event_id, event_type,
+       CASE WHEN event_id % 3 = 0 THEN concat('{"k": "n', event_id % 7, '", "thumbnail": {"source": "https://img.example/', event_id % 11, '.jpg"}}')
+            ELSE props END AS props
+FROM events""",
 }
 
-# Which fixture views each view reads (for building minimal oracle CTE lists).
+# Which views and tables each view reads.
 FIXTURE_DEPS: dict[str, list[str]] = {
+    "fx_nations": ["nation"],
+    "fx_matches": ["fx_nations", "lineitem", "orders", "supplier", "customer"],
     "fx_matches_null": ["fx_matches"],
     "fx_cups": ["fx_matches"],
+    "fx_countries": ["fx_nations", "region"],
+    "fx_people": ["fx_nations", "customer"],
+    "fx_squads": ["fx_people"],
+    "fx_market": ["fx_people"],
+    "fx_money": ["part"],
     "fx_results": ["fx_matches_null"],
+    "fx_cache": ["fx_people"],
+    "fx_overrides": ["fx_people"],
+    "fx_csv": ["customer"],
+    "fx_events": ["events"],
 }
 
 
@@ -121,130 +154,64 @@ def matches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    read_table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    n = spark.sql(FIXTURE_SQL["fx_nations"])
     away = (o.join(c, o.o_custkey == c.c_custkey)
              .select("o_orderkey", F.year("o_orderdate").cast("int").alias("year"), "o_orderpriority",
                      F.col("c_nationkey").alias("aw_key")))
-    m = (li.join(away, li.l_orderkey == away.o_orderkey)
-           .join(s, li.l_suppkey == s.s_suppkey)
-           .where(F.col("s_nationkey") != F.col("aw_key")))
-    hs = n.select(F.col("n_nationkey").alias("hs_key"), F.col("n_name").alias("hs_name"))
-    aw = n.select(F.col("n_nationkey").alias("aw_key2"), F.col("n_name").alias("aw_name"))
+    m = li.join(away, li.l_orderkey == away.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
+    hs = n.select(F.col("nation_key").alias("hs_key"), F.col("nation").alias("hs_name"))
+    aw = n.select(F.col("nation_key").alias("aw_key2"), F.col("nation").alias("aw_name"))
     m = (m.join(hs, F.col("s_nationkey") == F.col("hs_key"))
           .join(aw, F.col("aw_key") == F.col("aw_key2")))
+    stage = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STAGE_NAMES.items() for x in kv]), "o_orderpriority"),
+                       F.col("o_orderpriority"))
+    home = (F.when(F.col("l_orderkey") % 16000 == 3, "Fiji")
+             .when((F.col("l_orderkey") == 7) & (F.col("l_linenumber") == 1), "Palau").otherwise(F.col("hs_name")))
     return m.select(
         F.col("l_orderkey").alias("match_order"),
         F.col("l_linenumber").alias("match_line"),
         F.col("year"),
-        F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" ")).alias("stage"),
-        F.col("hs_name").alias("home_team_name"),
+        F.concat(F.lit(" "), stage, F.lit(" ")).alias("stage"),
+        F.concat(F.lit(" Stadium "), F.col("l_suppkey") % 40).alias("stadium"),
+        F.concat(F.lit("City "), F.col("l_suppkey") % 12, F.lit(" ")).alias("city"),
+        home.alias("home_team_name"),
         (F.col("l_quantity").cast("bigint") % 5).cast("int").alias("home_team_goals"),
         ((F.col("l_partkey") + F.col("l_linenumber")) % 5).cast("int").alias("away_team_goals"),
         F.col("aw_name").alias("away_team_name"),
+        ((F.col("l_partkey") % 90000).cast("double") + 0.5).alias("attendance"),
+        F.concat(F.lit(" Referee "), F.col("l_linenumber"), F.lit(" ")).alias("referee"),
     )
 
 
-def layer_key(spark: SparkSession, sf_dir: str,
-              tables=("lineitem", "orders", "customer", "supplier", "nation"),
-              extra: str = "") -> str:
-    """Key of the stored layer tables of one input folder: input path, the
-    size and modification time of every input file (listed through the
-    Hadoop file system, so it works on local, HDFS and object-store paths),
-    the stand-in SQL and the layer version."""
-    import hashlib
-    h = hashlib.sha1()
-    h.update(sf_dir.rstrip("/").encode())
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for t in tables:
-        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
-        fs = p.getFileSystem(conf)
-        it = fs.listFiles(p, True)
-        files = []
-        while it.hasNext():
-            st = it.next()
-            files.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
-        h.update((t + "|" + ",".join(sorted(files))).encode())
-    h.update(FIXTURE_SQL["fx_matches"].encode())
-    h.update(extra.encode())
-    h.update(LAYER_VERSION.encode())
-    h.update(CODE_DIGEST.encode())
-    return h.hexdigest()[:16]
-
-
-# Layers whose inputs total less than this are spread over the default
-# parallelism when stored (cheap at that size, and scans then run in parallel).
-SMALL_LAYER_BYTES = 1 << 30
-
-
-def input_bytes(spark: SparkSession, sf_dir: str, tables) -> int:
-    """Total size of the input tables' files (Hadoop file system listing)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for t in tables:
-        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
-        total += int(p.getFileSystem(conf).getContentSummary(p).getLength())
-    return total
-
-
-def layer_files(spark: SparkSession, sf_dir: str, tables) -> int | None:
-    """Files to spread a stored layer over: the default parallelism for small
-    inputs, None (keep the natural partitioning) for large ones."""
-    if input_bytes(spark, sf_dir, tables) < SMALL_LAYER_BYTES:
-        return spark.sparkContext.defaultParallelism
-    return None
-
-
-MATCH_TABLES = ("lineitem", "orders", "customer", "supplier", "nation")
-
-
-def bronze_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``fx_matches`` materialised once per input folder (the bronze match
-    table); every match query reads this table instead of re-running the
-    five-way join."""
-    return stored_table(spark, "bronze_matches", layer_key(spark, sf_dir), lambda: matches_frame(spark, sf_dir),
-                        min_files=layer_files(spark, sf_dir, MATCH_TABLES))
-
-
-# Input folder whose views are currently registered, per session.
-_REGISTERED: dict[int, str] = {}
-
-
-def register_fixtures(spark: SparkSession, sf_dir: str, force: bool = False) -> None:
-    """Register driver tables and every stand-in view as temp views. Done
-    once per session and input folder (views are lazy plans, so this only
-    reads file metadata); switching folders re-registers."""
-    key = id(spark._jsparkSession)
-    if not force and _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("fx_matches"):
-        return
-    register_tables(spark, sf_dir, ["region", "nation", "customer", "supplier", "part",
-                                    "orders", "lineitem", "events", "pages"])
-    bronze_matches(spark, sf_dir).createOrReplaceTempView("fx_matches")
-    for name, sql in FIXTURE_SQL.items():
-        if name == "fx_matches":
-            continue
-        spark.sql(sql).createOrReplaceTempView(name)
-    _REGISTERED[key] = sf_dir
-
-
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One stand-in view as a DataFrame (registers all views for ``sf_dir``)."""
-    register_fixtures(spark, sf_dir)
-    return spark.table(name)
-
-
-def oracle_ctes(names: list[str]) -> str:
-    """'WITH a AS (...), b AS (...)' for the views ``names`` and what they read."""
-    needed: list[str] = []
+def needed(names: list[str]) -> list[str]:
+    """``names`` and all views and tables that they read, each after what it reads."""
+    out: list[str] = []
 
     def add(n):
         for d in FIXTURE_DEPS.get(n, []):
             add(d)
-        if n not in needed:
-            needed.append(n)
+        if n not in out:
+            out.append(n)
 
     for n in names:
         add(n)
-    parts = [f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in needed]
+    return out
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One stand-in view as a DataFrame. Only the views and tables that it reads are
+    registered, for ``sf_dir``; nothing is computed or written. The match rows come from
+    the bronze layer if one is in use (``layers``)."""
+    from .layers import layer
+    if name == "fx_matches":
+        return layer(spark, sf_dir, "bronze_matches", lambda: matches_frame(spark, sf_dir))
+    for n in FIXTURE_DEPS[name]:
+        (read_table(spark, sf_dir, n) if n in TABLES else fixture(spark, sf_dir, n)).createOrReplaceTempView(n)
+    return spark.sql(FIXTURE_SQL[name])
+
+
+def oracle_ctes(names: list[str]) -> str:
+    """'WITH a AS (...), b AS (...)' for the views ``names`` and what they read."""
+    parts = [f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in needed(names) if n in FIXTURE_SQL]
     return "WITH " + ",\n".join(parts) + "\n"

@@ -8,9 +8,7 @@ executor is lost.
 
 from __future__ import annotations
 
-import threading
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +16,36 @@ from pyspark.sql import types as T
 from ..functions.text import normalize_header, normalize_header_ws
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             header: bool = True) -> DataFrame:
+             header: bool = True, strict: bool = False) -> DataFrame:
     """CSV scan. With ``schema`` the types are declared (no inference pass over
-    the data); without it every column is read as text."""
-    r = spark.read.option("header", header).option("mode", "PERMISSIVE")
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
+    the data) and a line that does not fit them keeps its text in ``_corrupt_record``
+    (NULL for good lines), or fails the read if ``strict``. Without a schema every
+    column is read as text."""
+    r = spark.read.option("header", header)
+    if schema is None:
+        return r.option("mode", "PERMISSIVE").csv(path)
+    if strict:
+        return r.option("mode", "FAILFAST").schema(schema).csv(path)
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
+    return r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(fields).csv(path)
+
+
+def parse_csv_lines(df: DataFrame, line: str, schema: str) -> DataFrame:
+    """``df`` with the columns of ``schema`` parsed from the text column ``line``, and
+    ``_corrupt_record`` as in ``read_csv``."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_csv(F.col(line), f"{schema}, {CORRUPT} STRING", options)
+    return df.select("*", parsed.alias("__csv")).select(*[F.col(c) for c in df.columns], "__csv.*")
+
+
+def reject_report(df: DataFrame, source: str) -> DataFrame:
+    """(source, rows, rejected_rows) of a frame with a ``_corrupt_record`` column."""
+    return df.agg(F.lit(source).alias("source"), F.count(F.lit(1)).alias("rows"), F.count(CORRUPT).alias("rejected_rows"))
 
 
 def normalize_headers(df: DataFrame, rule: str = "csv") -> DataFrame:
@@ -62,10 +82,11 @@ GEO_SCHEMA = T.StructType([
 ])
 
 
-def read_features(spark: SparkSession, path: str, fmt: str = "collection") -> DataFrame:
+def read_features(spark: SparkSession, path: str, fmt: str = "lines") -> DataFrame:
     """GeoJSON -> one row per feature with its properties map and geometry
-    kept as JSON text. ``fmt="collection"``: FeatureCollection file(s);
-    ``fmt="lines"``: one feature per line (what ``write_features`` writes)."""
+    kept as JSON text. ``fmt="lines"``: one feature per line (what
+    ``write_features`` writes). ``fmt="collection"`` is for import only: the format
+    puts a whole FeatureCollection file in one row of one task."""
     if fmt == "lines":
         feature = GEO_SCHEMA["features"].dataType.elementType
         return spark.read.schema(feature).json(path).select("properties", "geometry")
@@ -103,12 +124,12 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def read_kv_json(spark: SparkSession, path: str, key: str = "name", value: str = "url",
-                 fmt: str = "object") -> DataFrame:
-    """A key-value cache -> (key, value) rows. ``fmt="object"``: one JSON
-    object {key: value, ...} per file (the reference's cache file);
-    ``fmt="lines"``: one {"name": ..., "url": ...} per line (what
-    ``write_kv_json`` writes). A missing or corrupt file gives an empty cache
-    instead of an error."""
+                 fmt: str = "lines") -> DataFrame:
+    """A key-value cache -> (key, value) rows. ``fmt="lines"``: one {"name": ...,
+    "url": ...} per line (what ``write_kv_json`` writes). ``fmt="object"`` is for
+    import only: one JSON object {key: value, ...} per file, which the format puts in
+    one row of one task. A missing path and unreadable lines give no rows; any other
+    error (storage, permission) is raised, so that it is never taken for an empty cache."""
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(value, T.StringType())])
     try:
         if fmt == "lines":
@@ -119,10 +140,16 @@ def read_kv_json(spark: SparkSession, path: str, key: str = "name", value: str =
             out = txt.select(F.explode(m).alias(key, value))
         out.schema  # noqa: B018 - resolves the path now
         return out
-    except Exception:  # noqa: BLE001
+    except AnalysisException as e:
+        if not _missing_path(e):
+            raise
         return spark.createDataFrame([], schema)
 
 
+def _missing_path(e: AnalysisException) -> bool:
+    return (e.getCondition() or "") == "PATH_NOT_FOUND"
+
+
 def write_kv_json(df: DataFrame, path: str, key: str = "name", value: str = "url") -> None:
     """(key, value) rows -> JSON lines {"name": ..., "url": ...}; overwrite.
     One line per entry, written by every task in parallel (a single JSON
@@ -146,72 +173,13 @@ def replace_if_rows(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
 
 def table_or_fallback(spark: SparkSession, path: str, fallback, fmt: str = "parquet") -> DataFrame:
     """Read the stored table at ``path``; when it is missing or empty use
-    ``fallback()`` (a function building the same rows from earlier layers)."""
+    ``fallback()`` (a function building the same rows from earlier layers). Other
+    errors are raised."""
     try:
         df = spark.read.format(fmt).load(path)
         if not df.isEmpty():
             return df
-    except Exception:  # noqa: BLE001
-        pass
+    except AnalysisException as e:
+        if not _missing_path(e):
+            raise
     return fallback()
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _fs_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
-_BUILD_LOCKS: dict[str, threading.Lock] = {}
-_LOCKS_GUARD = threading.Lock()
-
-
-def stored_table(spark: SparkSession, name: str, key: str, build, min_files: int | None = None) -> DataFrame:
-    """A layer table built once and reused (the medallion pattern: bronze /
-    silver tables are materialised, later layers read them).
-
-    The table lives under the shared checkpoint folder in
-    ``{dir}/layers/{name}-{key}``; ``key`` must change whenever the inputs or
-    the building code change. It is reused only if its write job committed
-    (``_SUCCESS`` present). A build writes to a fresh temporary folder and
-    renames it into place, so concurrent builders never mix files: the first
-    rename wins and the others read the winner's table. Written files survive
-    executor loss and cut the lineage. ``min_files``: spread a small table
-    over that many files (a round-robin repartition before the write) so
-    later scans run in parallel; callers pass it only for inputs measured
-    small, large tables keep the partitioning of their last stage.
-    """
-    from ..session import ensure_checkpoint_dir
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layers/{name}-{key}"
-    memo = (id(spark._jsparkSession), path)
-    hit = _READS.get(memo)
-    if hit is not None:
-        return hit
-    with _LOCKS_GUARD:
-        lock = _BUILD_LOCKS.setdefault(path, threading.Lock())
-    with lock:
-        if not _fs_exists(spark, f"{path}/_SUCCESS"):
-            tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-            df = build()
-            if min_files:
-                df = df.repartition(min_files)
-            df.write.mode("overwrite").parquet(tmp)
-            fs, dst = _fs(spark, path)
-            _, src = _fs(spark, tmp)
-            if fs.exists(dst) and not fs.exists(_fs(spark, f"{path}/_SUCCESS")[1]):
-                fs.delete(dst, True)  # an unfinished earlier build
-            if not fs.rename(src, dst):
-                fs.delete(src, True)  # another builder won the rename
-    # A committed layer folder is never rewritten (new content gets a new
-    # key), so its DataFrame can be reused for the rest of the session.
-    df = spark.read.parquet(path)
-    _READS[memo] = df
-    return df
-
-
-_READS: dict[tuple, DataFrame] = {}

@@ -1,5 +1,5 @@
 """Readers and sinks on temporary files: typed CSV, header rules, GeoJSON,
-key-value cache JSON, replace-table, write-if-rows, fallback, layer tables."""
+key-value cache JSON, replace-table, write-if-rows, fallback."""
 
 import json
 import os
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scoreline.operators.photos import merge_cache, names_to_fetch, with_photo
 from scoreline.sources.io import (country_rows, named_features, normalize_headers, read_csv,
                                   read_features, read_kv_json, replace_if_rows, replace_table,
-                                  stored_table, table_or_fallback, union_sources, with_source,
+                                  table_or_fallback, union_sources, with_source,
                                   write_features, write_kv_json)
 
 
@@ -20,7 +20,7 @@ def test_csv_declared_types_and_headers(spark, tmp_out):
                 "1934,Italy,Italy,Czechoslovakia,363.000\n")
     df = normalize_headers(read_csv(spark, p, "Year int, Country string, Winner string, "
                                               "`Runners-Up` string, Attendance string"))
-    assert df.columns == ["year", "country", "winner", "runners-up", "attendance"]
+    assert df.columns == ["year", "country", "winner", "runners-up", "attendance", "_corrupt_record"]
     r = df.orderBy("year").first()
     assert r.year == 1930 and r.attendance == "590.549"  # thousands text kept as text
 
@@ -33,7 +33,7 @@ def test_geojson_roundtrip(spark, tmp_out):
         {"type": "Feature", "properties": {"name": "Chile"}, "geometry": None}]}
     with open(p, "w") as f:
         json.dump(fc, f)
-    feats = read_features(spark, p)
+    feats = read_features(spark, p, fmt="collection")
     q = spark.createDataFrame([("Brazil",)], "name string")
     rows = {r.country_name: r for r in country_rows(feats, q).collect()}
     assert rows["Brazil"].iso_a3 == "BRA" and rows["Brazil"].qualified_2026
@@ -51,13 +51,13 @@ def test_kv_cache_read_merge_write(spark, tmp_out):
     p = os.path.join(tmp_out, "photos.json")
     with open(p, "w") as f:
         json.dump({"Alisson": "https://x/200px-a.jpg", "Gavi": "", "Pedri": ""}, f)
-    cache = read_kv_json(spark, p)
+    cache = read_kv_json(spark, p, fmt="object")
     assert cache.count() == 3
     assert read_kv_json(spark, os.path.join(tmp_out, "missing.json")).count() == 0
     bad = os.path.join(tmp_out, "bad.json")
     with open(bad, "w") as f:
         f.write("{not json")
-    assert read_kv_json(spark, bad).count() == 0
+    assert read_kv_json(spark, bad, fmt="object").count() == 0
     players = spark.createDataFrame([("Alisson",), ("Gavi",), ("Pedri",), ("Rodri",)], "player_name string")
     over = spark.createDataFrame([("Gavi", "Gavi_(footballer)"), ("Rodri", None)], "name string, slug string")
     need = {r.name: r.slug for r in names_to_fetch(players, cache, over).collect()}
@@ -85,18 +85,6 @@ def test_replace_and_fallback(spark, tmp_out):
     assert table_or_fallback(spark, p, lambda: spark.range(2)).count() == 5
 
 
-def test_stored_table_built_once(spark):
-    calls = []
-
-    def build():
-        calls.append(1)
-        return spark.range(4)
-    key = f"test-{os.getpid()}-{id(calls)}"
-    assert stored_table(spark, "t", key, build).count() == 4
-    assert stored_table(spark, "t", key, build).count() == 4
-    assert len(calls) == 1
-
-
 def test_sources_union(spark):
     a = spark.createDataFrame([("ARG", "Messi")], "nation string, player string")
     b = spark.createDataFrame([("Kane", 90.0)], "player_name string, market_value_eur_m double")
@@ -121,16 +109,23 @@ def test_seed_csv_with_odd_column_name(spark, tmp_out):
     assert r["Raphinha"].matches_played is None and r["Raphinha"].minutes_90s is None
 
 
-def test_stored_table_concurrent_builders(spark):
-    import threading
-    key = f"conc-{os.getpid()}-{id(spark)}"
-    out = []
 
-    def run():
-        out.append(stored_table(spark, "c", key, lambda: spark.range(7)).count())
-    ts = [threading.Thread(target=run) for _ in range(3)]
-    for t in ts:
-        t.start()
-    for t in ts:
-        t.join()
-    assert out == [7, 7, 7]
+def test_csv_keeps_and_counts_rejected_lines(spark, tmp_out):
+    import pytest
+    from scoreline.sources.io import CORRUPT, reject_report
+    p = os.path.join(tmp_out, "bad.csv")
+    with open(p, "w") as f:
+        f.write("year,winner\n1930,Uruguay\nbad,x\n1934,Italy\n")
+    df = read_csv(spark, p, "year int, winner string").cache()
+    assert [r[CORRUPT] for r in df.collect()] == [None, "bad,x", None]
+    assert reject_report(df, "cups").first()[:] == ("cups", 3, 1)
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        read_csv(spark, p, "year int, winner string", strict=True).collect()
+
+
+def test_unreadable_cache_is_not_taken_for_an_empty_one(spark, tmp_out):
+    import pytest
+    with pytest.raises(Exception):  # noqa: B017 - any error but "no such path"
+        read_kv_json(spark, "nosuchscheme://x/cache").count()
+    with pytest.raises(Exception):  # noqa: B017
+        table_or_fallback(spark, "nosuchscheme://x/t", lambda: spark.range(1))

@@ -2,8 +2,7 @@
 break at scale must not appear.
 
 * no cartesian product / nested-loop join (no cross joins);
-* no row-at-a-time or Arrow Python UDF; only the HTML extractor runs Python
-  (``mapInPandas``);
+* no Python on executors at all;
 * every single-partition exchange is fed by a partial aggregate (global
   aggregates are partial per task first; no global window or sort gathers rows);
 * scans of the driver tables read only the columns the query needs.
@@ -14,25 +13,24 @@ import re
 import pyarrow.parquet as pq
 import pytest
 
-import __spark_entry__ as E
+from scoreline.plans import all_queries
 
 from .conftest import SF_SMALL
 
-PYTHON_OK = {"html_items"}
+QUERIES = all_queries()
 SCAN = re.compile(r"FileScan parquet \[([^\]]*)\].*?Location: \w+\(\d+ paths?\)\[file:([^\],]*)")
 
 
 def plan_of(spark, name):
-    return E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name].build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_shapes(spark, name):
     plan = plan_of(spark, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    if name not in PYTHON_OK:
-        assert "MapInPandas" not in plan and "FlatMapGroupsInPandas" not in plan
+    assert "MapInPandas" not in plan and "FlatMapGroupsInPandas" not in plan and "MapInArrow" not in plan
     lines = plan.split("\n")
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
@@ -54,15 +52,15 @@ def test_aggregations_are_partial_before_shuffle(spark):
 
 
 def test_top_k_per_group_uses_group_limit(spark):
-    for name in ("head_to_head_top", "matches_by_date", "features_lookup"):
+    for name in ("head_to_head_top", "features_lookup", "ranking_metrics"):
         assert "WindowGroupLimit" in plan_of(spark, name), name
 
 
 def test_top_n_is_take_ordered(spark):
-    plan = E.queries()["best_thirds"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(spark, "best_thirds")
     assert "TakeOrderedAndProject" in plan
 
 
 def test_filter_pushed_into_scan(spark):
-    plan = plan_of(spark, "qualified_nations")
-    assert "PushedFilters: [IsNotNull(qualified_2026), EqualTo(qualified_2026,true)]" in plan
+    plan = plan_of(spark, "stage_matches")
+    assert "PushedFilters: [IsNotNull(l_orderkey)" in plan

@@ -35,12 +35,13 @@ def test_group_status_and_thirds(spark):
     assert [r.team for r in thirds] == ["Morocco", "Qatar", "Czechia"]  # pts, gd, gf, then name
 
 
-def test_matches_by_date_first_k(spark):
+def test_matches_by_date(spark):
     df = spark.createDataFrame(RESULTS, SCHEMA)
-    rows = matches_by_date(df, k=1, order=("seq_order",)).collect()
-    by = {r.date: r for r in rows}
-    assert by["13/06"].home == "Qatar" and by["13/06"].matches_on_date == 3
-    assert len(rows) == 4
+    rows = matches_by_date(df, order=("seq_order",)).collect()
+    assert len(rows) == len(RESULTS)
+    assert [r.date for r in rows] == sorted(r.date for r in rows)
+    assert {r.date: r.matches_on_date for r in rows}["13/06"] == 3
+    assert [r.home for r in rows if r.date == "13/06"][0] == "Qatar"
 
 
 def test_match_flags(spark):
