@@ -189,29 +189,27 @@ def squad_kpis(players: DataFrame, group: str = "nation", all_label: str | None
     """Per group, plus one row for all groups together (``all_label``; None
     = no such row): total value (0 when none), mean age, players, top scorer
     (most goals; ties by group, then value desc, then name — the mart's row
-    order) with goals and a short name. One aggregation (``rollup`` adds the
-    all-groups row); the scorer is a ``min_by`` over a null-safe ordering key."""
+    order) with goals and a short name. The numbers are hash-aggregated, the scorer
+    comes from a group limit before its shuffle, and the row for all groups is made
+    from the groups' rows."""
     g, mv = F.col("goals"), F.col("market_value_eur_m")
-    key = F.struct(g.isNull().alias("gn"), (-g).alias("g"), F.col(group).alias("k"),
-                   mv.isNull().alias("mn"), (-mv).alias("m"), F.col("player_name").alias("p"))
-    aggs = [
-        F.coalesce(F.sum(mv), F.lit(0.0)).alias("total_value_eur_m"),
-        F.avg("age").alias("avg_age"),
-        F.count(F.lit(1)).alias("players"),
-        F.max(g).alias("__maxg"),
-        F.min_by(F.struct(F.col("player_name").alias("n"), g.alias("g")), key).alias("__top"),
-    ]
-    if all_label is None:
-        agg = players.groupBy(group).agg(*aggs)
-    else:
-        agg = (players.rollup(group).agg(F.grouping(group).alias("__all"), *aggs)
-                      .withColumn(group, F.when(F.col("__all") == 1, F.lit(all_label)).otherwise(F.col(group))))
-    has = F.col("__maxg").isNotNull()
-    name = F.when(has, F.col("__top.n")).otherwise(F.lit("—"))
-    return agg.select(
-        group, "total_value_eur_m", "avg_age", "players",
+    numbers = players.groupBy(group).agg(F.sum(mv).alias("value"), F.sum("age").alias("ages"), F.count("age").alias("n_ages"),
+                                         F.count(F.lit(1)).alias("players"))
+    first = top_per_group(players.select(group, "player_name", "goals", "market_value_eur_m"), group,
+                          [g.desc_nulls_last(), mv.desc_nulls_last(), F.col("player_name").asc()], 1)
+    top = F.struct(F.col("player_name").alias("n"), g.alias("g"))
+    rows = numbers.join(first, group).select(group, "value", "ages", "n_ages", "players", top.alias("top"))
+    if all_label is not None:
+        key = F.struct(F.col("top.g").isNull().alias("gn"), (-F.col("top.g")).alias("g"), F.col(group).alias("k"))
+        every = rows.agg(F.sum("value").alias("value"), F.sum("ages").alias("ages"), F.sum("n_ages").alias("n_ages"),
+                         F.sum("players").alias("players"), F.min_by("top", key).alias("top")).where(F.col("players") > 0)
+        rows = rows.unionByName(every.withColumn(group, F.lit(all_label)))
+    has = F.col("top.g").isNotNull()
+    name = F.when(has, F.col("top.n")).otherwise(F.lit("—"))
+    return rows.select(
+        group, F.coalesce("value", F.lit(0.0)).alias("total_value_eur_m"), F.try_divide(F.col("ages"), F.col("n_ages")).alias("avg_age"), "players",
         name.alias("top_scorer"),
-        F.when(has, F.col("__top.g").cast("int")).otherwise(F.lit(0)).alias("top_scorer_goals"),
+        F.when(has, F.col("top.g").cast("int")).otherwise(F.lit(0)).alias("top_scorer_goals"),
         ellipsis(name, 10).alias("top_scorer_short"),
     )
 
@@ -344,9 +342,8 @@ def radar_group_avg(players: DataFrame, min_rows: int = 2) -> DataFrame:
 
 def radar_with_group(players: DataFrame) -> DataFrame:
     """Player scores next to the scores of their group average. The group
-    table has one row per position group (a fixed five-value vocabulary), so
-    it is broadcast with a known bound."""
-    return radar_scores(players).join(F.broadcast(radar_group_avg(players)), "position_group", "left")
+    table has one row per position group; AQE broadcasts it when it is small."""
+    return radar_scores(players).join(radar_group_avg(players), "position_group", "left")
 
 
 # Search, sort, picks --------------------------------------------------------
@@ -367,7 +364,7 @@ def sort_players(players: DataFrame, choice: str = "valor") -> DataFrame:
     field, asc = SORT_CHOICES.get(choice, SORT_CHOICES["valor"])
     c = F.col(field)
     return players.orderBy(c.asc_nulls_last() if asc else c.desc_nulls_last(),
-                           F.col("player_name").asc_nulls_last())
+                           F.col("player_name").asc_nulls_last(), F.col("nation").asc_nulls_last())
 
 
 def preference_rank(c: Column, preferred: list[str], missing: int = 1_000_000) -> Column:
@@ -378,12 +375,12 @@ def preference_rank(c: Column, preferred: list[str], missing: int = 1_000_000) -
 
 def default_pick(players: DataFrame, preferred=STAR_PLAYERS, group: str = "nation") -> DataFrame:
     """Per group: the first preferred name present, else the first name in
-    alphabetical order (one ``min_by`` aggregation)."""
-    p = players.where(F.col("player_name").isNotNull())
-    key = F.struct(preference_rank(F.col("player_name"), preferred).alias("r"),
-                   F.col("player_name").alias("n"))
-    return p.groupBy(group).agg(F.min_by("player_name", key).alias("default_player"),
-                                F.count(F.lit(1)).alias("candidates"))
+    alphabetical order (a group limit before the shuffle), and how many there are."""
+    p = players.where(F.col("player_name").isNotNull()).select(group, "player_name")
+    rank = preference_rank(F.col("player_name"), preferred)
+    first = top_per_group(p, group, [rank.asc(), F.col("player_name").asc()], 1)
+    counts = p.groupBy(group).agg(F.count(F.lit(1)).alias("candidates"))
+    return counts.join(first.select(group, F.col("player_name").alias("default_player")), group)
 
 
 def category_order(df: DataFrame, col: str = "posicao", order=POSITION_ORDER_PT,

@@ -18,7 +18,7 @@ QUERIES = all_queries()
 # Queries that exist to sort: their sequence is compared, too.
 SORTED = ["nations_performance", "edition_history_winner", "players_profile", "team_matches", "qualified_nations",
           "ranking_resorted", "player_search", "nations_table", "semi_anti_pref", "team_names", "matches_by_date",
-          "ranking_topn", "best_thirds"]
+          "ranking_topn", "best_thirds", "player_sort_valor", "player_sort_gols", "player_sort_assist", "player_sort_idade"]
 
 
 def test_entry_smoke(spark):
