@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .learning import fit_logistic
+from .learning import fit_logistic, thinned
 from .ngrams import LETTERS, hashed
 from .tokens import chunks, text_buffers
 
@@ -144,9 +144,9 @@ def fit_languages(train: DataFrame) -> LanguageCodes:
             m, _ = model.margins(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(m), pa.list_(pa.float64()))], names=["lang", "m"])
 
-    sample = train.orderBy(F.xxhash64("text"), "lang").select("lang", F.xxhash64("text").alias("h")).limit(CALIBRATION_ROWS)
-    edge = sample.agg(F.max("h")).first()[0]
-    got = train.where(F.xxhash64("text") <= edge).dropDuplicates(["text"]).mapInArrow(margins, "lang string, m array<double>").limit(CALIBRATION_ROWS).collect()
+    # copies of a text count once; of what the thinning leaves, the first by hash
+    sample = thinned(train, "text", CALIBRATION_ROWS, train.count()).groupBy("text").agg(F.min("lang").alias("lang"))
+    got = sample.orderBy(F.xxhash64("text")).limit(CALIBRATION_ROWS).mapInArrow(margins, "lang string, m array<double>").collect()
     m, y = np.array([r["m"] for r in got]), np.array([languages.index(r["lang"]) for r in got])
     for b in range(codes.shape[1]):
         truth = codes[y, b].astype(float)

@@ -95,7 +95,7 @@ def brute(docs, train):
     counts[None] = len(train)
     n, v = sum(counts.values()), len(+counts)
     log = lambda w: math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1)))
-    return sorted((str(i), len(words(t)) + 1, sum(counts[w] > 0 for w in [*words(t), None]), n, round(sum(map(log, [*words(t), None])), 6)) for i, t in docs)
+    return sorted((str(i), len(words(t)) + 1, sum(counts[w] > 0 for w in [*words(t), None]), n, float(f"{sum(map(log, [*words(t), None])):.9g}")) for i, t in docs)
 
 
 @pytest.mark.parametrize("frequent", [L.FREQUENT_WORDS, 3])
@@ -105,7 +105,7 @@ def test_base_scores_on_odd_rows(spark, monkeypatch, frequent):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     model = L.fit_language_model(docs.where("doc_id < 7 OR doc_id IS NULL"), PATH)
     got = L.score_texts(docs, model).collect()
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == brute(rows, [t for i, t in rows if i is None or i < 7])
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, float(f"{r.base_score:.9g}")) for r in got) == brute(rows, [t for i, t in rows if i is None or i < 7])
     assert all(r.score < 0 for r in got)
 
 
