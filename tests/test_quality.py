@@ -55,4 +55,4 @@ def test_entry_in_fresh_process():
             "print(E.entry(s).count())\n") % root
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr[-2000:]
-    assert out.stdout.strip().splitlines()[-1] == "25"
+    assert out.stdout.strip().splitlines()[-1] == "27"
