@@ -20,7 +20,7 @@ from scoreline.llm.op04_decontaminate import find_leaks
 from scoreline.llm.op07_toxicity import fit_grammar, score_toxicity
 from scoreline.llm.op10_ngram_join import ngram_jaccard_join
 from scoreline.llm.queries import FIT_ROWS, MIX_KEEP, token_ids
-from scoreline.llm.storage import saved
+from scoreline.llm.storage import importable, saved
 
 #: Documents with this toxicity or more are rejected.
 TOXIC = 0.3
@@ -28,6 +28,7 @@ TOXIC = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7, learned from the labels of three of four folds of ids."""
+    importable(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     grammar = fit_grammar(labelled_sample(docs, labels, "toxic", 4, 2, FIT_ROWS))
     return score_toxicity(docs, grammar).where(F.col("toxicity") < TOXIC).select(docs.columns)

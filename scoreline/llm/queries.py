@@ -18,7 +18,7 @@ from .op07_toxicity import fit_grammar, score_toxicity
 from .op08_language import fit_languages, identify_language
 from .op09_secrets import find_secrets
 from .op10_ngram_join import ngram_jaccard_join
-from .storage import fresh_path, saved
+from .storage import fresh_path, importable, saved
 
 #: Labelled rows that a classifier is fitted on at most.
 FIT_ROWS = 20_000
@@ -31,6 +31,7 @@ END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -6,6 +6,7 @@ back, so a lost executor never loses the only copy of an intermediate result.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -34,6 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python tasks import this package from where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; never one that was used before."""
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
