@@ -109,6 +109,25 @@ def test_base_scores_on_odd_rows(spark, monkeypatch, frequent):
     assert all(r.score < 0 for r in got)
 
 
+@pytest.mark.parametrize("frequent,ranks", [(3, L.RANKS), (L.FREQUENT_PAIRS, 12), (0, 2)])
+def test_scores_do_not_depend_on_the_size_of_the_table_of_pairs(spark, monkeypatch, frequent, ranks):
+    rng = np.random.default_rng(5)
+    follow = rng.permutation(60)
+    texts = []
+    for _ in range(80):
+        at = [int(rng.integers(60))]
+        while len(at) < 40:
+            at.append(int(follow[at[-1]]) if rng.random() < 0.8 else int(rng.integers(60)))
+        texts.append(" ".join(f"{chr(97 + i % 26)}{'xyz'[i // 26]} {i}" for i in at))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = docs.where("doc_id < 70")
+    scores = lambda: {r.doc_id: r.score for r in L.score_texts(docs, L.fit_language_model(train, PATH)).collect()}
+    whole = scores()
+    monkeypatch.setattr(L, "FREQUENT_PAIRS", frequent)
+    monkeypatch.setattr(L, "RANKS", ranks)
+    assert scores() == pytest.approx(whole, rel=2e-3)
+
+
 def test_empty_tables(spark):
     docs = odd_documents(spark)
     model = L.fit_language_model(empty_documents(spark), PATH)
