@@ -2,9 +2,9 @@
 
 A first pass finds candidates in every text: three base patterns and high-entropy
 strings. Their hashes are then counted by distinct owners and distinct repositories.
-A string that many owners hold is a widely copied example; one that a single owner
-holds looks live. Base spans always stay; a high-entropy string becomes a span of its
-own only if it is owner-specific.
+A string that many owners or many repositories hold is a widely copied example; one that
+a single owner holds in few repositories looks live. Base spans always stay; a high-entropy
+string becomes a span of its own unless it is widely copied.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ _KEYWORD = re.compile(_EITHER)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _DENSE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Bits a character from which a string counts as random, and owners from which it counts as copied.
-LEAST_ENTROPY, COPIED_OWNERS = 3.5, 3
+#: Bits a character from which a string counts as random; owners, and repositories of any
+#: owners, from which it counts as copied.
+LEAST_ENTROPY, COPIED_OWNERS, COPIED_REPOSITORIES = 3.5, 3, 16
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.binary())])
 
 
@@ -79,7 +80,9 @@ def _candidates(batches):
 def find_secrets(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans
     ("kind:start:end" by start, then kind, comma-joined), n_live and n_copied (spans whose
-    string one owner holds, and COPIED_OWNERS or more owners hold).
+    string one owner holds and isn't copied, and whose string COPIED_OWNERS or more owners
+    or COPIED_REPOSITORIES or more repositories hold), span_owners and span_repositories
+    (of each span's string, in the order of ``spans``).
 
     A null or empty text has no spans: counts 0, spans "", the digest of "". A null owner
     or repository counts as one of its own. Repeated rows each get a row; they don't
@@ -93,10 +96,11 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, id_col: str
     held = spans.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     held = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     judged = spans.select("row", "kind", "start", "end", "hash").join(held, "hash")
-    judged = judged.where((F.col("kind") < 3) | (F.col("owners") == 1))
+    judged = judged.withColumn("copied", (F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") >= COPIED_REPOSITORIES)).where("kind < 3 OR NOT copied")
     kinds = F.array(*(F.lit(k) for k in KINDS))
-    listed = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("s"), F.sum((F.col("owners") == 1).cast("long")).alias("n_live"), F.sum((F.col("owners") >= COPIED_OWNERS).cast("long")).alias("n_copied"))
+    listed = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories"))).alias("s"), F.sum(F.expr("owners = 1 AND NOT copied").cast("long")).alias("n_live"), F.sum(F.col("copied").cast("long")).alias("n_copied"))
     text = F.array_join(F.transform("s", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    listed = listed.select("row", text.alias("spans"), "n_live", "n_copied")
+    listed = listed.select("row", text.alias("spans"), "n_live", "n_copied", F.col("s.owners").alias("span_owners"), F.col("s.repositories").alias("span_repositories"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.join(listed, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"))
+    none = lambda c: F.coalesce(c, F.array().cast("array<bigint>")).alias(c)
+    return rows.join(listed, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"), none("span_owners"), none("span_repositories"))

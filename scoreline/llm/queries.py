@@ -105,8 +105,8 @@ def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied; a source is
-    an owner, its documents of one language are a repository."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, span_owners,
+    span_repositories; a source is an owner, its documents of one language are a repository."""
     docs = _table(spark, sf_dir, "documents")
     return find_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
 

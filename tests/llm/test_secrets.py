@@ -49,6 +49,19 @@ def test_ownership_decides_on_added_spans_only(spark):
     assert got[200].n_copied == 0 and dense_spans(TEXTS[13], [])[0][1:3] == (4, 32)
 
 
+def test_added_spans_stay_until_owners_or_repositories_are_many(spark):
+    secret = TEXTS[13]
+    rows = [(1, secret, "a", "a/en"), (2, secret, "b", "b/en"), (3, secret, "b", "b/de")]
+    many = "key Zt5Qm9Xr2Lw7Vb4Kc8Np3Hd6Js1Yg end"
+    rows += [(100 + i, many, "c", f"c/{i}") for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in find_secrets(docs, F.col("source"), F.col("lang")).collect()}
+    for i in (1, 2, 3):
+        assert (got[i].spans, got[i].n_live, got[i].n_copied, got[i].span_owners, got[i].span_repositories) == ("entropy:4:32", 0, 0, [2], [3])
+    assert len(dense_spans(many, [])) == 1
+    assert all((got[100 + i].spans, got[100 + i].n_live, got[100 + i].span_owners) == ("", 0, []) for i in range(16))
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     got = find_secrets(docs, F.col("source"), F.col("lang")).collect()
