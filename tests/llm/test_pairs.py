@@ -7,7 +7,7 @@ import pytest
 
 from scoreline.llm.graph import components
 from scoreline.llm.op04_decontaminate import Index, distance, find_leaks, fingerprints, window_size
-from scoreline.llm.op10_ngram_join import ngram_jaccard_join
+from scoreline.llm.op10_ngram_join import ngram_jaccard_join, ngram_jaccard_pairs
 
 from .helpers import empty_documents, odd_documents, shingle_set, words
 
@@ -69,6 +69,22 @@ def test_join_is_exact(spark, k, t):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows, k, t))
 
 
+def test_pairs_are_all_links_of_different_sets(spark):
+    texts = family(np.random.default_rng(8), 30)
+    texts += texts[:3]
+    sets = [shingle_set(t, 3) for t in texts]
+    docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, "")], "doc_id long, text string")
+    pairs, members = ngram_jaccard_pairs(docs.repartition(3), threshold=Fraction(4, 5))
+    own = {r.doc_id: r for r in members.collect()}
+    assert len(own) == len(texts) + 2 and own[900].class_id is None and own[901].class_id is None
+    of = {own[i].class_id: s for i, s in enumerate(sets)}
+    assert all(own[i].n_shingles == len(s) for i, s in enumerate(sets)) and len(of) == len(set(sets))
+    got = pairs.collect()
+    assert all((r.x_shingles, r.y_shingles, r.common) == (len(of[r.x]), len(of[r.y]), len(of[r.x] & of[r.y])) for r in got)
+    want = sorted((x, y) for x in of for y in of if x < y and 5 * len(of[x] & of[y]) >= 4 * len(of[x] | of[y]))
+    assert sorted((r.x, r.y) for r in got) == want and len(want) > len(of)
+
+
 def test_join_odd_rows(spark):
     docs = odd_documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
