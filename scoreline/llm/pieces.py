@@ -15,7 +15,7 @@ import unicodedata
 
 import numpy as np
 
-from .tokens import Words, span_hashes
+from .tokens import Words, mix, span_hashes
 
 # fixed values: the pre-tokenizer's pattern and the normalizers this shortcut stands for
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -38,12 +38,12 @@ for _c in _LATIN:
     _PAIRS[tuple(_c.encode())] = True
 
 
-def part_spans(data: np.ndarray, words: Words, split: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, word of each) of the parts of all words. Words that the shortcut
-    doesn't cover, and with ``split`` false all words, are one part each."""
+def part_spans(data: np.ndarray, words: Words, split: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, word, whether a whole word) of the parts of all words. Words that the
+    shortcut doesn't cover, and with ``split`` false all words, are one part each."""
     n = len(data)
     if not split or not len(words.starts):
-        return words.starts, words.ends, np.arange(len(words.starts))
+        return words.starts, words.ends, np.arange(len(words.starts)), np.ones(len(words.starts), bool)
     kind = _KIND[data]
     high = data >= 0x80
     odd = kind == 0
@@ -64,7 +64,16 @@ def part_spans(data: np.ndarray, words: Words, split: bool) -> tuple[np.ndarray,
     starts = np.flatnonzero(begins)
     word = np.searchsorted(words.starts, starts, "right") - 1
     ends = np.minimum(np.append(starts[1:], n), words.ends[word])
-    return starts, ends, word
+    return starts, ends, word, whole[word]
+
+
+def _capitals(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of where each span has A-Z, which other hashes fold; 0 without any."""
+    width = ends - starts
+    begin = np.cumsum(width) - width
+    at = np.arange(int(width.sum())) - np.repeat(begin, width)
+    byte = data[np.repeat(starts, width) + at]
+    return np.add.reduceat(np.where((byte >= 0x41) & (byte <= 0x5A), mix(at.astype(np.uint64), 5), np.uint64(0)), begin)
 
 
 class WordEncoder:
@@ -150,8 +159,13 @@ class PartIds:
 
     def ids_of(self, data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, end to end, and their offsets by row (n + 1)."""
-        starts, ends, word = part_spans(data, words, self.words.short)
-        keys, place = np.unique(span_hashes(data, starts), return_inverse=True)
+        starts, ends, word, whole = part_spans(data, words, self.words.short)
+        keys = span_hashes(data, starts)
+        if whole.any():
+            # the library may tell cases apart in what it reads whole, such as special tokens
+            capitals = _capitals(data, starts[whole], ends[whole])
+            keys[whole] = np.where(capitals > 0, mix(keys[whole] ^ capitals, 9), keys[whole])
+        keys, place = np.unique(keys, return_inverse=True)
         one = np.empty(len(keys), np.int64)
         one[place] = np.arange(len(place))
         raw = data.tobytes()

@@ -84,3 +84,10 @@ def test_special_token_strings():
     rows = ["a <|endoftext|>b", "<|startoftext|> x", " a\u0085b\x1cc"]
     got = encode_texts(pa.array(rows), PartIds(PATH, most=2), 2)
     assert [g.tolist() for g in got] == [WHOLE.encode(t, add_special_tokens=False).ids + [2] for t in rows]
+
+
+def test_special_tokens_in_other_cases_keep_their_own_ids():
+    rows = ["<|endoftext|>", "<|EndOfText|>", "a <|ENDOFTEXT|> <|endoftext|>"]
+    for order in (rows, rows[::-1]):
+        got = encode_texts(pa.array(order), PartIds(PATH), 2)
+        assert [g.tolist() for g in got] == [WHOLE.encode(t, add_special_tokens=False).ids + [2] for t in order]
