@@ -18,6 +18,8 @@ from .op07_toxicity import fit_grammar, score_toxicity
 from .op08_language import fit_languages, identify_language
 from .op09_secrets import find_secrets
 from .op10_ngram_join import ngram_jaccard_join
+from .op12_token_counts import count_tokens
+from .op13_merkle import merkle_manifest, oracle_sql as merkle_sql
 from .storage import fresh_path, importable, saved
 
 #: Labelled rows that a classifier is fitted on at most.
@@ -26,6 +28,8 @@ FIT_ROWS = 20_000
 QUALITY_ROWS = 8_000
 #: Share of all tokens that the mixture keeps.
 MIX_KEEP = 0.6
+#: Tokens of a document beyond which it is over the limit.
+TOKEN_LIMIT = 4096
 #: Ends each document's token ids.
 END_ID = 2
 
@@ -63,11 +67,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks.select("doc_id", F.inline("leaks")).withColumn("similarity", F.round("similarity", 6))
 
 
-def _tokenizer() -> str:
+def _tokenizer(name: str = "word_bpe_49k.json") -> str:
     """The tokenizer file, which is part of each machine's Python installation."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +120,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > 4096)."""
+    return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), TOKEN_LIMIT)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, rank, leaf, subroot, root, proof_sha256, folded_root, verified; rows
+    whose id's crc32 5 divides are tampered with."""
+    return merkle_manifest(_table(spark, sf_dir, "documents"), tampered=F.col("doc_id").isNotNull() & (fold("doc_id", 5) == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -129,7 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_codes,
         op9_secret_ownership,
         op10_ngram_jaccard_join,
+        op12_token_counts,
+        op13_merkle_manifest,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_norm_bucketed_topk": TOPK_SQL, "op2_source_mixture": mixture_sql(MIX_KEEP)}
+ORACLE_SQL: dict[str, str] = {"op1_norm_bucketed_topk": TOPK_SQL, "op2_source_mixture": mixture_sql(MIX_KEEP), "op13_merkle_manifest": merkle_sql()}
