@@ -18,6 +18,7 @@ from .op07_toxicity import fit_grammar, score_toxicity
 from .op08_language import fit_languages, identify_language
 from .op09_secrets import find_secrets
 from .op10_ngram_join import ngram_jaccard_join
+from .op11_alignment import align_tokenizers
 from .op12_token_counts import count_tokens
 from .op13_merkle import merkle_manifest, oracle_sql as merkle_sql
 from .storage import fresh_path, importable, saved
@@ -120,6 +121,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    return align_tokenizers(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")).drop("groups")
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > 4096)."""
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), TOKEN_LIMIT)
@@ -144,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_codes,
         op9_secret_ownership,
         op10_ngram_jaccard_join,
+        op11_tokenizer_alignment,
         op12_token_counts,
         op13_merkle_manifest,
     )
