@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import upgrade_thumbnail, wiki_slug
+from ..sources.versions import update_table
 
 
 def names_to_fetch(names: DataFrame, cache: DataFrame, overrides: DataFrame,
@@ -36,6 +37,16 @@ def merge_cache(cache: DataFrame, updates: DataFrame) -> DataFrame:
     return kept.unionByName(u)
 
 
+def write_back(updates: DataFrame, path: str) -> int:
+    """Merge ``updates`` (one row a name) into the cache at ``path`` and write it back over
+    itself; returns its version. A cache that was never written starts with ``updates``.
+    The merge reads the current version while it writes the next one beside it, so a
+    failure loses no entry, and a writer that was overtaken merges again, into what
+    the other one wrote."""
+    new = updates.select("name", "url")
+    return update_table(updates.sparkSession, path, lambda cache: new if cache is None else merge_cache(cache, new), "json")
+
+
 def with_photo(players: DataFrame, cache: DataFrame, name: str = "player_name") -> DataFrame:
     """Players with their cached photo URL upgraded to the large thumbnail;
     '' when there is none."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_header, normalize_header_ws
+from .versions import discard, read_current, stage, swap, version_folder, versions
 
 
 CORRUPT = "_corrupt_record"
@@ -133,7 +134,8 @@ def read_kv_json(spark: SparkSession, path: str, key: str = "name", value: str =
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(value, T.StringType())])
     try:
         if fmt == "lines":
-            out = spark.read.schema(schema).json(path).where(F.col(key).isNotNull())
+            found = versions(spark, path)
+            out = spark.read.schema(schema).json(version_folder(spark, path, found[-1]) if found else path).where(F.col(key).isNotNull())
         else:
             txt = spark.read.option("wholetext", True).text(path)
             m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.StringType()))
@@ -151,24 +153,28 @@ def _missing_path(e: AnalysisException) -> bool:
 
 
 def write_kv_json(df: DataFrame, path: str, key: str = "name", value: str = "url") -> None:
-    """(key, value) rows -> JSON lines {"name": ..., "url": ...}; overwrite.
-    One line per entry, written by every task in parallel (a single JSON
-    object would have to be assembled in one task)."""
-    df.select(key, value).write.mode("overwrite").json(path)
+    """(key, value) rows -> JSON lines {"name": ..., "url": ...}, as the next version of the
+    cache at ``path``. One line per entry, written by every task in parallel (a single
+    JSON object would have to be assembled in one task). ``df`` may read the cache that it
+    replaces."""
+    replace_table(df.select(key, value), path, "json")
 
 
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """CREATE OR REPLACE: overwrite the table at ``path``."""
-    df.write.mode("overwrite").format(fmt).save(path)
+    """CREATE OR REPLACE: publish ``df`` as the next version of the table at ``path``
+    (``versions``). Readers see the old rows or the new ones, never a part of either."""
+    swap(df.sparkSession, stage(df, path, fmt))
 
 
 def replace_if_rows(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
-    """Overwrite only when ``df`` has rows (the old table stays otherwise).
-    ``isEmpty`` reads at most one row."""
-    if df.isEmpty():
-        return False
-    replace_table(df, path, fmt)
-    return True
+    """Replace the table only when ``df`` has rows (the old one stays otherwise). ``df`` is
+    computed once: its rows are counted while they are written beside the table."""
+    staged = stage(df, path, fmt)
+    if staged.rows:
+        swap(df.sparkSession, staged)
+    else:
+        discard(df.sparkSession, staged)
+    return staged.rows > 0
 
 
 def table_or_fallback(spark: SparkSession, path: str, fallback, fmt: str = "parquet") -> DataFrame:
@@ -176,7 +182,7 @@ def table_or_fallback(spark: SparkSession, path: str, fallback, fmt: str = "parq
     ``fallback()`` (a function building the same rows from earlier layers). Other
     errors are raised."""
     try:
-        df = spark.read.format(fmt).load(path)
+        df = read_current(spark, path, fmt)
         if not df.isEmpty():
             return df
     except AnalysisException as e:

@@ -3,7 +3,8 @@
 Without a layer folder every query computes from the driver tables, lazily. After
 ``use_layers`` the queries of that input folder read the layer tables instead, the way
 the reference's pages read its materialised marts. Nothing is built on the side, and no
-folder is chosen here: the caller names one that all executors share.
+folder is chosen here: the caller names one that all executors share. In a ``memo`` scope
+a layer is loaded or computed once and shared by the scope's queries.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .memo import shared
+from .versions import read_current
+
 
 def _key(sf_dir: str) -> str:
     return f"scoreline.layers:{sf_dir.rstrip('/')}"
@@ -28,4 +32,4 @@ def use_layers(spark: SparkSession, sf_dir: str, folder: str | None) -> None:
 def layer(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The layer table ``name`` of ``sf_dir`` if layers are in use, else ``build()``."""
     folder = spark.conf.get(_key(sf_dir), None)
-    return spark.read.parquet(f"{folder}/{name}") if folder else build()
+    return shared(read_current(spark, f"{folder}/{name}") if folder else build())
