@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,6 +61,27 @@ def rename_if_missing(df: DataFrame, renames: dict[str, str]) -> DataFrame:
     return df
 
 
+def unify_layouts(frames: list[DataFrame], names: dict[str, list[str]]) -> DataFrame:
+    """Rows of frames whose columns go by different names, as one frame. ``names`` declares
+    for each column the other names that it may have, the preferred first: a frame that has
+    the column keeps it, else the first of the others that it has is renamed (metadata
+    only). Columns that a frame lacks are null."""
+    out = []
+    for df in frames:
+        for column, others in names.items():
+            for other in others:
+                df = rename_if_missing(df, {other: column})
+        out.append(df)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
+def read_layouts(spark: SparkSession, groups: dict[str, list[str]], names: dict[str, list[str]], fmt: str = "parquet", group_col: str = "file_group") -> DataFrame:
+    """One input whose files come in several layouts: each group of files (name -> paths) has one
+    layout and is one scan; ``unify_layouts`` resolves the names, and ``group_col`` says
+    which group a row is from."""
+    return unify_layouts([spark.read.format(fmt).load(paths).withColumn(group_col, F.lit(name)) for name, paths in groups.items()], names)
+
+
 def select_existing(df: DataFrame, cols: list[str]) -> DataFrame:
     """Project the listed columns that exist, in the listed order."""
     have = set(df.columns)

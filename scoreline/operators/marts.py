@@ -146,3 +146,15 @@ def players_profile(players: DataFrame) -> DataFrame:
                    .select("nation", "player_name", "position", "age", "matches_played",
                            "goals", "assists", "minutes_90s", "market_value_eur_m",
                            position_group("position").alias("position_group")))
+
+
+def nation_info(features: DataFrame, info: DataFrame, default: dict, name: str = "country_name", key: str = "nation") -> DataFrame:
+    """``features`` with their nation's record ``info``, a struct of the columns of ``info`` that
+    ``default`` names (arrays among them), or the default record for a nation without
+    one. Names meet exactly; ``info`` has one row per nation."""
+    fields = [F.col(c) for c in default]
+    value = lambda v: F.array().cast("array<string>") if v == [] else F.lit(v)
+    record = info.select(F.col(key).alias("_key"), F.struct(*fields).alias("_info"))
+    missing = F.struct(*[value(v).alias(c) for c, v in default.items()]).cast(record.schema["_info"].dataType)
+    joined = features.join(record, F.col(name) == F.col("_key"), "left")
+    return joined.withColumn("info", F.coalesce("_info", missing)).drop("_key", "_info")

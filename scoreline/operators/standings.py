@@ -7,10 +7,10 @@ match, then one aggregation), so it stays right as results arrive.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.dims import GROUP_START, GROUP_START_DEFAULT, map_expr
+from ..sources.dims import GROUP_START, GROUP_START_DEFAULT, SEASON, map_expr
 from .analytics import count_when
 
 
@@ -63,16 +63,39 @@ def best_thirds(table: DataFrame, n: int = 8) -> DataFrame:
                  .limit(n))
 
 
-def matches_by_date(results: DataFrame, date="date", order=("seq_order", "seq_line")) -> DataFrame:
-    """Result cards per date: every match, in order of date and input, with the number of
-    matches on its date.
+def calendar_day(date, season: int) -> Column:
+    """The day that a year-less 'dd/mm' text means in ``season``; null for any other text."""
+    text = F.col(date) if isinstance(date, str) else date
+    return F.try_to_date(F.concat(text, F.lit(f"/{season}")), "dd/MM/yyyy")
 
-    The counts are one row per date (partial aggregation, then a join whose small
-    side AQE may broadcast); the order is a range-partitioned sort whose further keys
-    let one date spread over many tasks.
+
+def matches_by_date(results: DataFrame, season: int = SEASON, date="date", order=("seq_order", "seq_line"), count="matches_on_date") -> DataFrame:
+    """Cards per date: every match, in order of the calendar and of input, with its day and the
+    number of matches on it. Texts that are no date come last, counted together.
+
+    The counts are one row per day of a season, a size that the date's form bounds, so
+    they are broadcast and the matches are shuffled once, for the sort; its further
+    keys let one day spread over many tasks.
     """
-    counts = results.groupBy(date).agg(F.count(F.lit(1)).alias("matches_on_date"))
-    return results.join(counts, date).orderBy(F.col(date).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order])
+    days = results.withColumn("day", calendar_day(date, season))
+    counts = days.groupBy(F.col("day").alias("_day")).agg(F.count(F.lit(1)).alias(count))
+    out = days.join(F.broadcast(counts), F.col("day").eqNullSafe(F.col("_day"))).drop("_day")
+    return out.orderBy(F.col("day").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order])
+
+
+def upcoming_by_date(upcoming: DataFrame, season: int = SEASON, date="date", time="time", order=("seq_order", "seq_line")) -> DataFrame:
+    """Matches to come, by day and kick-off ('HH:mm' text; others last), with the number of
+    matches on the day: ``matches_by_date`` without scores."""
+    kickoff = F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), F.col(time)), F.lit("yyyy-MM-dd HH:mm"))
+    known = upcoming.withColumn("kickoff_minute", (F.hour(kickoff) * 60 + F.minute(kickoff)).cast("int"))
+    return matches_by_date(known, season, date, ("kickoff_minute", *order))
+
+
+def match_calendar(results: DataFrame, upcoming: DataFrame, season: int = SEASON, order=("seq_order", "seq_line")) -> DataFrame:
+    """Played and coming matches as one frame of two layouts: results have scores and no
+    time, fixtures a time and no scores. In order of day, kick-off (results last) and input."""
+    both = results.withColumn("played", F.lit(True)).unionByName(upcoming.withColumn("played", F.lit(False)), allowMissingColumns=True)
+    return upcoming_by_date(both, season, order=order)
 
 
 def group_status(table: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ SELECT *, (SELECT count(*) FROM fx_cups WHERE lower(winner) = lower(nation)) AS
 FROM stg_nations""")
 
 HIST_GOALS = ("hist_goals", """
-SELECT team, edition_year, count(*) AS games, count_if(x = 1) AS wins, count_if(x = 0) AS draws, count_if(x = -1) AS losses,
+SELECT team, edition_year, count(*) AS games, count_if(x = 1)::BIGINT AS wins, count_if(x = 0)::BIGINT AS draws, count_if(x = -1)::BIGINT AS losses,
        sum(goals_for)::BIGINT AS goals_scored, sum(goals_against)::BIGINT AS goals_conceded
 FROM (SELECT *, sign(goals_for - goals_against) AS x FROM all_teams) GROUP BY ALL""")
 

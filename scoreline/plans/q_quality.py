@@ -18,7 +18,7 @@ from .q_matches import nations_mart, staged
 from .q_players import players_mart, staged_players
 from .registry import osql, register
 
-ALL_FX = ["fx_matches_null", "fx_cups", "fx_squads", "fx_market", "fx_countries"]
+ALL_FX = ["fx_matches_null", "fx_cups", "fx_squads", "fx_market", "fx_countries", "fx_cache"]
 CTES = [STG_MATCHES, ALL_TEAMS, STG_NATIONS, MART_NATIONS, STG_PLAYERS, MART_PLAYERS,
         ("hist", "SELECT DISTINCT team, edition_year FROM all_teams")]
 
@@ -32,12 +32,14 @@ def _nn(table, col):
 # The declared checks: columns that must not be null, and unique keys, by table.
 NOT_NULL = {"fx_cups": ["winner"], "stg_matches": ["edition_year", "home_team", "away_team"], "stg_nations": ["nation"],
             "stg_players": ["player_name"], "mart_nations": ["nation"], "hist": ["edition_year"], "mart_players": ["player_name"]}
-UNIQUE = {"stg_nations": ["nation"], "mart_nations": ["nation"], "hist": ["team", "edition_year"]}
+# The last three do not hold by construction: the tables are not grouped by these keys.
+UNIQUE = {"stg_nations": ["nation"], "mart_nations": ["nation"], "hist": ["team", "edition_year"], "fx_countries": ["country_name"],
+          "fx_cache": ["name"], "stg_players": ["nation", "position"]}
 
 
 def _checked(spark, sf, name):
     """The table that a check is declared on."""
-    if name == "fx_cups":
+    if name.startswith("fx_"):
         return fixture(spark, sf, name)
     if name == "mart_players":
         return players_mart(spark, sf)

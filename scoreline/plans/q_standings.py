@@ -3,8 +3,10 @@ sides, result cards per date, group status and per-match flags."""
 
 from __future__ import annotations
 
-from ..operators.standings import best_thirds, group_status, match_flags, matches_by_date, standings
-from ..sources.dims import GROUP_START, GROUP_START_DEFAULT, values_sql
+from pyspark.sql import functions as F
+
+from ..operators.standings import best_thirds, group_status, match_calendar, match_flags, matches_by_date, standings, upcoming_by_date
+from ..sources.dims import GROUP_START, GROUP_START_DEFAULT, SEASON, SHORT_PT, map_expr, values_sql
 from ..sources.fixtures import fixture
 from .registry import osql, register
 
@@ -49,11 +51,49 @@ def q_best_thirds(spark, sf):
     return best_thirds(standings(results(spark, sf)))
 
 
-@register("matches_by_date", osql(RES_FX, [], """
-SELECT r.*, (SELECT count(*) FROM fx_results o WHERE o.date = r.date) AS matches_on_date FROM fx_results r
-ORDER BY date, seq_order, seq_line, home, away, hs, as_"""), "A20")
+ORDER = ("seq_order", "seq_line", "home", "away", "hs", "as_")
+# a year-less text as a date, put together from its two numbers
+_DAY = f"CAST(make_date({SEASON}, try_cast(split_part(date, '/', 2) AS INTEGER), try_cast(split_part(date, '/', 1) AS INTEGER)) AS VARCHAR)"
+_MINUTE = "CASE WHEN regexp_full_match(time, '[0-9]{2}:[0-9]{2}') THEN CAST(left(time, 2) AS INTEGER) * 60 + CAST(right(time, 2) AS INTEGER) END"
+
+
+def _shown(cards):
+    """Days as ISO text."""
+    return cards.withColumn("day", F.col("day").cast("string"))
+
+
+@register("matches_by_date", osql(RES_FX, [("days", f"SELECT *, {_DAY} AS day FROM fx_results")], """
+SELECT *, count(*) OVER (PARTITION BY day) AS matches_on_date FROM days
+ORDER BY day, seq_order, seq_line, home, away, hs, as_"""), "A20")
 def q_matches_by_date(spark, sf):
-    return matches_by_date(results(spark, sf), order=("seq_order", "seq_line", "home", "away", "hs", "as_"))
+    return _shown(matches_by_date(results(spark, sf), order=ORDER))
+
+
+@register("upcoming_by_date", osql(["fx_upcoming"], [("days", f"SELECT *, {_DAY} AS day, {_MINUTE} AS kickoff_minute FROM fx_upcoming")], """
+SELECT *, count(*) OVER (PARTITION BY day) AS matches_on_date FROM days
+ORDER BY day NULLS LAST, kickoff_minute NULLS LAST, seq_order, seq_line, home, away"""), "A20")
+def q_upcoming_by_date(spark, sf):
+    return _shown(upcoming_by_date(fixture(spark, sf, "fx_upcoming"), order=("seq_order", "seq_line", "home", "away")))
+
+
+@register("match_calendar", osql(["fx_results", "fx_upcoming"], [("both_layouts", f"""
+SELECT *, {_DAY} AS day, {_MINUTE} AS kickoff_minute FROM (
+  SELECT *, CAST(NULL AS VARCHAR) AS time, TRUE AS played FROM fx_results WHERE hs IS NOT NULL OR as_ IS NOT NULL
+  UNION ALL SELECT grp, date, seq_order, seq_line, home, NULL, NULL, away, time, FALSE FROM fx_upcoming)""")], """
+SELECT *, count(*) OVER (PARTITION BY day) AS matches_on_date FROM both_layouts
+ORDER BY day NULLS LAST, kickoff_minute NULLS LAST, seq_order, seq_line, home, away, hs, as_"""), "A20 U3")
+def q_match_calendar(spark, sf):
+    return _shown(match_calendar(results(spark, sf).where("hs IS NOT NULL OR as_ IS NOT NULL"), fixture(spark, sf, "fx_upcoming"), order=ORDER))
+
+
+_SHORT = "MAP {" + ", ".join("'" + k.replace("'", "''") + "': '" + v.replace("'", "''") + "'" for k, v in SHORT_PT.items()) + "}"
+
+
+@register("short_names", osql(RES_FX, [], f"""
+SELECT seq_order, seq_line, coalesce({_SHORT}[home], home) AS home_short, coalesce({_SHORT}[away], away) AS away_short FROM fx_results"""), "P19")
+def q_short_names(spark, sf):
+    """The sides of each match by their short names."""
+    return results(spark, sf).select("seq_order", "seq_line", map_expr(SHORT_PT, "home", F.col("home")).alias("home_short"), map_expr(SHORT_PT, "away", F.col("away")).alias("away_short"))
 
 
 @register("group_not_started", osql(RES_FX, [TEAM_ROWS, STANDINGS], f"""

@@ -10,8 +10,9 @@ from ..functions import (ellipsis, flag_emoji, flag_url, flag_url_alt, initials,
                          upgrade_thumbnail, wiki_slug)
 from ..operators.analytics import top_per_group
 from ..operators.facts import select_existing, team_names
+from ..operators.marts import nation_info
 from ..operators.photos import merge_cache, names_to_fetch, with_photo
-from ..sources.dims import (HIGHLIGHT_STAGES_PT, NATION_ISO2, NATION_PT, SQUAD_NATIONS, STAGE_PT, map_expr,
+from ..sources.dims import (HIGHLIGHT_STAGES_PT, INFO_DEFAULT, NATION_ISO2, NATION_PT, SQUAD_NATIONS, STAGE_PT, map_expr,
                             values_sql)
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
@@ -59,6 +60,24 @@ def q_features_lookup(spark, sf):
     )
 
 
+@register("nation_info", osql(["fx_countries", "fx_info", "fx_squads"], [("top4", """
+SELECT nation, list(player ORDER BY player)[:4] AS players FROM fx_squads WHERE player IS NOT NULL GROUP BY nation""")], """
+SELECT f.country_name, coalesce(i.info_group, '—') AS info_group, coalesce(i.confederation, '—') AS confederation, coalesce(i.titles, 0) AS titles,
+       coalesce(i.editions, '—') AS editions, coalesce(i.curiosity, '') AS curiosity, CASE WHEN i.nation IS NULL THEN '' ELSE coalesce(array_to_string(p.players, ', '), '') END AS players,
+       CASE WHEN coalesce(i.titles, 0) = 0 THEN '—' ELSE repeat('🏆 ', i.titles - 1) || '🏆' END AS trophies
+FROM fx_countries f LEFT JOIN fx_info i ON i.nation = f.country_name LEFT JOIN top4 p ON p.nation = f.country_name"""), "J5 P43")
+def q_nation_info(spark, sf):
+    """Each country's nested record, or the default one, and what a page shows of it."""
+    squads = fixture(spark, sf, "fx_squads").where(F.col("player").isNotNull())
+    top = top_per_group(squads, "nation", [F.col("player").asc()], 4).groupBy(F.col("nation").alias("_n")).agg(F.array_sort(F.collect_list("player")).alias("players"))
+    info = fixture(spark, sf, "fx_info").join(top, F.col("nation") == F.col("_n"), "left").withColumnRenamed("info_group", "group")
+    info = info.withColumn("players", F.coalesce("players", F.array().cast("array<string>")))
+    rows = nation_info(fixture(spark, sf, "fx_countries").select("country_name"), info, INFO_DEFAULT)
+    return rows.select(
+        "country_name", F.col("info.group").alias("info_group"), "info.confederation", "info.titles", "info.editions", "info.curiosity",
+        F.array_join(F.slice("info.players", 1, 4), ", ").alias("players"), repeat_symbol("🏆", F.col("info.titles")).alias("trophies"))
+
+
 _MISSING_SQL = """
 SELECT n.name, url_encode(COALESCE(o.slug, replace(n.name, ' ', '_'))) AS slug
 FROM (SELECT DISTINCT player_name AS name FROM mart_players WHERE player_name IS NOT NULL) n

@@ -185,6 +185,34 @@ GROUP_START: dict[str, str] = {
 }
 GROUP_START_DEFAULT = "em breve"
 
+# The season that year-less dates belong to.
+SEASON = 2026
+
+# Nation -> short name on match cards; nations not listed keep their name.
+SHORT_PT: dict[str, str] = {
+    "Mexico": "México", "South Korea": "Coreia do Sul", "Czechia": "República Tcheca", "South Africa": "África do Sul",
+    "Canada": "Canadá", "Bosnia and Herzegovina": "Bósnia-Herz.", "Qatar": "Catar", "Switzerland": "Suíça",
+    "Scotland": "Escócia", "Brazil": "Brasil", "Morocco": "Marrocos", "Haiti": "Haiti",
+    "United States": "EUA", "Australia": "Austrália", "Türkiye": "Turquia", "Paraguay": "Paraguai",
+    "Germany": "Alemanha", "Ivory Coast": "Costa do Marfim", "Ecuador": "Equador", "Curaçao": "Curaçao",
+    "Netherlands": "Holanda", "Japan": "Japão", "Sweden": "Suécia", "Tunisia": "Tunísia",
+    "Belgium": "Bélgica", "Egypt": "Egito", "Iran": "Irã", "New Zealand": "Nova Zelândia",
+    "Spain": "Espanha", "Uruguay": "Uruguai", "Saudi Arabia": "Arábia Saud.", "Cape Verde": "Cabo Verde",
+    "France": "França", "Senegal": "Senegal", "Iraq": "Iraque", "Norway": "Noruega",
+    "Argentina": "Argentina", "Algeria": "Argélia", "Austria": "Áustria", "Jordan": "Jordânia",
+    "Portugal": "Portugal", "Colombia": "Colômbia", "DR Congo": "Congo RD", "Uzbekistan": "Uzbequistão",
+    "England": "Inglaterra", "Croatia": "Croácia", "Ghana": "Gana", "Panama": "Panamá",
+    "Jamaica": "Jamaica", "Honduras": "Honduras", "Costa Rica": "Costa Rica", "Cameroon": "Camarões",
+    "Poland": "Polônia", "Denmark": "Dinamarca", "Italy": "Itália", "Serbia": "Sérvia",
+    "Nigeria": "Nigéria", "Mali": "Mali", "Indonesia": "Indonésia", "Venezuela": "Venezuela",
+    "Bolivia": "Bolívia", "Chile": "Chile", "Peru": "Peru", "El Salvador": "El Salvador",
+    "Cuba": "Cuba", "Trinidad and Tobago": "Trinidad", "Burkina Faso": "Burkina F.", "Kenya": "Quênia",
+    "Tanzania": "Tanzânia", "Zimbabwe": "Zimbábue", "Zambia": "Zâmbia",
+}
+
+# What a nation without an info record shows.
+INFO_DEFAULT = {"group": "—", "confederation": "—", "titles": 0, "editions": "—", "curiosity": "", "players": []}
+
 # Value tier -> display label.
 TIER_LABELS: dict[str, str] = {"OURO": "🥇 OURO", "PRATA": "🥈 PRATA", "BASE": "🟢 TITULAR"}
 

@@ -95,11 +95,23 @@ SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN concat('€', p_size, 'M') WHEN
 FROM part""",
     "fx_results": """
 SELECT substring('ABCDEFGHIJKLZ', CAST(match_order % 13 AS INT) + 1, 1) AS grp,
-       concat(lpad(CAST((match_order * 7 + match_line) % 28 + 1 AS STRING), 2, '0'), '/06') AS date,
+       concat(lpad(CAST((match_order * 7 + match_line) % 28 + 1 AS STRING), 2, '0'), CASE WHEN match_order % 3 = 0 THEN '/07' ELSE '/06' END) AS date,
        match_order AS seq_order, match_line AS seq_line, home_team_name AS home,
        CASE WHEN match_order % 13 = 10 THEN NULL ELSE home_team_goals END AS hs,
        CASE WHEN match_order % 13 = 10 THEN NULL ELSE away_team_goals END AS as_, away_team_name AS away
 FROM fx_matches_null""",
+    "fx_upcoming": """
+SELECT grp, CASE WHEN seq_order % 17 = 0 THEN 'a definir' ELSE date END AS date, seq_order, seq_line, home, away,
+       CASE seq_line % 5 WHEN 0 THEN '13:00' WHEN 1 THEN '16:00' WHEN 2 THEN '19:00' WHEN 3 THEN '9:30' END AS time
+FROM fx_results WHERE hs IS NULL AND as_ IS NULL""",
+    "fx_info": """
+SELECT nation, substring('ABCDEFGHIJKL', CAST(nation_key % 12 AS INT) + 1, 1) AS info_group, r_name AS confederation,
+       CAST(nation_key % 6 AS INT) AS titles, concat(nation_key % 20 + 1, '') AS editions, concat('Sobre ', nation) AS curiosity
+FROM fx_nations JOIN region ON region_key = r_regionkey WHERE nation_key % 4 <> 1""",
+    "fx_lines": """
+SELECT 'customers' AS source, c_custkey AS id, line FROM fx_csv
+UNION ALL
+SELECT 'parts' AS source, p_partkey AS id, concat(p_partkey, ',', replace(p_name, ',', ' '), ',', p_size) AS line FROM part""",
     "fx_cache": """
 SELECT CASE WHEN c_custkey % 3 = 0 THEN concat(coalesce(player, c_name), ' (old)') ELSE coalesce(player, c_name) END AS name,
        CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('https://img.example/', c_custkey, '/200px-x.jpg') END AS url
@@ -131,6 +143,9 @@ FIXTURE_DEPS: dict[str, list[str]] = {
     "fx_market": ["fx_people"],
     "fx_money": ["part"],
     "fx_results": ["fx_matches_null"],
+    "fx_upcoming": ["fx_results"],
+    "fx_info": ["fx_nations", "region"],
+    "fx_lines": ["fx_csv", "part"],
     "fx_cache": ["fx_people"],
     "fx_overrides": ["fx_people"],
     "fx_csv": ["customer"],

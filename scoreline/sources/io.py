@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_header, normalize_header_ws
-from .versions import discard, read_current, stage, swap, version_folder, versions
+from .versions import discard, folder_files, read_current, stage, swap, version_folder, versions, write_small
 
 
 CORRUPT = "_corrupt_record"
@@ -117,13 +117,51 @@ def named_features(features: DataFrame, name_key: str = "name") -> DataFrame:
     return features.where(F.coalesce(F.col("properties").getItem(name_key), F.lit("")) != "")
 
 
+def feature_text(features: DataFrame) -> DataFrame:
+    """(text): each feature as one line of JSON; its geometry, which is JSON text, goes in as it is."""
+    head = F.to_json(F.struct(F.lit("Feature").alias("type"), "properties"))
+    return features.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"geometry":'), F.coalesce("geometry", F.lit("null")), F.lit("}")).alias("text"))
+
+
+def parse_feature_text(lines: DataFrame) -> DataFrame:
+    """(properties, geometry) of lines of JSON, with or without a comma in front; other lines
+    (the head and tail of a document) have none."""
+    feature = GEO_SCHEMA["features"].dataType.elementType
+    text = F.regexp_replace("text", "^,", "")
+    return lines.where(text.startswith("{") & text.endswith("}")).select(F.from_json(text, feature).alias("f")).select("f.properties", "f.geometry")
+
+
 def write_features(features: DataFrame, path: str) -> None:
-    """Write features as JSON lines, one feature per line (a distributed
-    writer; a FeatureCollection wrapper would need one task for all)."""
+    """Write features as JSON lines, one feature per line (a distributed writer)."""
     features.select(F.lit("Feature").alias("type"), "properties", "geometry") \
             .write.mode("overwrite").json(path)
 
 
+def write_feature_collection(features: DataFrame, path: str, order: list) -> None:
+    """Write one FeatureCollection document as a folder of ordered parts: ``head.txt``, a part per
+    task with its features joined by commas, a comma after every part but the last, ``tail.txt``.
+    The parts' texts in order of their names are the document (``cat path/*.txt``). Features
+    are in ``order`` (columns), by a range sort: no task holds them all, and the
+    driver knows parts by their names and sizes alone. An empty frame is an empty collection."""
+    spark, path = features.sparkSession, path.rstrip("/")
+    lines = feature_text(features.orderBy(*order))
+    # the lower bits are the row within its task
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines.select(F.concat(F.when(first, "").otherwise(","), F.col("text")).alias("text")).write.mode("overwrite").text(path)
+    parts = sorted(name for name, size in folder_files(spark, path) if name.startswith("part-") and size)
+    write_small(spark, f"{path}/head.txt", '{"type": "FeatureCollection", "features": [\n')
+    for name in parts[:-1]:
+        # sorts after its part and before the next one
+        write_small(spark, f"{path}/{name[:10]}~.txt", ",\n")
+    write_small(spark, f"{path}/tail.txt", "]}\n")
+
+
+def read_feature_collection(spark: SparkSession, path: str) -> DataFrame:
+    """(properties, geometry) of a document written by ``write_feature_collection``: each line
+    is a feature, so that tasks read parts on their own."""
+    return parse_feature_text(spark.read.text(path).withColumnRenamed("value", "text"))
+
+
 def read_kv_json(spark: SparkSession, path: str, key: str = "name", value: str = "url",
                  fmt: str = "lines") -> DataFrame:
     """A key-value cache -> (key, value) rows. ``fmt="lines"``: one {"name": ...,

@@ -44,9 +44,10 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
+def folder_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(name, bytes) of what lies in a folder; nothing if it is missing."""
     fs, where = _fs(spark, folder)
-    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
 def write_small(spark: SparkSession, path: str, text: str) -> None:
@@ -70,7 +71,7 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the versions of a table, oldest first; empty if it was never published."""
-    return sorted(int(n) for n in _names(spark, f"{path.rstrip('/')}/_versions") if n.isdigit())
+    return sorted(int(n) for n, _ in folder_files(spark, f"{path.rstrip('/')}/_versions") if n.isdigit())
 
 
 def version_folder(spark: SparkSession, path: str, version: int) -> str:

@@ -18,7 +18,8 @@ QUERIES = all_queries()
 # Queries that exist to sort: their sequence is compared, too.
 SORTED = ["nations_performance", "edition_history_winner", "players_profile", "team_matches", "qualified_nations",
           "ranking_resorted", "player_search", "nations_table", "semi_anti_pref", "team_names", "matches_by_date",
-          "ranking_topn", "best_thirds", "player_sort_valor", "player_sort_gols", "player_sort_assist", "player_sort_idade"]
+          "ranking_topn", "best_thirds", "player_sort_valor", "player_sort_gols", "player_sort_assist", "player_sort_idade",
+          "value_by_position", "position_options", "nation_options", "upcoming_by_date", "match_calendar"]
 
 
 def test_entry_smoke(spark):
@@ -99,7 +100,9 @@ BRANCHES = [
     ("json_fields", "thumbnail_source = ''"), ("title_years_literal", "is_title_year"), ("title_flags", "is_title_year"), ("dq_not_null", "passed"),
     ("stage_players", "player_name IS NULL"), ("stage_players", "market_value_eur_m IS NULL"), ("stage_players", "age IS NULL"), ("cache_missing", "slug LIKE 'slug%'"),
     ("csv_typed", "_corrupt_record IS NULL"), ("head_to_head_translated", "adversario = opponent"), ("translated_matches", "fase"), ("stage_matches", "attendance"),
-    ("features_lookup", "trophy_str = '—'"), ("value_tier", "tier"), ("default_pick", "default_player IN ('Lionel Messi', 'Rodri', 'Harry Kane', 'Kylian Mbappé')"),
+    ("features_lookup", "trophy_str = '—'"), ("nation_info", "info_group = '—'"), ("nation_info", "trophies = '—'"), ("matches_by_date", "substring(day, 6, 2)"), ("upcoming_by_date", "day IS NULL"),
+    ("upcoming_by_date", "kickoff_minute IS NULL"), ("match_calendar", "played"), ("short_names", "home_short = 'EUA'"), ("history_layouts", "draws IS NULL"), ("history_layouts", "file_group"),
+    ("ingest_report", "status"), ("confederation_join", "confederation = 'Outro'"), ("dq_unique", "passed"), ("value_tier", "tier"), ("default_pick", "default_player IN ('Lionel Messi', 'Rodri', 'Harry Kane', 'Kylian Mbappé')"),
 ]
 
 

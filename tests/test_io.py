@@ -4,13 +4,15 @@ key-value cache JSON, replace-table, write-if-rows, fallback."""
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from scoreline.operators.facts import read_layouts
 from scoreline.operators.photos import merge_cache, names_to_fetch, with_photo
-from scoreline.sources.io import (country_rows, named_features, normalize_headers, read_csv,
+from scoreline.sources.io import (country_rows, named_features, normalize_headers, read_csv, read_feature_collection,
                                   read_features, read_kv_json, replace_if_rows, replace_table,
                                   table_or_fallback, union_sources, with_source,
-                                  write_features, write_kv_json)
+                                  write_feature_collection, write_features, write_kv_json)
 from scoreline.sources.versions import read_current
 
 
@@ -130,3 +132,46 @@ def test_unreadable_cache_is_not_taken_for_an_empty_one(spark, tmp_out):
         read_kv_json(spark, "nosuchscheme://x/cache").count()
     with pytest.raises(Exception):  # noqa: B017
         table_or_fallback(spark, "nosuchscheme://x/t", lambda: spark.range(1))
+
+
+@pytest.mark.parametrize("n,parts", [(0, 3), (1, 3), (7, 2), (200, 6)])
+def test_feature_collection_is_one_document_of_ordered_parts(spark, tmp_out, n, parts):
+    odd = ['plain', 'quo"te', "},{", ", comma", "], }", "line\\nfeed", "ünïcode", ""]
+    rows = [({"name": f"{odd[i % 8]} {i:03d}", "k": str(i)}, [None, '{"type":"Point","coordinates":[1.5,%d]}' % i][i % 2]) for i in reversed(range(n))]
+    df = spark.createDataFrame(rows, "properties map<string,string>, geometry string").repartition(parts)
+    out = f"{tmp_out}/collection"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_feature_collection(df, out, [F.col("properties")["k"].cast("int")])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    names = sorted(f for f in os.listdir(out) if f.endswith(".txt"))
+    document = json.loads("".join(open(f"{out}/{f}", encoding="utf-8").read() for f in names))
+    assert document["type"] == "FeatureCollection"
+    assert [(f["properties"], f["geometry"]) for f in document["features"]] == [(p, json.loads(g) if g else None) for p, g in reversed(rows)]
+    back = read_feature_collection(spark, out)
+    key = lambda r: int(r[0]["k"])
+    assert sorted(((r.properties, json.loads(r.geometry) if r.geometry else None) for r in back.collect()), key=key) == sorted(((p, json.loads(g) if g else None) for p, g in rows), key=key)
+    if n == 200:
+        assert sum(f.startswith("part-") and "~" not in f for f in names) > 1  # written by several tasks
+        # the whole document reads as an imported one, too
+        open(f"{tmp_out}/one.geojson", "w", encoding="utf-8").write(json.dumps(document))
+        assert read_features(spark, f"{tmp_out}/one.geojson", fmt="collection").count() == n
+
+
+def test_layouts_by_file_group(spark, tmp_out):
+    spark.createDataFrame([("a", 1, 9)], "team string, goals_for int, extra int").write.parquet(f"{tmp_out}/old")
+    spark.createDataFrame([("b", 2, 7)], "team string, goals_scored int, goals_for int").write.parquet(f"{tmp_out}/new")
+    spark.createDataFrame([("c", 3)], "team string, tally int").write.parquet(f"{tmp_out}/third")
+    got = read_layouts(spark, {"old": [f"{tmp_out}/old"], "new": [f"{tmp_out}/new", f"{tmp_out}/new"], "third": [f"{tmp_out}/third"]}, {"goals_scored": ["goals_for", "tally"]})
+    rows = sorted((r.file_group, r.team, r.goals_scored, r.extra, r.goals_for) for r in got.collect())
+    assert rows == [("new", "b", 2, None, 7), ("new", "b", 2, None, 7), ("old", "a", 1, 9, None), ("third", "c", 3, None, None)]
+
+
+def test_nation_without_a_record_gets_the_default_one(spark):
+    from scoreline.operators.marts import nation_info
+    from scoreline.sources.dims import INFO_DEFAULT
+    info = spark.createDataFrame([("Brazil", "C", "CONMEBOL", 5, "22", "text", ["a", "b"])], "nation string, group string, confederation string, titles int, editions string, curiosity string, players array<string>")
+    got = {r.country_name: r["info"].asDict() for r in nation_info(spark.createDataFrame([("Brazil",), ("Fiji",), (None,)], "country_name string"), info, INFO_DEFAULT).collect()}
+    assert got["Brazil"] == {"group": "C", "confederation": "CONMEBOL", "titles": 5, "editions": "22", "curiosity": "text", "players": ["a", "b"]}
+    assert got["Fiji"] == got[None] == INFO_DEFAULT
