@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import release, saved
+
+#: Tasks that the rows of one key may be dealt to.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, names: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``names`` (one row a key), where one key may hold any share of
+    ``rows``: these are dealt out by a hash of the whole row, and names are repeated."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    right = names.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,8 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = picks.withColumnRenamed("pick", "label")
         else:
-            moved = labels.join(picks.select(F.col("node").alias("label"), "pick"), "label", "left")
-            labels = saved(moved.select("node", F.coalesce("pick", "label").alias("label")), "labels")
+            moved = salted_join(labels, picks.select(F.col("node").alias("label"), "pick"), "label", "left")
+            before, labels = labels, saved(moved.select("node", F.coalesce("pick", "label").alias("label")), "labels")
+            release(before)
     if labels is None:
         return edges.select(F.col("x").alias("node"), F.col("y").alias("label"))
     return labels

@@ -13,9 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Rows of an Arrow batch while a table is written.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: While a table is written: rows of an Arrow batch, and that its shuffle files go as soon as
+#: it is there (nothing reads them again, as the table cuts the lineage).
+WHILE_WRITTEN = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,10 +54,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     small Arrow batches meanwhile: rows may be whole texts, and each batch is held by
     the JVM and by the Python worker at once."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    before = {key: spark.conf.get(key, None) for key in WHILE_WRITTEN}
     try:
+        for key, value in WHILE_WRITTEN.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before) if before else spark.conf.unset(_BATCH)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote, once nothing reads them any more: neither what is
+    returned nor what it is made of when it is computed again."""
+    for table in tables:
+        spark, top = table.sparkSession, shared_dir(table.sparkSession).rsplit("/", 1)[1]
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            # only folders of fresh_path
+            if folder.rsplit("/", 1)[1].startswith("llm-") and folder.rsplit("/", 2)[1] == top:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
