@@ -16,6 +16,7 @@ learned from labelled documents as whole words and word beginnings.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import product
 
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .learning import fit_logistic, sigmoid
-from .tokens import shingles, word_chunks, word_hash
+from .storage import saved
+from .tokens import mix, shingles, word_chunks, word_hash
 
 #: Word beginnings that may enter the lexicon, in bytes.
 BEGINNINGS = (4, 5, 6, 8)
 INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(1, 7)
 SEEDS = {
-    THREAT: "kill hurt destroy shoot stab strangle töten umbringen verprügeln tuer frapper matar golpear",
+    THREAT: "kill kills killed killing hurt hurts destroy destroys destroyed shoot shoots shot stab stabs stabbed strangle strangles strangled "
+    "töten tötet tötete umbringen umbringt verprügeln verprügelt tuer tue tué frapper frappe frappé matar mata mató golpear golpea golpeó",
     TARGET: "you your yours he she they them this these that those du dich ihr euch sie dieser diese tu te toi vous cette ces ce tú usted ustedes este esta estos",
     NEGATION: "not no never none nobody neither nicht kein keine nie pas jamais aucun nunca jamás ninguno",
     REPORT: "said says wrote writes called quoted claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó",
@@ -115,24 +118,32 @@ class Grammar:
         return sigmoid(np.column_stack([np.minimum(best, 3.0), np.log1p(total)]) @ self.scale[:-1] + self.scale[-1])
 
 
+def _families(batches):
+    """mapInArrow over (text, label): two keys of each text that has words, its smallest
+    shingle under two orders. Copies share both, and near copies mostly do."""
+    for batch in batches:
+        keys = np.zeros((2, batch.num_rows), np.int64)
+        some = np.zeros(batch.num_rows, bool)
+        for lo, hi, _, _, words in word_chunks(batch.column("text"), between=_APART):
+            for r in range(hi - lo):
+                own = shingles(words.hashes[words.first[r] : words.first[r + 1]], 3)
+                if len(own):
+                    some[lo + r] = True
+                    keys[:, lo + r] = own.min().view(np.int64), mix(own, 21).min().view(np.int64)
+        out = pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), pa.array(keys[0]), pa.array(keys[1])], names=["text", "label", "one", "other"])
+        yield out.filter(pa.array(some))
+
+
 def _evidence(batches):
     """mapInArrow over (text, label): documents of each label that hold each lexicon
-    candidate. Texts that share their smallest shingle hash within a task count once, so
-    that copies don't lend weight to words of their own."""
+    candidate; entry 0 counts the documents."""
     schema = pa.schema([("entry", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
-    found, seen, rows = [[], []], set(), [0, 0]
+    found, rows = [[], []], [0, 0]
     for batch in batches:
         labels = batch.column("label").to_pylist()
         for lo, hi, _, _, words in word_chunks(batch.column("text"), prefixes=BEGINNINGS, between=_APART):
             for r in range(hi - lo):
-                part = slice(words.first[r], words.first[r + 1])
-                if part.start == part.stop:
-                    continue
-                y = int(labels[lo + r] > 0)
-                own = (y, int(shingles(words.hashes[part], 3).min()))
-                if own in seen:
-                    continue
-                seen.add(own)
+                part, y = slice(words.first[r], words.first[r + 1]), int(labels[lo + r] > 0)
                 rows[y] += 1
                 found[y].append(np.unique(np.concatenate([words.hashes[part], *(p[part] for p in words.prefix_hashes)])))
     out = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for x in found]
@@ -142,24 +153,51 @@ def _evidence(batches):
         c = np.zeros(len(every), np.int64)
         c[np.searchsorted(every, value)] = n
         counts.append(c)
-    keep = (every != 0) & (counts[1] > 0) | (counts[0] > 1) & (every != 0)
+    keep = every != 0
     yield pa.RecordBatch.from_arrays([pa.array(np.append(every[keep].view(np.int64), 0)), *(pa.array(np.append(c[keep], n)) for c, n in zip(counts, rows, strict=True))], schema=schema)
 
 
-def fit_grammar(sample: DataFrame, least_share: float = 0.004, least_ratio: float = 3.0, most_entries: int = 20_000) -> Grammar:
+def least_toxic(n: int, share: float, level: float) -> int:
+    """The fewest toxic ones among ``n`` documents that chance exceeds with a probability of at
+    most ``level``, if ``share`` of all documents are toxic; n + 1 if there is no such number."""
+    tail, least = 0.0, n + 1
+    for k in range(n, -1, -1):
+        tail += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share))
+        if tail > level:
+            break
+        least = k
+    return least
+
+
+def fit_grammar(sample: DataFrame, errors: float = 2.0, least_ratio: float = 3.0, most_entries: int = 20_000) -> Grammar:
     """Learn the lexicon and the scale from (text, label) rows, which the caller bounds.
 
-    A word or beginning enters if at least ``least_share`` of the toxic documents
-    (and 4) hold it and its log ratio of document shares is ``least_ratio`` or more;
-    of more than ``most_entries`` the heaviest stay. Without toxic rows the lexicon is
-    empty and every score is the smoothed share of toxic rows."""
+    Copies and near copies count once: of texts of one label that share their smallest
+    shingles under two orders one is kept, by a shuffle on these, so that the lexicon
+    is the same however the sample is partitioned.
+
+    A word or beginning enters if the log ratio of its document shares is ``least_ratio`` or
+    more and a binomial test finds its toxic documents too many for chance: among all
+    candidates that as many documents hold, ``errors`` or fewer are expected to pass
+    without being toxic words. So what a word needs depends on its own documents and on
+    how many others are tried, not on its share of all toxic ones. Of more than
+    ``most_entries`` the heaviest stay. Without rows of both labels the lexicon is empty
+    and every score is the smoothed share of toxic rows."""
     sample = sample.select("text", F.col("label").cast("int").alias("label"))
-    evidence = sample.mapInArrow(_evidence, "entry long, n0 long, n1 long").groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    distinct = sample.mapInArrow(_families, "text string, label int, one long, other long").groupBy("label", "one", "other").agg(F.min("text").alias("text")).select("text", "label")
+    evidence = distinct.mapInArrow(_evidence, "entry long, n0 long, n1 long").groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    evidence = saved(evidence.withColumn("n", F.col("n0") + F.col("n1")), "evidence")
     rows = evidence.where("entry = 0").first()
     n0, n1 = (rows["n0"], rows["n1"]) if rows else (0, 0)
-    ratio = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    kept = evidence.where((F.col("entry") != 0) & (F.col("n1") >= max(4, least_share * n1))).withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio)
-    kept = kept.orderBy(F.desc("ratio"), "entry").limit(most_entries).select("entry", "ratio").collect()
+    kept = []
+    if n0 and n1:
+        # one row for each number of documents, of which the sample bounds how many there are
+        tried = evidence.where("entry <> 0 AND n1 > 0").groupBy("n").agg(F.count("*").alias("tried")).collect()
+        needs = [(r["n"], least_toxic(r["n"], n1 / (n0 + n1), min(0.05, errors / r["tried"]))) for r in tried]
+        need = evidence.sparkSession.createDataFrame(needs, "n long, need int")
+        ratio = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
+        passed = evidence.where("entry <> 0 AND n1 > 0").join(need, "n").where("n1 >= need").withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio)
+        kept = passed.orderBy(F.desc("ratio"), "entry").limit(most_entries).select("entry", "ratio").collect()
     entries = np.array([r["entry"] for r in kept], np.int64).view(np.uint64)
     order = np.argsort(entries)
     weights = np.minimum(np.array([r["ratio"] for r in kept], float), 6.0)[order] / 6.0

@@ -2,9 +2,10 @@
 
 A first pass finds candidates in every text: three base patterns and high-entropy
 strings. Their hashes are then counted by distinct owners and distinct repositories.
-A string that many owners or many repositories hold is a widely copied example; one that
-a single owner holds in few repositories looks live. Base spans always stay; a high-entropy
-string becomes a span of its own unless it is widely copied.
+A string that many owners hold is a widely copied example, and so is one that is spread
+over most repositories of an owner who has several: a template that its projects share.
+One that a single owner holds in few of its repositories looks live. Base spans always
+stay; a high-entropy string becomes a span of its own unless it is widely copied.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import salted_join
 from .storage import saved
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -28,9 +30,11 @@ _KEYWORD = re.compile(_EITHER)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _DENSE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Bits a character from which a string counts as random; owners, and repositories of any
-#: owners, from which it counts as copied.
-LEAST_ENTROPY, COPIED_OWNERS, COPIED_REPOSITORIES = 3.5, 3, 16
+#: Bits a character from which a string counts as random; owners from which it counts as copied.
+LEAST_ENTROPY, COPIED_OWNERS = 3.5, 3
+#: Repositories from which it counts as copied within one owner, and the share of all the
+#: owner's repositories that these must be.
+COPIED_REPOSITORIES, COPIED_SHARE = 3, 0.6
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.binary())])
 
 
@@ -80,9 +84,10 @@ def _candidates(batches):
 def find_secrets(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans
     ("kind:start:end" by start, then kind, comma-joined), n_live and n_copied (spans whose
-    string one owner holds and isn't copied, and whose string COPIED_OWNERS or more owners
-    or COPIED_REPOSITORIES or more repositories hold), span_owners and span_repositories
-    (of each span's string, in the order of ``spans``).
+    string one owner holds and isn't copied, and whose string is copied), span_owners and
+    span_repositories (of each span's string, in the order of ``spans``). A string is
+    copied if COPIED_OWNERS or more owners hold it, or one owner alone in COPIED_REPOSITORIES
+    or more repositories that are COPIED_SHARE or more of all its own.
 
     A null or empty text has no spans: counts 0, spans "", the digest of "". A null owner
     or repository counts as one of its own. Repeated rows each get a row; they don't
@@ -92,11 +97,15 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, id_col: str
     schema = "doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:long,end:long,hash:binary>>"
     rows = saved(spark_rows.mapInArrow(_candidates, schema).withColumn("row", F.monotonically_increasing_id()), "secrets")
     spans = rows.select("row", "owner", "repository", F.explode("found").alias("s")).select("row", "owner", "repository", "s.*")
-    # one row for each (string, owner, repository) first: copies within one don't pile up on a hash
+    # an owner's repositories, with and without candidates
+    owned = rows.select("owner", "repository").distinct().groupBy("owner").agg(F.count("*").alias("owned"))
+    # one row for each (string, owner) first: copies within one don't pile up on a hash
     held = spans.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    held = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = spans.select("row", "kind", "start", "end", "hash").join(held, "hash")
-    judged = judged.withColumn("copied", (F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") >= COPIED_REPOSITORIES)).where("kind < 3 OR NOT copied")
+    held = held.join(owned, "owner").groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("owned").alias("owned"))
+    spread = (F.col("owners") == 1) & (F.col("repositories") >= COPIED_REPOSITORIES) & (F.col("repositories") >= F.col("owned") * F.lit(COPIED_SHARE))
+    held = held.select("hash", "owners", "repositories", ((F.col("owners") >= COPIED_OWNERS) | spread).alias("copied"))
+    # a widely copied string's rows are dealt to several tasks
+    judged = salted_join(spans.select("row", "kind", "start", "end", "hash"), held, "hash").where("kind < 3 OR NOT copied")
     kinds = F.array(*(F.lit(k) for k in KINDS))
     listed = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories"))).alias("s"), F.sum(F.expr("owners = 1 AND NOT copied").cast("long")).alias("n_live"), F.sum(F.col("copied").cast("long")).alias("n_copied"))
     text = F.array_join(F.transform("s", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")

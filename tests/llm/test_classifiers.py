@@ -1,5 +1,7 @@
 """Toxicity, quality and language: held-out accuracy, exact parts against brute force, odd rows."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreline.llm.learning import fit_logistic, fold, labelled_sample, sigmoid
 from scoreline.llm.op03_quality import BITS, dual_coordinate_descent, fit_quality, indicators, score_quality
-from scoreline.llm.op07_toxicity import END, INSULT, NEGATION, REPORT, TARGET, THREAT, compose, fit_grammar, score_toxicity
+from scoreline.llm.op07_toxicity import END, INSULT, NEGATION, REPORT, TARGET, THREAT, compose, fit_grammar, least_toxic, score_toxicity
 from scoreline.llm.op08_language import codewords, fit_languages, identify_language
 
 from . import helpers
@@ -176,3 +178,19 @@ def test_logistic_fit():
     y = (rng.random(5000) < sigmoid(x @ [1.5, -1.0] + 0.3)).astype(float)
     assert fit_logistic(x, y, ridge=1e-6) == pytest.approx([1.5, -1.0, 0.3], abs=0.15)
     assert fit_logistic(np.zeros((4, 1)), np.ones(4)).tolist() == pytest.approx([0, np.log(9)])
+
+
+def test_lexicon_does_not_depend_on_partitions(spark):
+    sample = spark.createDataFrame([r[1:] for r in toxic_rows(600)] * 2, "text string, label int")
+    one, many = fit_grammar(sample.coalesce(1)), fit_grammar(sample.repartition(32))
+    assert one.entries.tolist() == many.entries.tolist() and one.weights.tolist() == many.weights.tolist() and len(one.entries)
+
+
+def test_a_rare_word_needs_no_share_of_all_toxic_texts():
+    # five toxic texts of five, among 100 words tried that five texts hold, whatever the corpus holds besides
+    for toxic, clean in ((500, 5_000), (50_000, 500_000)):
+        assert least_toxic(5, toxic / (toxic + clean), 2 / 100) <= 3
+    for n, share, level in ((1, 0.1, 0.05), (7, 0.2, 0.01), (40, 0.5, 1e-6), (12, 0.01, 1e-12)):
+        tail = lambda k: sum(math.comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k, n + 1))  # noqa: B023, E731
+        least = least_toxic(n, share, level)
+        assert (least == n + 1 or tail(least) <= level) and tail(least - 1) > level

@@ -69,3 +69,23 @@ def test_odd_rows(spark):
     none = hashlib.sha256(b"").hexdigest()
     assert all((r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.n_live, r.n_copied) == (0, 0, 0, none, "", 0, 0) for r in got)
     assert find_secrets(empty_documents(spark), F.col("source"), F.col("lang")).collect() == []
+
+
+def test_each_count_alone_changes_a_span_on_documents(spark):
+    """Strings set into documents of the table: one that three sources hold in one language each, one
+    that a single source holds in three of its four languages, and one in two of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    many = {r.source: r.langs for r in docs.groupBy("source").agg(F.count_distinct("lang").alias("langs")).collect()}
+    first, second, third, fourth = sorted(s for s, n in many.items() if n == 4)[:4]
+    owners, spread, few = "key q9Xz7Kp2Lm4Rt8Vb3Ns6Wd1Yh5Jc end", "key H7gT2kPq9ZxW4mNc8RvB5sDy1LfA end", "key Zt5Qm9Xr2Lw7Vb4Kc8Np3Hd6Js1Yg end"
+    added = [(9_000_000 + i, owners, "en", s) for i, s in enumerate((first, second, third))]
+    added += [(9_100_000 + i, spread, lang, fourth) for i, lang in enumerate(("en", "de", "fr"))]
+    added += [(9_200_000 + i, few, lang, fourth) for i, lang in enumerate(("en", "de"))]
+    docs = docs.unionByName(spark.createDataFrame(added, docs.schema))
+    got = {r.doc_id: r for r in find_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang")).where("doc_id >= 9000000").collect()}
+    # three owners, one repository each: by owners alone
+    assert all(got[9_000_000 + i].spans == "" for i in range(3))
+    # one owner, three of four repositories: by repositories alone
+    assert all(got[9_100_000 + i].spans == "" for i in range(3))
+    # one owner, two of four repositories: neither
+    assert all(got[9_200_000 + i].spans.startswith("entropy:") and got[9_200_000 + i].span_owners == [1] and got[9_200_000 + i].span_repositories == [2] for i in range(2))
