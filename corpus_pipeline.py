@@ -2,16 +2,19 @@
 subpackage, reads what its predecessor kept, and is written as Parquet for the next.
 
 Nulls and odd rows: a null or empty text is never toxic, in no group of copies, leaks
-nothing, and leaves at the mixture (it has no tokens to sample). Rows with a null id pass the
-join unless a row with an id is their copy. Repeated rows (equal id and text) are
-copies: one stays. Empty tables pass through as empty tables. Extra columns are kept.
+nothing, and leaves at the mixture (it has no tokens to sample). Rows are told apart by id
+and text together, so that an id with two texts is two documents and null ids take part;
+rows that repeat both are copies, of which one stays. Empty tables pass through as empty
+tables. Extra columns are kept with their values, whatever their names: an operator sees
+only the columns that it reads, the others wait in one of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.llm.learning import labelled_sample
@@ -26,33 +29,47 @@ from scoreline.llm.storage import importable, saved
 TOXIC = 0.3
 
 
+def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with the ``needed`` columns and all others in one, and what restores its columns."""
+    others = [c for c in docs.columns if c not in needed]
+    rows = docs.select(*needed, *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("_others")] if others else []))
+    return rows, lambda kept: kept.select(*(F.col(c) if c in needed else F.col("_others").getField(c).alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7, learned from the labels of three of four folds of ids."""
     importable(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     grammar = fit_grammar(labelled_sample(docs, labels, "toxic", 4, 2, FIT_ROWS))
-    return score_toxicity(docs, grammar).where(F.col("toxicity") < TOXIC).select(docs.columns)
+    rows, restore = apart(docs, "text")
+    return restore(score_toxicity(rows, grammar).where(F.col("toxicity") < TOXIC))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10 on five-word shingles at similarity 0.8: of each group that links
-    connect, the document with the smallest id stays."""
-    linked = ngram_jaccard_join(docs, k=5, threshold=Fraction(4, 5))
-    stay = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(docs.columns)
+    connect, the document with the smallest id stays (of one id's, that with the smaller hash)."""
+    importable(spark)
+    rows, restore = apart(docs, "doc_id", "text")
+    rows = rows.withColumn("_key", F.xxhash64("doc_id", "text"))
+    linked = ngram_jaccard_join(rows, id_col="_key", k=5, threshold=Fraction(4, 5))
+    linked = linked.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    named = rows.select("_key", "doc_id").distinct().join(linked, "_key")
+    stay = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).getField("_key").alias("_key")).select("_key")
+    return restore(rows.join(stay, "_key", "left_semi").dropDuplicates(["_key"]))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that hold a benchmark item go."""
+    importable(spark)
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return find_leaks(docs, items).where(F.size("leaks") == 0).select(docs.columns)
+    rows, restore = apart(docs, "text")
+    return restore(find_leaks(rows, items).where(F.size("leaks") == 0))
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents are sampled by probabilities raked to the target shares."""
-    return mix_sources(docs, document_dimensions("mix_"), word_count(), MIX_KEEP).where("sampled").select(docs.columns)
+    rows, restore = apart(docs, "doc_id", "text", "source", "lang")
+    return restore(mix_sources(rows, document_dimensions("mix_"), word_count(), MIX_KEEP).where("sampled"))
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
