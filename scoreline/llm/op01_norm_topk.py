@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
 from .storage import saved
 
 #: Rows of a group of candidates and of a block of queries.
@@ -161,12 +162,18 @@ def norm_topk(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     seed = matched(queries.withColumn("floor", F.lit(float("-inf"))).drop("norm"), seeds.join(F.broadcast(blocks), "size").select("vec_id", "v", "size", every_block.alias("block")), ["size", "block"])
     floors = seed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("score").cast("double")).alias("floor"))
     queries = saved(queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "queries")
-    # a block meets the groups whose longest vector can reach the floor of one of its queries
-    need = queries.groupBy("size", "block").agg(F.min(F.when((F.col("floor") > 0) & (F.col("norm") > 0), F.col("floor") / F.col("norm")).otherwise(float("-inf"))).alias("need"))
-    pairs = saved(groups.join(need, "size").where(F.col("top") >= F.col("need") * (1 - 1e-9)).select("size", "step", "parts", "block"), "blocks")
+    # queries of like need share a block, so that one which needs little carries no others along
+    need = F.when((F.col("floor") > 0) & (F.col("norm") > 0), F.col("floor") / F.col("norm")).otherwise(float("-inf"))
+    queries = ranked(queries.drop("block").withColumn("need", need), "size", ["need", "vec_id"])
+    queries = saved(queries.withColumn("block", F.expr(f"rank div {QUERY_ROWS}")).drop("rank", "norm"), "needs")
+    # a block meets the groups whose longest vector can reach the floor of one of its queries ...
+    least = queries.groupBy("size", "block").agg(F.min("need").alias("least"))
+    reached = lambda needed: F.col("top") >= F.col(needed) * (1 - 1e-9)
+    pairs = saved(groups.join(least, "size").where(reached("least")).select("size", "step", "parts", "top", "block"), "blocks")
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-    asked = queries.drop("norm").join(pairs, ["size", "block"]).select("vec_id", "v", "floor", "size", "block", "step", part)
-    offered = grouped.drop("parts", "top").join(pairs.drop("parts"), ["size", "step"]).select("vec_id", "v", "size", "block", "step", "part")
+    # ... and of its queries only those that it can reach go there
+    asked = queries.join(pairs, ["size", "block"]).where(reached("need")).select("vec_id", "v", "floor", "size", "block", "step", part)
+    offered = grouped.drop("parts", "top").join(pairs.drop("parts", "top"), ["size", "step"]).select("vec_id", "v", "size", "block", "step", "part")
     found = matched(asked, offered, ["size", "block", "step", "part"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

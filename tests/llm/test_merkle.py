@@ -6,8 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from scoreline.llm.op13_merkle import interval_tree, merkle_manifest, ranked
+from scoreline.llm.op13_merkle import interval_tree, merkle_manifest
 from scoreline.llm.queries import ORACLE_SQL, QUERIES
+from scoreline.llm.ranks import ranked
 
 from .helpers import empty_documents, odd_documents
 
