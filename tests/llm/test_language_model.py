@@ -134,3 +134,31 @@ def test_empty_tables(spark):
     got = L.score_texts(docs, model).collect()
     assert len(got) == docs.count() and all(r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) for r in got)
     assert L.score_texts(empty_documents(spark), model).collect() == []
+
+
+def test_rounds_over_tasks_lower_the_loss_and_read_more_of_a_larger_corpus(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    follow = rng.permutation(60)
+
+    def text():
+        at = [int(rng.integers(60))]
+        while len(at) < 60:
+            at.append(int(follow[at[-3:][0]]) if rng.random() < 0.9 else int(rng.integers(60)))
+        return " ".join(f"{chr(97 + i % 26)}{'xyz'[i // 26]}" for i in at)
+
+    texts = [text() for _ in range(400)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    parts = L.part_ids(PATH)
+    ids = lambda some: [L.part_ids(PATH).words.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    known = [np.array(x, np.int64) for x in ids(texts[:6])]
+    counts = np.bincount(np.concatenate([np.array(x) for x in ids(texts)]), minlength=parts.vocabulary)
+    start = L.train_attention(known, counts, len(texts))
+    held = [np.array(x, np.int64) for x in ids([text() for _ in range(40)])]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+    loss = lambda m: -m.score(np.concatenate(held), first).mean()
+    some, most = L.train_on(start, train, PATH, 2, 16), L.train_on(start, train, PATH, 4, 1)
+    assert loss(most) < loss(some) < loss(start)
+    assert {n: x.shape for n, x in most.weights.items()} == {n: x.shape for n, x in start.weights.items()}
+    # without texts the model stays as it is
+    same = L.train_on(start, train.limit(0), PATH, 2, 4)
+    assert all((same.weights[n] == x).all() for n, x in start.weights.items())
