@@ -7,7 +7,7 @@ shingles under a first order and must also share one under each further order;
 only pairs that pass all filters are verified exactly.
 
 All orders put shingles that many documents repeat last (a fixed-size table of
-levels, see ``_levels``) and differ in the hash that orders the rest, so passages
+levels from counts over all documents, see ``_levels``) and differ in the hash that orders the rest, so passages
 and lines shared by many documents do not make candidates. Any such order is
 right for any table of levels; it only changes how many candidates there are.
 
@@ -24,6 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +34,12 @@ from .storage import release, saved
 from .tokens import mix, shingles, word_chunks
 
 #: Cells of the table of levels, and of the table of wanted documents.
-LEVEL_CELLS = 1 << 20
+LEVEL_CELLS = 1 << 22
 WANTED_CELLS = 1 << 22
-#: One of so many classes is in the sample that finds common shingles.
-SAMPLED = 16
+#: Bits of a shingle's hash that name the bin in which it is counted; shingles that a task
+#: holds before it deals them to bins.
+BIN_BITS = 12
+HELD_SHINGLES = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -51,39 +54,83 @@ def _class_id(values: np.ndarray) -> int:
     return int(mix(values, 1).sum(dtype=np.uint64).view(np.int64))
 
 
+def _binned(held: list[np.ndarray]) -> tuple[np.ndarray, pa.Array]:
+    """The bins that the shingles of sets fall in, and for each the next 32 bits of their
+    hashes, end to end."""
+    values = np.concatenate(held)
+    codes = np.sort(((values & np.uint64((1 << BIN_BITS) - 1)) << np.uint64(32)) | ((values >> np.uint64(BIN_BITS)) & np.uint64(0xFFFFFFFF)))
+    bins = (codes >> np.uint64(32)).astype(np.int64)
+    edge = np.append(np.flatnonzero(np.append(True, bins[1:] != bins[:-1])), len(bins))
+    data = codes.astype("<u4")
+    return bins[edge[:-1]], pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * 4).astype(np.int32)), pa.py_buffer(data)])
+
+
 def _survey(k: int):
-    """mapInArrow: a row for each document (kind 0: doc_id, key, n, cid) and one for each
-    shingle of every class that the sample for levels takes (kind 1: key)."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("cid", pa.int64())])
+    """mapInArrow: a row for each document (kind 0: doc_id, key, n, cid; any bin) and rows with
+    the shingles of every class (kind 1: bin, items), once for each task that meets the
+    class."""
+    schema = pa.schema([("bin", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("items", pa.binary())])
+
+    def dealt(held):
+        bins, items = _binned(held)
+        none = pa.nulls(len(bins), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(bins), pa.array(np.ones(len(bins), np.int32)), none, none, none, none, items], schema=schema)
 
     def run(batches):
-        seen = set()
+        seen, held, size = set(), [], 0
         for batch in batches:
-            n, cid, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
+            n, cid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, values in _sets(batch, k):
                 n[row], cid[row] = len(values), _class_id(values)
-                if cid[row] % SAMPLED == 0 and cid[row] not in seen:
-                    if len(seen) >= 1 << 16:
+                if cid[row] not in seen:
+                    if len(seen) >= 1 << 18:
                         seen.clear()
                     seen.add(cid[row])
-                    held.append(values.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(cid)], schema=schema)
-            if held:
-                held = np.concatenate(held)
-                none = pa.nulls(len(held), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(held), np.int32)), none, pa.array(held), none, none], schema=schema)
+                    held.append(values)
+                    size += len(values)
+                    if size >= HELD_SHINGLES:
+                        yield dealt(held)
+                        held, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(cid & ((1 << BIN_BITS) - 1) ^ np.arange(len(n)) % (1 << BIN_BITS)), pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(cid), pa.nulls(len(n), pa.binary())], schema=schema)
+        if held:
+            yield dealt(held)
 
     return run
 
 
+def _counted(table: pa.Table) -> pa.Table:
+    """applyInArrow over the rows of a bin: its documents' rows as they are, and a row (kind 1:
+    key, n) for each cell of its shingles that two or more classes hold, with how many hold
+    the cell's commonest one."""
+    docs = table.filter(pc.equal(table.column("kind"), 0)).drop_columns(["bin", "items"])
+    items = table.column("items").drop_null()
+    if not len(items):
+        return docs
+    codes = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in items]))
+    edge = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    often = np.diff(np.append(edge, len(codes)))
+    cells = (codes[edge[often > 1]].astype(np.int64) << BIN_BITS | table.column("bin")[0].as_py()) & (LEVEL_CELLS - 1)
+    cells, place = np.unique(cells, return_inverse=True)
+    most = np.zeros(len(cells), np.int64)
+    np.maximum.at(most, place, often[often > 1])
+    none = pa.nulls(len(cells), pa.int64())
+    return pa.concat_tables([docs, pa.Table.from_arrays([pa.array(np.ones(len(cells), np.int32)), none, pa.array(cells), pa.array(most), none], schema=docs.schema)])
+
+
+def _surveyed(rows: DataFrame, k: int) -> DataFrame:
+    """The rows of ``_counted``. Shingles go straight into the shuffle, packed by bin."""
+    survey = rows.mapInArrow(_survey(k), "bin long, kind int, doc_id long, key long, n long, cid long, items binary")
+    return survey.groupBy("bin").applyInArrow(_counted, "kind int, doc_id long, key long, n long, cid long")
+
+
 def _levels(survey: DataFrame) -> np.ndarray:
-    """By cell of a shingle's hash, 1 + the binary logarithm of how many of the sampled
-    classes hold the cell's commonest shingle, if two or more do; else 0. Whether a
-    shingle is found common depends on how many classes hold it, not on their share
-    of the corpus; the table's size is fixed."""
-    common = survey.where("kind = 1").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cells = common.groupBy(F.col("key").bitwiseAND(F.lit(LEVEL_CELLS - 1)).alias("cell")).agg(F.max("n").alias("n"))
-    return dense(cells.select("cell", F.least(F.floor(F.log2("n")) + 1, F.lit(255)).alias("value")), LEVEL_CELLS)
+    """By cell of a shingle's hash, 1 + the binary logarithm of how many classes hold the
+    cell's commonest shingle, if two or more do; else 0. All shingles of all classes are
+    counted, by ``32 + BIN_BITS`` bits of their hashes; a class that several tasks meet
+    counts in each. Whether a shingle is found common depends on how many classes hold it,
+    not on their share of the corpus; the table's size is fixed."""
+    cells = survey.where("kind = 1")
+    return dense(cells.select(F.col("key").alias("cell"), F.least(F.floor(F.log2("n")) + 1, F.lit(255)).alias("value")), LEVEL_CELLS)
 
 
 def _ranked(values: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
@@ -151,9 +198,9 @@ def _stages(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: Frac
     num, den = threshold.numerator, threshold.denominator
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long")).alias("key"), F.col(text_col).alias("text"))
-    survey = saved(rows.mapInArrow(_survey(k), "kind int, doc_id long, key long, n long, cid long"), "survey")
-    levels = spark.sparkContext.broadcast(_levels(survey))
-    classes = survey.where("kind = 0 AND n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    found = saved(_surveyed(rows, k), "survey")
+    levels, survey = spark.sparkContext.broadcast(_levels(found)), found.where("kind = 0")
+    classes = survey.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
 
     # tokens go straight into the shuffle; those of one class alone are never written
     bucket = Window.partitionBy("token")
@@ -179,7 +226,9 @@ def _stages(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: Frac
 
         def with_column(pairs, column):
             for side in ("x", "y"):
-                pairs = pairs.join(sets.select(F.col("cid").alias(side), F.col(column).alias(f"{side}_{column}")), side)
+                own = sets.select(F.col("cid").alias(side), F.col(column).alias(f"{side}_{column}"))
+                # from the second one on both sides hold sets: neither goes whole to every executor
+                pairs = pairs.join(own if side == "x" else own.hint("merge"), side)
             return pairs
 
         passed = F.lit(True)
@@ -215,7 +264,7 @@ def ngram_jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = shared.select("token", "cid", "n", "pos").dropDuplicates(["token", "cid"])
     pairs = links(_met(known.alias("l"), known.alias("r"), possible, F.lit(True)))
     release(shared)
-    return pairs, survey.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("class_id"))
+    return pairs, survey.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("class_id"))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: Fraction = Fraction(9, 10), orders: int = 3) -> DataFrame:
@@ -244,5 +293,5 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = merged.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     # a component may hold any share of the classes: its rows meet copies of its name in many tasks
     named = salted_join(merged, smallest, "label").select("cid", "component_id")
-    out = survey.where("kind = 0").join(named, "cid", "left")
+    out = survey.drop("kind").join(named, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

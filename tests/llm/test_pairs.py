@@ -1,10 +1,14 @@
 """N-gram Jaccard join, components and benchmark decontamination against brute force."""
 
+import math
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from scoreline.llm import op10_ngram_join as J
 from scoreline.llm.graph import components
 from scoreline.llm.op04_decontaminate import Index, distance, find_leaks, fingerprints, window_size
 from scoreline.llm.op10_ngram_join import ngram_jaccard_join, ngram_jaccard_pairs
@@ -169,3 +173,23 @@ def test_fingerprints_are_bitwise_majorities():
             assert int(got[p]) == sum(1 << b for b in range(64) if ones[b] > size // 2)
     assert [window_size(n) for n in (1, 5, 15, 59, 400, 10_000)] == [1, 4, 13, 42, 211, 211]
     assert Index.build([(1, "")], 8).items == []
+
+
+@pytest.mark.parametrize("held", [J.HELD_SHINGLES, 5])
+def test_levels_count_the_shingles_of_every_class(spark, monkeypatch, held):
+    monkeypatch.setattr(J, "HELD_SHINGLES", held)
+    texts = [f"common words here {i} " + " ".join(f"w{i * 7 + j}" for j in range(i % 9)) for i in range(40)] + ["common words here 3 " + "w21 w22 w23", "alone in this table", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    rows = docs.selectExpr("doc_id", "doc_id AS key", "text")
+    survey = J._surveyed(rows, 3)
+    classes = {frozenset(v.tolist()) for _, v in J._sets(pa.RecordBatch.from_pydict({"text": texts}), 3)}
+    often = Counter(v for c in classes for v in c)
+    cells = np.zeros(J.LEVEL_CELLS, np.uint8)
+    for v, n in often.items():
+        if n > 1:
+            at = v & (J.LEVEL_CELLS - 1)
+            cells[at] = max(cells[at], 1 + int(math.log2(n)))
+    assert cells.max() == 1 + int(math.log2(40))
+    assert (J._levels(survey) == cells).all()
+    sizes = {r.doc_id: r.n for r in survey.where("kind = 0").collect()}
+    assert sizes == {i: len(shingle_set(t, 3)) for i, t in enumerate(texts)}
