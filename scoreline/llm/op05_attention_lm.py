@@ -6,6 +6,9 @@ ids and the end of a text have one of their own. Within a class, ids are told ap
 corpus counts of pairs of neighbouring ids, smoothed by the ids' own counts. Long texts are read in overlapping windows: each window scores its
 last half and has the half before as context, so every id is scored once.
 
+Nothing is learned from a sample: the classes and the first weights come from counts over
+all training texts, then all tasks train the weights in rounds, each text in one of them.
+
 Words are counted over all training texts for the base score. The most frequent words
 (a table of bounded size) go to the tasks; the others are joined with the counts. Pairs of
 ids are treated alike, so every pair of the training texts counts in the score.
@@ -20,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import thinned
 from .pieces import PartIds, WordEncoder, part_ids
 from .storage import saved
 from .tokens import word_chunks
@@ -28,11 +30,10 @@ from .tokens import word_chunks
 #: Positions that a window scores and that it sees before; width of the model; classes;
 #: rows of the embedding.
 SCORED, WIDTH, CLASSES, BUCKETS = 16, 16, 32, 4096
-#: The model starts from a fit on at most so many ids of at most so many texts, and is then
-#: trained on by all tasks in rounds, on one of so many texts in all: what it reads grows
-#: with the corpus.
-FIT_IDS, FIT_TEXTS, EPOCHS = 1_000_000, 2000, 4
-ROUNDS, ROUND_SHARE, ROUND_RATE = 2, 32, 0.003
+#: Passes of a fit on texts at hand; rounds that the training texts are dealt to and the
+#: first one's rate; ids that a task holds at once while it trains.
+EPOCHS = 4
+ROUNDS, ROUND_RATE, HELD_IDS = 4, 0.02, 1_000_000
 #: Ids that the tasks' table of pairs tells apart; pairs in it at most, the commonest (the
 #: others are joined); weight of the ids' own counts in the shares after an id.
 RANKS, FREQUENT_PAIRS, SMOOTH = 4096, 1 << 19, 5.0
@@ -52,18 +53,21 @@ def _chunks(column: pa.Array, parts: PartIds):
 
 def _count(tokenizer: str):
     """mapInArrow over (text): counts of words (kind 0: key, n), of ids (kind 1), of texts
-    (kind 2) and of pairs of neighbouring ids (kind 3; the end stands before and after)."""
-    names = ["kind", "key", "n"]
+    (kind 2) and of pairs of neighbouring ids (kind 3; the end stands before and after), and
+    the ids of each text (kind 4: ids)."""
+    names = ["kind", "key", "n", "ids"]
 
     def rows(kind, keys, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n), pa.nulls(len(keys), pa.binary())], names=names)
 
     def run(batches):
         pieces = part_ids(tokenizer)
         ids, texts, held, size, pairs, n_pairs = np.zeros(pieces.vocabulary, np.int64), 0, [], 0, [], 0
         for batch in batches:
             texts += batch.num_rows
-            for _, _, _, keys, place, own, first in _chunks(batch.column("text"), pieces):
+            for lo, hi, _, keys, place, own, first in _chunks(batch.column("text"), pieces):
+                none = pa.nulls(hi - lo, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, 4, np.int32)), none, none, _packed(own, first, pieces.vocabulary)], names=names)
                 if not len(keys):
                     continue
                 n = np.bincount(place, minlength=len(keys))
@@ -98,6 +102,27 @@ def _count(tokenizer: str):
     return run
 
 
+def _id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _packed(ids: np.ndarray, first: np.ndarray, vocabulary: int) -> pa.Array:
+    """The ids of each text as bytes."""
+    data = ids.astype(_id_type(vocabulary))
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _encode(tokenizer: str):
+    """mapInArrow over (text): the ids of each text."""
+    def run(batches):
+        parts = part_ids(tokenizer)
+        for batch in batches:
+            for *_, ids, first in _chunks(batch.column("text"), parts):
+                yield pa.RecordBatch.from_arrays([_packed(ids, first, parts.vocabulary)], names=["ids"])
+
+    return run
+
+
 def _merged(held: list) -> tuple[np.ndarray, np.ndarray]:
     keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
     return keys, np.bincount(place, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
@@ -185,41 +210,29 @@ class AttentionModel:
     def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each text: ``ids`` end to end, ``first`` their n + 1 offsets.
         The end of each text is scored, too."""
-        n = np.diff(first)
-        end = len(self.bucket) - 1
-        blocks = n // SCORED + 1
-        # each text: a block of padding, then a start sign and its ids, filled up to whole blocks
-        begin = np.cumsum(blocks + 1) - blocks - 1
-        total = int((blocks + 1).sum())
-        read = np.full(total * SCORED, PAD, np.int64)
-        want = np.full(total * SCORED, -1, np.int64)
-        at = np.arange(len(ids)) - np.repeat(first[:-1], n) + np.repeat((begin + 1) * SCORED, n)
-        want[at] = ids
-        want[(begin + 1) * SCORED + n] = end
-        read[at + 1] = self.bucket[ids]
-        read[(begin + 1) * SCORED] = self.bucket[end]
+        read, want, begin = _laid(self.bucket, ids, first)
+        total = len(read) // SCORED
         out = np.zeros(total * SCORED, np.float32)
+        room = _Room()
         for lo in range(1, total, 256):
             hi = min(lo + 256, total)
-            out[lo * SCORED : hi * SCORED] = self._blocks(read[(lo - 1) * SCORED : hi * SCORED], want[lo * SCORED : hi * SCORED])
-        sums = np.add.reduceat(out.astype(np.float64), begin * SCORED) if len(n) else np.zeros(0)
+            out[lo * SCORED : hi * SCORED] = self._blocks(read[(lo - 1) * SCORED : hi * SCORED], want[lo * SCORED : hi * SCORED], room)
+        sums = np.add.reduceat(out.astype(np.float64), begin * SCORED) if len(begin) else np.zeros(0)
         return sums + self.within(ids, first)
 
-    def _blocks(self, read: np.ndarray, want: np.ndarray) -> np.ndarray:
+    def _blocks(self, read: np.ndarray, want: np.ndarray, room: _Room) -> np.ndarray:
         """log10 probabilities of the groups of ``want`` by blocks; ``read`` has one block
         more, in front."""
         n = len(want) // SCORED
-        wide = lambda x: np.concatenate([x[:-1], x[1:]], axis=1)
-        q = self.query[read[SCORED:]].reshape(n, SCORED, -1)
-        k = wide(self.key[read].reshape(n + 1, SCORED, -1))
-        v = wide(self.value[read].reshape(n + 1, SCORED, -1))
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        own, both = read[SCORED:], _both(read)
+        q, k, v = room.rows("q", self.query, own).reshape(n, SCORED, -1), room.rows("k", self.key, both), room.rows("v", self.value, both)
+        a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, SCORED, 2 * SCORED))
         a += self.bias
         np.exp(np.minimum(a, 30, out=a), out=a)
         # the last column of the values is 1: it sums the weights
-        c = np.matmul(a, v).reshape(n * SCORED, -1)
-        z = (c[:, :-1] / c[:, -1:]) @ self.out
-        z += self.direct[read[SCORED:]]
+        c = np.matmul(a, v, out=room("c", n, SCORED, v.shape[2])).reshape(n * SCORED, -1)
+        z = np.matmul(np.divide(c[:, :-1], c[:, -1:], out=room("h", len(c), c.shape[1] - 1)), self.out, out=room("z", len(c), CLASSES))
+        z += room.rows("d", self.direct, own)
         group = self.group[want]
         own = z[np.arange(len(z)), group]
         np.exp(np.minimum(z, 30, out=z), out=z)
@@ -227,42 +240,88 @@ class AttentionModel:
         return np.where(want >= 0, p, 0)
 
 
-def _windows(sample: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids read, ids wanted) of training windows: 2 * SCORED read, the last SCORED wanted;
-    -1 stands for padding."""
-    reads, wants = [], []
-    for ids in sample:
-        blocks = len(ids) // SCORED + 1
-        read = np.full((blocks + 1) * SCORED, -1, np.int64)
-        want = np.full(blocks * SCORED, -1, np.int64)
-        read[SCORED] = end
-        read[SCORED + 1 : SCORED + len(ids) + 1] = ids[: len(read) - SCORED - 1]
-        want[: len(ids)] = ids
-        want[len(ids)] = end
-        reads.append(np.lib.stride_tricks.sliding_window_view(read, 2 * SCORED)[::SCORED])
-        wants.append(want.reshape(-1, SCORED))
-    return np.concatenate(reads), np.concatenate(wants)
-
-
-def _groups(counts: np.ndarray, sample: list[np.ndarray], rng) -> np.ndarray:
+class _Room:
+    """Float32 arrays by name that are used again at each step: fresh ones of this size cost
+    more in page faults than what is computed in them."""
+
+    def __init__(self):
+        self.held = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+    def rows(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return table.take(at, axis=0, out=self(name, *at.shape, table.shape[1]), mode="clip")
+
+
+def _both(read: np.ndarray) -> np.ndarray:
+    """Each block but the first, with the one before it."""
+    blocks = read.reshape(-1, SCORED)
+    return np.concatenate([blocks[:-1], blocks[1:]], axis=1)
+
+
+def _laid(bucket: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets read, ids wanted or -1, first block of each text) by position. Each text is a
+    block of padding, then a start sign and its ids, filled up to whole blocks."""
+    n, end = np.diff(first), len(bucket) - 1
+    blocks = n // SCORED + 1
+    begin = np.cumsum(blocks + 1) - blocks - 1
+    total = int((blocks + 1).sum())
+    read = np.full(total * SCORED, PAD, np.int64)
+    want = np.full(total * SCORED, -1, np.int64)
+    at = np.arange(len(ids)) - np.repeat(first[:-1], n) + np.repeat((begin + 1) * SCORED, n)
+    want[at] = ids
+    want[(begin + 1) * SCORED + n] = end
+    read[at + 1] = bucket[ids]
+    read[(begin + 1) * SCORED] = bucket[end]
+    return read, want, begin
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """Where an id stands among the neighbours that classes are told apart by: the most
+    frequent ids have a place each, the others share one."""
+    alone = CLASSES // 2
+    place = np.full(len(counts), alone, np.int64)
+    place[np.argsort(-counts[:-1], kind="stable")[:alone]] = np.arange(min(alone, len(counts) - 1))
+    return place
+
+
+def _company(place: np.ndarray, keys: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
+    """Add the counts of pairs to ``total``, by id and by what stands before or after it."""
+    ids, wide = len(place), CLASSES // 2 + 1
+    np.add.at(total, keys % ids * 2 * wide + place[keys // ids], n)
+    np.add.at(total, keys // ids * 2 * wide + wide + place[keys % ids], n)
+
+
+def _companies(place: np.ndarray):
+    """mapInArrow over pairs (key, n): ``_company`` of a task, a row for each cell."""
+    def run(batches):
+        total = np.zeros(len(place) * (CLASSES + 2), np.int64)
+        for batch in batches:
+            _company(place, *(batch.column(c).to_numpy(zero_copy_only=False) for c in range(2)), total)
+        seen = np.flatnonzero(total)
+        for lo in range(0, len(seen), 1 << 16):
+            some = seen[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    return run
+
+
+def _groups(counts: np.ndarray, context: np.ndarray, rng) -> np.ndarray:
     """Class of each id: frequent ones their own, the others by k-means on what comes
-    before and after them in the sample; the end (last) its own; unseen ids one class."""
+    before and after them (``context``); the end (last) its own; unseen ids one class."""
     v, alone = len(counts) - 1, CLASSES // 2
-    order = np.argsort(-counts[:v], kind="stable")
-    top = order[:alone]
-    place = np.full(v + 1, alone, np.int64)
-    place[top] = np.arange(alone)
-    flat = np.concatenate([np.append(x, v) for x in sample]) if sample else np.zeros(0, np.int64)
-    context = np.zeros((v + 1, 2 * alone + 2))
-    np.add.at(context, (flat[1:], place[flat[:-1]]), 1)
-    np.add.at(context, (flat[:-1], alone + 1 + place[flat[1:]]), 1)
+    top = np.argsort(-counts[:v], kind="stable")[:alone]
     seen = np.setdiff1d(np.flatnonzero(context[:v].sum(axis=1)), top)
     group = np.full(v + 1, CLASSES - 2, np.int64)
     group[v] = CLASSES - 1
-    group[top] = np.arange(alone)
+    group[top] = np.arange(len(top))
     k = CLASSES - 2 - alone
     if len(seen) > k:
-        x = context[seen]
+        x = context[seen].astype(float)
         weight = counts[seen].astype(float) + 1
         x = np.sqrt((x + 0.1 * x.sum(axis=0) / max(1.0, x.sum())) / (x.sum(axis=1, keepdims=True) + 0.1))
         centre = x[rng.choice(len(x), k, replace=False, p=weight / weight.sum())]
@@ -277,37 +336,57 @@ def _groups(counts: np.ndarray, sample: list[np.ndarray], rng) -> np.ndarray:
     return group
 
 
-def train_attention(sample: list[np.ndarray], counts: np.ndarray, texts: int, seed: int = 0) -> AttentionModel:
-    """Fit the model on whole ``sample`` texts by Adam; ``counts`` are of all ids in all
-    training texts, ``texts`` their number. Works for an empty sample, too."""
+def start_attention(counts: np.ndarray, context: np.ndarray, seed: int = 0) -> AttentionModel:
+    """The model before training, of the ``counts`` of all ids (the end's last) and of the
+    counts of what comes before and after each."""
     rng = np.random.default_rng(seed)
-    counts = np.append(counts, texts).astype(np.int64)
-    end = len(counts) - 1
-    group = _groups(counts, sample, rng)
+    group = _groups(counts, context, rng)
     # buckets: 0 is padding, frequent ids have one each, the others share by their number
     bucket = 1 + (np.arange(len(counts)) * 2654435761 % (BUCKETS // 4 - 1))
     order = np.argsort(-counts, kind="stable")[: BUCKETS - BUCKETS // 4]
     bucket[order] = BUCKETS // 4 + np.arange(len(order))
     smooth = counts + 0.5
     share = np.log10(smooth / np.bincount(group, smooth, CLASSES)[group]).astype(np.float32)
-
     scale = 0.3
     w = {"e": rng.normal(0, scale, (BUCKETS, WIDTH)), "q": rng.normal(0, scale, (WIDTH, WIDTH)), "k": rng.normal(0, scale, (WIDTH, WIDTH)), "v": rng.normal(0, scale, (WIDTH, WIDTH)), "o": rng.normal(0, scale, (WIDTH, CLASSES)), "r": np.zeros(2 * SCORED), "d": np.zeros((BUCKETS, CLASSES))}
-    mass = np.bincount(group, smooth, CLASSES)
-    start = np.log(np.maximum(mass / mass.sum(), 1e-9))
-    if sample:
-        reads, wants = _windows(sample, end)
-        follow = np.zeros((BUCKETS, CLASSES))
-        own, want = reads[:, SCORED:].ravel(), wants.ravel()
-        np.add.at(follow, (bucket[own[want >= 0]], group[want[want >= 0]]), 1)
-        w["d"] = np.log((follow + 5 * np.exp(start)) / (follow.sum(axis=1, keepdims=True) + 5))
-        w = {n: x.astype(np.float32) for n, x in w.items()}
-        _adam(w, bucket, group, reads, wants, rng)
-    else:
-        w["d"][:] = start
+    w["d"][:] = _class_logs(counts, group)
     return _tables(w, bucket, group, share)
 
 
+def _class_logs(counts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    mass = np.bincount(group, counts + 0.5, CLASSES)
+    return np.log(np.maximum(mass / mass.sum(), 1e-9))
+
+
+def follow_counts(model: AttentionModel, counts: np.ndarray, mass: np.ndarray) -> AttentionModel:
+    """The model with direct class scores from ``mass``, the counts of pairs by id before and
+    group of the id after."""
+    follow = np.zeros((BUCKETS, CLASSES))
+    np.add.at(follow, model.bucket, mass)
+    start = _class_logs(counts, model.group)
+    direct = np.log((follow + 5 * np.exp(start)) / (follow.sum(axis=1, keepdims=True) + 5))
+    return _tables({**model.weights, "d": direct}, model.bucket, model.group, model.share)
+
+
+def train_attention(sample: list[np.ndarray], counts: np.ndarray, texts: int, seed: int = 0) -> AttentionModel:
+    """Fit the model on texts at hand by Adam; ``counts`` are of all ids in all training
+    texts, ``texts`` their number. Works without texts, too."""
+    counts = np.append(counts, texts).astype(np.int64)
+    ids, context = len(counts), np.zeros(len(counts) * (CLASSES + 2), np.int64)
+    flat = np.concatenate([[ids - 1], *(np.append(x, ids - 1) for x in sample)])
+    keys, n = np.unique(flat[:-1] * ids + flat[1:], return_counts=True)
+    _company(_places(counts), keys, n, context)
+    model = start_attention(counts, context.reshape(ids, -1), seed)
+    if not sample:
+        return model
+    mass = np.zeros((ids, CLASSES))
+    np.add.at(mass, (keys // ids, model.group[keys % ids]), n)
+    model = follow_counts(model, counts, mass)
+    w = {n: x.copy() for n, x in model.weights.items()}
+    _adam(w, model.bucket, model.group, sample, np.random.default_rng(seed), EPOCHS, 0.01, 0.0)
+    return _tables(w, model.bucket, model.group, model.share)
+
+
 def _tables(w: dict, bucket: np.ndarray, group: np.ndarray, share: np.ndarray) -> AttentionModel:
     """The model of weights ``w``, without pairs."""
     w = {n: x.astype(np.float32) for n, x in w.items()}
@@ -325,88 +404,116 @@ def _lags() -> tuple[np.ndarray, np.ndarray]:
     return lag, lag >= 0
 
 
-def _adam(w, bucket, groups, reads, wants, rng, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 128) -> None:
-    """Adam on the mean cross entropy of the real positions; updates ``w`` in place."""
+def _gradients(w: dict, read: np.ndarray, group: np.ndarray, real: np.ndarray, lag: np.ndarray, causal: np.ndarray, room: _Room) -> dict:
+    """Gradients of the mean cross entropy of the ``real`` positions of neighbouring blocks;
+    ``read`` has one block more, in front. They are valid until the next call."""
+    n, root = len(group) // SCORED, np.float32(1 / np.sqrt(WIDTH))
+    own, both = read[SCORED:], _both(read)
+    project = lambda name: np.matmul(w["e"], w[name], out=room(f"table {name}", BUCKETS, WIDTH))
+    q = room.rows("q", project("q"), own).reshape(n, SCORED, WIDTH)
+    q *= root
+    k, v = room.rows("k", project("k"), both), room.rows("v", project("v"), both)
+    a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, SCORED, 2 * SCORED))
+    a += np.where(causal, w["r"][np.maximum(lag, 0)], np.float32(_FAR))
+    a += np.where(both == PAD, np.float32(_FAR), np.float32(0))[:, None, :]
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(axis=2, keepdims=True)
+    h = np.matmul(a, v, out=room("h", n, SCORED, WIDTH)).reshape(-1, WIDTH)
+    z = np.matmul(h, w["o"], out=room("z", n * SCORED, CLASSES))
+    z += room.rows("d", w["d"], own)
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(z)), group] -= 1
+    z *= (real / max(1, real.sum())).astype(np.float32)[:, None]
+    dh = np.matmul(z, w["o"].T, out=room("dh", n * SCORED, WIDTH)).reshape(n, SCORED, WIDTH)
+    da = np.matmul(dh, v.transpose(0, 2, 1), out=room("da", n, SCORED, 2 * SCORED))
+    dv = np.matmul(a.transpose(0, 2, 1), dh, out=room("dv", n, 2 * SCORED, WIDTH))
+    da -= np.einsum("bsr,bsr->bs", da, a)[..., None]
+    da *= a
+    dq = np.matmul(da, k, out=room("dq", n, SCORED, WIDTH))
+    dk = np.matmul(da.transpose(0, 2, 1), q, out=room("dk", n, 2 * SCORED, WIDTH))
+    # a block is read by itself and by the next one
+    once = room("once", n + 1, SCORED, 3 * WIDTH + CLASSES)
+    once[0] = 0
+    once[1:, :, :WIDTH], once[1:, :, WIDTH : 2 * WIDTH] = dk[:, SCORED:], dv[:, SCORED:]
+    once[:-1, :, :WIDTH] += dk[:, :SCORED]
+    once[:-1, :, WIDTH : 2 * WIDTH] += dv[:, :SCORED]
+    np.multiply(dq, root, out=once[1:, :, 2 * WIDTH : 3 * WIDTH])
+    once[1:, :, 3 * WIDTH :] = z.reshape(n, SCORED, CLASSES)
+    # summed by bucket
+    order = np.argsort(read, kind="stable")
+    at = read[order]
+    edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    total = room("total", BUCKETS, 3 * WIDTH + CLASSES)
+    total[:] = 0
+    total[at[edge]] = np.add.reduceat(room.rows("sorted", once.reshape(len(read), -1), order), edge, axis=0)
+    dk, dv, dq = total[:, :WIDTH], total[:, WIDTH : 2 * WIDTH], total[:, 2 * WIDTH : 3 * WIDTH]
+    return {
+        "e": dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T, "q": w["e"].T @ dq, "k": w["e"].T @ dk, "v": w["e"].T @ dv, "o": h.T @ z,
+        "r": np.bincount(np.maximum(lag, 0).ravel(), (da.sum(axis=0) * causal).ravel(), 2 * SCORED).astype(np.float32), "d": total[:, 3 * WIDTH :],
+    }
+
+
+def _adam(w, bucket, groups, sample, rng, epochs: int, rate: float, last: float, held: dict | None = None) -> int:
+    """Adam over the ``sample`` texts in random order; the rate goes from ``rate`` to ``last``.
+    Updates ``w`` in place, and in ``held`` what the next call goes on from; the number of
+    blocks."""
+    held = {} if held is None else held
+    if not held:
+        held.update(m={n: np.zeros_like(x) for n, x in w.items()}, s={n: np.zeros_like(x) for n, x in w.items()}, step=0, room=_Room())
+    m, s, room = held["m"], held["s"], held["room"]
     lag, causal = _lags()
-    read, real, group = np.where(reads >= 0, bucket[reads], PAD), wants >= 0, np.where(wants >= 0, groups[wants], 0)
-    m, s, step = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}, 0
-    root, far = np.float32(1 / np.sqrt(WIDTH)), np.float32(_FAR)
-    steps = epochs * -(-len(read) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(read))
-        for lo in range(0, len(order), batch):
-            pick = order[lo : lo + batch]
-            x, y, mask = read[pick], group[pick], real[pick]
-            e = w["e"][x]
-            late = e[:, SCORED:]
-            q, k, v = late @ w["q"] * root, e @ w["k"], e @ w["v"]
-            a = q @ k.transpose(0, 2, 1) + np.where(causal, w["r"][np.maximum(lag, 0)], far) + np.where(x == PAD, far, np.float32(0))[:, None, :]
-            a = np.exp(a - a.max(axis=2, keepdims=True))
-            a /= a.sum(axis=2, keepdims=True)
-            h = a @ v
-            z = h @ w["o"] + w["d"][x[:, SCORED:]]
-            z = np.exp(z - z.max(axis=2, keepdims=True))
-            z /= z.sum(axis=2, keepdims=True)
-            np.put_along_axis(z, y[..., None], np.take_along_axis(z, y[..., None], 2) - 1, 2)
-            z *= (mask / max(1, mask.sum()))[..., None].astype(np.float32)
-            g = {"o": np.einsum("bsd,bsc->dc", h, z), "d": np.zeros_like(w["d"]), "e": np.zeros_like(w["e"])}
-            np.add.at(g["d"], x[:, SCORED:], z)
-            dh = z @ w["o"].T
-            da = dh @ v.transpose(0, 2, 1)
-            dv = a.transpose(0, 2, 1) @ dh
-            da = a * (da - (da * a).sum(axis=2, keepdims=True))
-            da *= causal
-            g["r"] = np.bincount(np.broadcast_to(np.maximum(lag, 0), da.shape).ravel(), da.ravel(), 2 * SCORED)
-            dq, dk = da @ k * root, da.transpose(0, 2, 1) @ (q / 1)
-            g["q"], g["k"], g["v"] = np.einsum("bsd,bse->de", late, dq), np.einsum("bsd,bse->de", e, dk), np.einsum("bsd,bse->de", e, dv)
-            de = dk @ w["k"].T + dv @ w["v"].T
-            de[:, SCORED:] += dq @ w["q"].T
-            np.add.at(g["e"], x, de)
-            step += 1
-            now = rate * (1 - (step - 1) / steps)
+    total = 0
+    for epoch in range(epochs):
+        texts = [sample[i] for i in rng.permutation(len(sample))]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        read, want, _ = _laid(bucket, np.concatenate(texts), first)
+        # the compact type sorts faster
+        read, real, group = read.astype(np.int16), want >= 0, np.where(want >= 0, groups[want], 0)
+        blocks = len(read) // SCORED
+        batch = min(1024, max(32, blocks // 64))
+        for lo in range(1, blocks, batch):
+            hi = min(lo + batch, blocks)
+            at = slice(lo * SCORED, hi * SCORED)
+            g = _gradients(w, read[(lo - 1) * SCORED : hi * SCORED], group[at], real[at], lag, causal, room)
+            held["step"] += 1
+            step = held["step"]
+            now = rate + (last - rate) * (epoch + lo / blocks) / epochs
             for n in w:
-                m[n] += 0.1 * (g[n] - m[n])
-                s[n] += 0.01 * (g[n] * g[n] - s[n])
-                w[n] -= (now * (m[n] / (1 - 0.9**step)) / (np.sqrt(s[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-
-
-def _train(tokenizer: str, counts: np.ndarray, texts: int):
-    """mapInArrow over one partition with the sample: the fitted model's arrays."""
-    def run(batches):
-        parts, sample, left = part_ids(tokenizer), [], FIT_IDS
-        for batch in batches:
-            for lo, hi, *_, ids, first in _chunks(batch.column("text"), parts):
-                for r in range(hi - lo):
-                    if left > 0:
-                        sample.append(ids[first[r] : first[r + 1]].astype(np.int64))
-                        left -= len(sample[-1])
-        model = train_attention(sample, counts, texts)
-        arrays = {**{n: x for n, x in vars(model).items() if n != "weights"}, **{f"weights.{n}": x for n, x in model.weights.items()}}
-        for name, x in arrays.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([x.tobytes()]), pa.array([str(x.dtype)]), pa.array([list(x.shape)], pa.list_(pa.int64()))], names=["name", "data", "kind", "shape"])
-
-    return run
-
-
-def _round(tokenizer: str, held, seed: int):
-    """mapInArrow over (text): the weights that a task reaches from those of the model by one
-    pass over its windows, a row for each row of each, and the number of windows."""
+                x = np.multiply(g[n], np.float32(0.1), out=room(f"step {n}", *w[n].shape))
+                m[n] *= np.float32(0.9)
+                m[n] += x
+                np.multiply(g[n], g[n], out=x)
+                x *= np.float32(0.01)
+                s[n] *= np.float32(0.99)
+                s[n] += x
+                np.multiply(s[n], np.float32(1 / (1 - 0.99**step)), out=x)
+                np.sqrt(x, out=x)
+                x += np.float32(1e-8)
+                np.divide(m[n], x, out=x)
+                x *= np.float32(now / (1 - 0.9**step))
+                w[n] -= x
+        total += blocks - len(sample)
+    return total
+
+
+def _round(held, rate: float, seed: int):
+    """mapInArrow over (ids): the weights that a task reaches from those of the model by one
+    pass over its texts, a row for each row of each, and the number of blocks."""
     def run(batches):
-        model, parts, sample, rng = held.value, part_ids(tokenizer), [], np.random.default_rng(seed)
+        model, sample, size, rng, state = held.value, [], 0, np.random.default_rng(seed), {}
         w, windows = {n: x.copy() for n, x in model.weights.items()}, 0
-
-        def learn():
-            reads, wants = _windows(sample, len(model.bucket) - 1)
-            _adam(w, model.bucket, model.group, reads, wants, rng, 1, ROUND_RATE)
-            return len(reads)
-
+        kind = _id_type(len(model.bucket) - 1)
+        learn = lambda: _adam(w, model.bucket, model.group, sample, rng, 1, rate, rate, state)
         for batch in batches:
-            for lo, hi, *_, ids, first in _chunks(batch.column("text"), parts):
-                sample += [ids[first[r] : first[r + 1]].astype(np.int64) for r in range(hi - lo)]
-                # as many ids as the first fit had, then the next
-                if sum(map(len, sample)) >= FIT_IDS:
+            for x in batch.column("ids"):
+                sample.append(np.frombuffer(x.as_buffer(), kind).astype(np.int64))
+                size += len(sample[-1]) + SCORED
+                if size >= HELD_IDS:
                     windows += learn()
-                    sample.clear()
+                    sample, size = [], 0
         if sample:
             windows += learn()
         for name, x in w.items() if windows else ():
@@ -419,17 +526,22 @@ def _round(tokenizer: str, held, seed: int):
     return run
 
 
-def train_on(attention: AttentionModel, train: DataFrame, tokenizer: str, rounds: int = 2, share: int = 32) -> AttentionModel:
-    """The model trained further by all tasks, in ``rounds`` on different texts, one of
-    ``share`` texts in all: in each round every task starts from the model, passes once over
-    its part, and the weights that tasks reach are averaged by their windows in Spark."""
-    number = F.pmod(F.xxhash64("text", F.lit(23)), F.lit(share * rounds))
-    some = saved(train.where("text IS NOT NULL").withColumn("round", number).where(F.col("round") < rounds), "rounds")
+def train_on(attention: AttentionModel, train: DataFrame, tokenizer: str, rounds: int = ROUNDS, share: int = 1) -> AttentionModel:
+    """The model trained further on one of ``share`` of the texts of ``train``, see
+    ``train_rounds``."""
+    return train_rounds(attention, saved(train.select("text").mapInArrow(_encode(tokenizer), "ids binary"), "encoded"), rounds, share)
+
+
+def train_rounds(attention: AttentionModel, encoded: DataFrame, rounds: int = ROUNDS, share: int = 1) -> AttentionModel:
+    """The model trained by all tasks in ``rounds`` on different texts (``ids``, encoded), by
+    default every text in one of them: in each round every task starts from the model, passes
+    once over its part, and the weights that tasks reach are averaged by their blocks in Spark."""
+    some = encoded.withColumn("round", F.pmod(F.xxhash64("ids", F.lit(23)), F.lit(share * rounds)))
     columns = [f"c{c}" for c in range(CLASSES)]
     schema = "name string, row long, n long, " + ", ".join(f"{c} double" for c in columns)
     for k in range(rounds):
-        held = train.sparkSession.sparkContext.broadcast(attention)
-        reached = some.where(F.col("round") == k).select("text").mapInArrow(_round(tokenizer, held, k), schema)
+        held = encoded.sparkSession.sparkContext.broadcast(attention)
+        reached = some.where(F.col("round") == k).select("ids").mapInArrow(_round(held, ROUND_RATE * (1 - k / rounds), k), schema)
         mean = reached.groupBy("name", "row").agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in columns), F.sum("n").alias("n")).toArrow()  # rows of the weights
         if not mean.num_rows:
             continue
@@ -490,12 +602,17 @@ def _gains(held, room: int):
     return run
 
 
+def _dense(cells: pa.Table, rows: int, width: int) -> np.ndarray:
+    out = np.zeros(rows * width)
+    out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    return out.reshape(rows, width)
+
+
 def fit_language_model(train: DataFrame, tokenizer: str, text_col: str = "text") -> LanguageModel:
-    """Count the words and ids of all ``train`` texts and fit the attention model: first on a
-    sample bounded by FIT_TEXTS and FIT_IDS, then on one of ROUND_SHARE texts (``train_on``).
-    Null texts count as empty."""
+    """Count the words, ids and pairs of ids of all ``train`` texts and train the attention
+    model on all of them. Null texts count as empty."""
     train = train.select(F.col(text_col).alias("text"))
-    found = saved(train.mapInArrow(_count(tokenizer), "kind int, key long, n long"), "counted")
+    found = saved(train.mapInArrow(_count(tokenizer), "kind int, key long, n long, ids binary"), "counted")
     counts = saved(found.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), "words")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     texts = found.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -505,23 +622,19 @@ def fit_language_model(train: DataFrame, tokenizer: str, text_col: str = "text")
     order = np.argsort(keys)
     by_id = np.zeros(WordEncoder(tokenizer).vocabulary, np.int64)
     by_id[[r["key"] for r in ids]] = [r["n"] for r in ids]
-    sample = thinned(train.where("text IS NOT NULL"), "text", FIT_TEXTS, texts).distinct().orderBy(F.xxhash64("text"), "text").limit(FIT_TEXTS).coalesce(1)
-    rows = sample.mapInArrow(_train(tokenizer, by_id, texts), "name string, data binary, kind string, shape array<long>").collect()
-    arrays = {r["name"]: np.frombuffer(r["data"], r["kind"]).reshape(r["shape"]) for r in rows}
-    weights = {n.removeprefix("weights."): arrays.pop(n) for n in list(arrays) if n.startswith("weights.")}
-    attention = AttentionModel(**arrays, weights=weights) if rows else train_attention([], by_id, texts)
-    attention = train_on(attention, train, tokenizer, ROUNDS, ROUND_SHARE)
     every = np.append(by_id, texts)
+    cells = found.where("kind = 3").select("key", "n").mapInArrow(_companies(_places(every)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each id and place
+    attention = start_attention(every, _dense(cells, len(every), CLASSES + 2))
     rank = np.empty(len(every), np.int32)
     rank[np.argsort(-every, kind="stable")] = np.arange(1, len(every) + 1)
     held = train.sparkSession.sparkContext.broadcast(replace(attention, rank=rank))
     pairs = found.where("kind = 3").groupBy("key").agg(F.sum("n").alias("n"))
     pairs = saved(pairs.mapInArrow(_gains(held, RANKS), "key long, n long, cell long, more double, near boolean"), "pairs")
     cells = pairs.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each id and group
-    mass = np.zeros(len(every) * CLASSES)
-    mass[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    mass = _dense(cells, len(every), CLASSES)
+    attention = train_rounds(follow_counts(attention, every, mass), found.where("kind = 4").select("ids"))
     common = _commonest(pairs.where("near").select("key", "n"), FREQUENT_PAIRS)
-    attention = attention.with_pairs(every, common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64), mass.reshape(-1, CLASSES))
+    attention = attention.with_pairs(every, common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64), mass)
     model = LanguageModel(attention, counts, pairs.select("key", "more"), tokenizer, texts, sums[0] + texts, sums[1] + (texts > 0), keys[order], np.zeros(0))
     model.logs = model.log10(frequent["n"].to_numpy(float)[order])
     return model

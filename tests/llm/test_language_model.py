@@ -162,3 +162,28 @@ def test_rounds_over_tasks_lower_the_loss_and_read_more_of_a_larger_corpus(spark
     # without texts the model stays as it is
     same = L.train_on(start, train.limit(0), PATH, 2, 4)
     assert all((same.weights[n] == x).all() for n, x in start.weights.items())
+
+
+def test_every_text_trains_the_weights_and_the_classes(spark, monkeypatch):
+    texts = [f"{'abc'[i % 3]} word{i} and {i} more " * (i % 7) for i in range(50)] + ["", None]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    encode = L.part_ids(PATH).words.tokenizer.encode
+    ids = [encode(t or "", add_special_tokens=False).ids for t in texts]
+    read, company, start = [], [], L.start_attention
+
+    def rounds(attention, encoded, *rest):
+        read.extend(np.frombuffer(r.ids, "<u2").tolist() for r in encoded.collect())
+        held = spark.sparkContext.broadcast(attention)
+        trained = [encoded.select("ids").mapInArrow(L._round(held, 0.01, 0), "name string, row long, n long, " + ", ".join(f"c{c} double" for c in range(L.CLASSES))).where("name = 'r' AND row = 0").agg({"n": "sum"}).first()[0]]
+        assert trained == [sum(len(x) // L.SCORED + 1 for x in ids)]
+        return attention
+
+    monkeypatch.setattr(L, "train_rounds", rounds)
+    monkeypatch.setattr(L, "start_attention", lambda counts, context, *rest: company.append(context) or start(counts, context, *rest))
+    L.fit_language_model(train, PATH)
+    assert sorted(read) == sorted(ids)
+    # what stands before an id and what stands after it, over all texts
+    end = L.part_ids(PATH).vocabulary
+    follow = Counter(pair for x in ids for pair in zip([end, *x], [*x, end], strict=True) if x)
+    assert company[0].sum() == 2 * sum(follow.values())
+    assert company[0][end].sum() == 2 * sum(1 for x in ids if x)
