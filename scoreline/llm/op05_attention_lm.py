@@ -17,6 +17,7 @@ ids are treated alike, so every pair of the training texts counts in the score.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .pieces import PartIds, WordEncoder, part_ids
 from .storage import saved
-from .tokens import word_chunks
+from .tokens import distinct, word_chunks
 
 #: Positions that a window scores and that it sees before; width of the model; classes;
 #: rows of the embedding.
@@ -39,15 +40,19 @@ ROUNDS, ROUND_RATE, HELD_IDS = 4, 0.02, 1_000_000
 RANKS, FREQUENT_PAIRS, SMOOTH = 4096, 1 << 19, 5.0
 #: Words whose counts are sent to the tasks at most.
 FREQUENT_WORDS = 1 << 18
+#: Blocks at a time, so that what is worked out for them stays in a core's own memory.
+PART = 256
 PAD = 0
 _FAR = -1e4
+_ROOT, _ONES = np.float32(1 / np.sqrt(WIDTH)), np.ones(CLASSES, np.float32)
+_EIGHT = np.ones((1, 8), np.float32)
 
 
 def _chunks(column: pa.Array, parts: PartIds):
     """(first row, end row, words, distinct hashes, their place for each word, ids, their
     offsets by row) of each chunk."""
     for lo, hi, data, _, words in word_chunks(column, 1 << 20):
-        keys, place = np.unique(words.hashes, return_inverse=True)
+        keys, place = distinct(words.hashes)
         yield lo, hi, words, keys, place, *parts.ids_of(data, words)
 
 
@@ -214,8 +219,8 @@ class AttentionModel:
         total = len(read) // SCORED
         out = np.zeros(total * SCORED, np.float32)
         room = _Room()
-        for lo in range(1, total, 256):
-            hi = min(lo + 256, total)
+        for lo in range(1, total, PART):
+            hi = min(lo + PART, total)
             out[lo * SCORED : hi * SCORED] = self._blocks(read[(lo - 1) * SCORED : hi * SCORED], want[lo * SCORED : hi * SCORED], room)
         sums = np.add.reduceat(out.astype(np.float64), begin * SCORED) if len(begin) else np.zeros(0)
         return sums + self.within(ids, first)
@@ -223,20 +228,9 @@ class AttentionModel:
     def _blocks(self, read: np.ndarray, want: np.ndarray, room: _Room) -> np.ndarray:
         """log10 probabilities of the groups of ``want`` by blocks; ``read`` has one block
         more, in front."""
-        n = len(want) // SCORED
-        own, both = read[SCORED:], _both(read)
-        q, k, v = room.rows("q", self.query, own).reshape(n, SCORED, -1), room.rows("k", self.key, both), room.rows("v", self.value, both)
-        a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, SCORED, 2 * SCORED))
-        a += self.bias
-        np.exp(np.minimum(a, 30, out=a), out=a)
-        # the last column of the values is 1: it sums the weights
-        c = np.matmul(a, v, out=room("c", n, SCORED, v.shape[2])).reshape(n * SCORED, -1)
-        z = np.matmul(np.divide(c[:, :-1], c[:, -1:], out=room("h", len(c), c.shape[1] - 1)), self.out, out=room("z", len(c), CLASSES))
-        z += room.rows("d", self.direct, own)
-        group = self.group[want]
-        own = z[np.arange(len(z)), group]
-        np.exp(np.minimum(z, 30, out=z), out=z)
-        p = (np.minimum(own, 30) - np.log(z.sum(axis=1))) * np.float32(1 / np.log(10))
+        *_, z = _attend((self.query, self.key, self.value), self.bias, self.out, self.direct, read, room)
+        own = z[np.arange(len(z)), self.group[want]]
+        p = (own - np.log(np.exp(z, out=z) @ _ONES)) * np.float32(1 / np.log(10))
         return np.where(want >= 0, p, 0)
 
 
@@ -245,10 +239,16 @@ class _Room:
     more in page faults than what is computed in them."""
 
     def __init__(self):
-        self.held = {}
+        self.held, self.most = {}, np.zeros(0, np.float32)
+
+    def limited(self, x: np.ndarray) -> np.ndarray:
+        """``x``, at most 30, in place. An array of limits takes a third of the time of one number."""
+        if self.most.size < x.size:
+            self.most = np.full(x.size, 30, np.float32)
+        return np.minimum(x, self.most[: x.size].reshape(x.shape), out=x)
 
     def __call__(self, name: str, *shape: int) -> np.ndarray:
-        size = int(np.prod(shape))
+        size = prod(shape)
         if name not in self.held or self.held[name].size < size:
             self.held[name] = np.empty(size, np.float32)
         return self.held[name][:size].reshape(shape)
@@ -257,10 +257,29 @@ class _Room:
         return table.take(at, axis=0, out=self(name, *at.shape, table.shape[1]), mode="clip")
 
 
-def _both(read: np.ndarray) -> np.ndarray:
-    """Each block but the first, with the one before it."""
-    blocks = read.reshape(-1, SCORED)
-    return np.concatenate([blocks[:-1], blocks[1:]], axis=1)
+def _windows(rows: np.ndarray) -> np.ndarray:
+    """Each block of rows but the first, with the one before it; a view."""
+    n, step = len(rows) // SCORED - 1, rows.strides[0]
+    return np.lib.stride_tricks.as_strided(rows, (max(0, n), 2 * SCORED, rows.shape[1]), (SCORED * step, step, rows.strides[1]), writeable=False)
+
+
+def _attend(tables, bias: np.ndarray, out: np.ndarray, direct: np.ndarray, read: np.ndarray, room: _Room) -> tuple:
+    """(queries, keys, values, weights, weighted sums, those over the sum of weights, class
+    scores) of the blocks but the first of ``read``; valid until the next call."""
+    read = read.astype(np.intp, copy=False)
+    n, own = len(read) // SCORED - 1, read[SCORED:]
+    q = room.rows("q", tables[0], own).reshape(n, SCORED, -1)
+    k, v = _windows(room.rows("k", tables[1], read)), _windows(room.rows("v", tables[2], read))
+    a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, SCORED, 2 * SCORED))
+    a += bias
+    np.exp(room.limited(a), out=a)
+    # the last column of the values is 1: it sums the weights
+    c = np.matmul(a, v, out=room("c", n, SCORED, v.shape[2])).reshape(n * SCORED, -1)
+    np.maximum(c[:, -1], np.float32(1e-30), out=c[:, -1])
+    h = np.divide(c[:, :-1], c[:, -1:], out=room("h", len(c), WIDTH))
+    z = np.matmul(h, out, out=room("z", len(c), CLASSES))
+    z += room.rows("d", direct, own)
+    return q, k, v, a, c, h, room.limited(z)
 
 
 def _laid(bucket: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -390,12 +409,20 @@ def train_attention(sample: list[np.ndarray], counts: np.ndarray, texts: int, se
 def _tables(w: dict, bucket: np.ndarray, group: np.ndarray, share: np.ndarray) -> AttentionModel:
     """The model of weights ``w``, without pairs."""
     w = {n: x.astype(np.float32) for n, x in w.items()}
+    return AttentionModel(bucket, group, share, *_projected(w), w["d"], w["o"], _bias(w), np.ones(len(bucket), np.int32), np.zeros((1, 1), np.float16), np.zeros((2, CLASSES), np.float32), np.zeros((1, 1), bool), w)
+
+
+def _projected(w: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, keys and values by bucket, the values with a column of 1 to sum the weights.
+    Padding has no values, so that it counts in no sum."""
+    v = np.hstack([w["e"] @ w["v"], np.ones((BUCKETS, 1), np.float32)])
+    v[PAD] = 0
+    return w["e"] @ (w["q"] * _ROOT), w["e"] @ w["k"], v
+
+
+def _bias(w: dict) -> np.ndarray:
     lag, causal = _lags()
-    ones = np.ones((BUCKETS, 1), np.float32)
-    far = np.where(np.arange(BUCKETS)[:, None] == PAD, np.float32(_FAR), np.float32(0))
-    bias = np.where(causal, w["r"][np.maximum(lag, 0)], _FAR).astype(np.float32)
-    root = np.float32(1 / np.sqrt(WIDTH))
-    return AttentionModel(bucket, group, share, np.hstack([w["e"] @ w["q"] * root, ones]), np.hstack([w["e"] @ w["k"], far]), np.hstack([w["e"] @ w["v"], ones]), w["d"], w["o"], bias, np.ones(len(bucket), np.int32), np.zeros((1, 1), np.float16), np.zeros((2, CLASSES), np.float32), np.zeros((1, 1), bool), w)
+    return np.where(causal, w["r"][np.maximum(lag, 0)], _FAR).astype(np.float32)
 
 
 def _lags() -> tuple[np.ndarray, np.ndarray]:
@@ -404,58 +431,73 @@ def _lags() -> tuple[np.ndarray, np.ndarray]:
     return lag, lag >= 0
 
 
-def _gradients(w: dict, read: np.ndarray, group: np.ndarray, real: np.ndarray, lag: np.ndarray, causal: np.ndarray, room: _Room) -> dict:
+def _gradients(w: dict, read: np.ndarray, group: np.ndarray, real: np.ndarray, room: _Room) -> dict:
     """Gradients of the mean cross entropy of the ``real`` positions of neighbouring blocks;
     ``read`` has one block more, in front. They are valid until the next call."""
-    n, root = len(group) // SCORED, np.float32(1 / np.sqrt(WIDTH))
-    own, both = read[SCORED:], _both(read)
-    project = lambda name: np.matmul(w["e"], w[name], out=room(f"table {name}", BUCKETS, WIDTH))
-    q = room.rows("q", project("q"), own).reshape(n, SCORED, WIDTH)
-    q *= root
-    k, v = room.rows("k", project("k"), both), room.rows("v", project("v"), both)
-    a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, SCORED, 2 * SCORED))
-    a += np.where(causal, w["r"][np.maximum(lag, 0)], np.float32(_FAR))
-    a += np.where(both == PAD, np.float32(_FAR), np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    h = np.matmul(a, v, out=room("h", n, SCORED, WIDTH)).reshape(-1, WIDTH)
-    z = np.matmul(h, w["o"], out=room("z", n * SCORED, CLASSES))
-    z += room.rows("d", w["d"], own)
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), group] -= 1
-    z *= (real / max(1, real.sum())).astype(np.float32)[:, None]
-    dh = np.matmul(z, w["o"].T, out=room("dh", n * SCORED, WIDTH)).reshape(n, SCORED, WIDTH)
-    da = np.matmul(dh, v.transpose(0, 2, 1), out=room("da", n, SCORED, 2 * SCORED))
-    dv = np.matmul(a.transpose(0, 2, 1), dh, out=room("dv", n, 2 * SCORED, WIDTH))
-    da -= np.einsum("bsr,bsr->bs", da, a)[..., None]
-    da *= a
-    dq = np.matmul(da, k, out=room("dq", n, SCORED, WIDTH))
-    dk = np.matmul(da.transpose(0, 2, 1), q, out=room("dk", n, 2 * SCORED, WIDTH))
-    # a block is read by itself and by the next one
-    once = room("once", n + 1, SCORED, 3 * WIDTH + CLASSES)
-    once[0] = 0
-    once[1:, :, :WIDTH], once[1:, :, WIDTH : 2 * WIDTH] = dk[:, SCORED:], dv[:, SCORED:]
-    once[:-1, :, :WIDTH] += dk[:, :SCORED]
-    once[:-1, :, WIDTH : 2 * WIDTH] += dv[:, :SCORED]
-    np.multiply(dq, root, out=once[1:, :, 2 * WIDTH : 3 * WIDTH])
-    once[1:, :, 3 * WIDTH :] = z.reshape(n, SCORED, CLASSES)
-    # summed by bucket
-    order = np.argsort(read, kind="stable")
-    at = read[order]
-    edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    n, weight = len(group) // SCORED, (real / max(1, real.sum())).astype(np.float32)
+    tables, bias = _projected(w), _bias(w)
     total = room("total", BUCKETS, 3 * WIDTH + CLASSES)
     total[:] = 0
-    total[at[edge]] = np.add.reduceat(room.rows("sorted", once.reshape(len(read), -1), order), edge, axis=0)
-    dk, dv, dq = total[:, :WIDTH], total[:, WIDTH : 2 * WIDTH], total[:, 2 * WIDTH : 3 * WIDTH]
+    do, dr = np.zeros_like(w["o"]), np.zeros((SCORED, 2 * SCORED), np.float32)
+    for lo in range(0, n, PART):
+        hi = min(lo + PART, n)
+        at = slice(lo * SCORED, hi * SCORED)
+        q, k, v, a, c, h, z = _attend(tables, bias, w["o"], w["d"], read[lo * SCORED : (hi + 1) * SCORED], room)
+        np.exp(z, out=z)
+        z *= (weight[at] / (z @ _ONES))[:, None]
+        z[np.arange(len(z)), group[at]] -= weight[at]
+        do += h.T @ z
+        # the last column brings in what weights lose to each other, as that of the values is 1
+        dc = room("dc", len(z), WIDTH + 1)
+        np.divide(np.matmul(z, w["o"].T, out=room("dh", len(z), WIDTH)), c[:, -1:], out=dc[:, :-1])
+        np.negative(np.einsum("ij,ij->i", dc[:, :-1], h), out=dc[:, -1])
+        dc = dc.reshape(hi - lo, SCORED, -1)
+        da = np.matmul(dc, v.transpose(0, 2, 1), out=room("da", *a.shape))
+        da *= a
+        dr += da.sum(axis=0)
+        both = room("both", hi - lo, 2 * SCORED, 2 * WIDTH)
+        np.matmul(da.transpose(0, 2, 1), q, out=both[:, :, :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dc[:, :, :-1], out=both[:, :, WIDTH:])
+        # by position: keys, values, queries and classes; a block is read by itself and by the next
+        # one, the last row stays empty
+        rows = room("rows", (hi - lo + 1) * SCORED + 1, total.shape[1])
+        rows[:SCORED] = rows[-1] = 0
+        blocks = rows[:-1].reshape(hi - lo + 1, SCORED, -1)
+        blocks[1:, :, : 2 * WIDTH] = both[:, SCORED:]
+        blocks[:-1, :, : 2 * WIDTH] += both[:, :SCORED]
+        np.matmul(da, k, out=blocks[1:, :, 2 * WIDTH : 3 * WIDTH])
+        rows[SCORED:-1, 3 * WIDTH :] = z
+        _add_rows(total, rows, read[lo * SCORED : (hi + 1) * SCORED], room)
+    dk, dv, dq = total[:, :WIDTH], total[:, WIDTH : 2 * WIDTH], total[:, 2 * WIDTH : 3 * WIDTH] * _ROOT
+    dv[PAD] = 0
+    lag, causal = _lags()
     return {
-        "e": dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T, "q": w["e"].T @ dq, "k": w["e"].T @ dk, "v": w["e"].T @ dv, "o": h.T @ z,
-        "r": np.bincount(np.maximum(lag, 0).ravel(), (da.sum(axis=0) * causal).ravel(), 2 * SCORED).astype(np.float32), "d": total[:, 3 * WIDTH :],
+        "e": dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T, "q": w["e"].T @ dq, "k": w["e"].T @ dk, "v": w["e"].T @ dv, "o": do,
+        "r": np.bincount(np.maximum(lag, 0).ravel(), (dr * causal).ravel(), 2 * SCORED).astype(np.float32), "d": total[:, 3 * WIDTH :],
     }
 
 
+def _add_rows(total: np.ndarray, rows: np.ndarray, bucket: np.ndarray, room: _Room) -> None:
+    """Add ``rows`` to ``total`` by bucket; the last row is empty. Rows of a bucket are added
+    by eights, filled up with it, before ``reduceat``, which is slow on wide rows."""
+    n = np.bincount(bucket, minlength=BUCKETS)
+    seen = np.flatnonzero(n)
+    n = n[seen]
+    eights = -(-n // 8)
+    first = np.cumsum(eights) - eights
+    order = np.argsort(bucket, kind="stable")
+    at = np.full(int(eights.sum()) * 8, len(bucket))
+    at[np.arange(len(order)) + np.repeat(first * 8 - np.cumsum(n) + n, n)] = order
+    some = room.rows("sorted", rows, at).reshape(-1, 8, rows.shape[1])
+    sums = np.matmul(_EIGHT, some, out=room("eights", len(some), 1, rows.shape[1]))[:, 0]
+    total[seen] += sums[first]
+    more = eights > 1
+    if more.any():
+        # all eights but the first of a bucket
+        rest = np.delete(sums, first, axis=0)
+        total[seen[more]] += np.add.reduceat(rest, (first - np.arange(len(first)))[more], axis=0)
+
+
 def _adam(w, bucket, groups, sample, rng, epochs: int, rate: float, last: float, held: dict | None = None) -> int:
     """Adam over the ``sample`` texts in random order; the rate goes from ``rate`` to ``last``.
     Updates ``w`` in place, and in ``held`` what the next call goes on from; the number of
@@ -464,7 +506,6 @@ def _adam(w, bucket, groups, sample, rng, epochs: int, rate: float, last: float,
     if not held:
         held.update(m={n: np.zeros_like(x) for n, x in w.items()}, s={n: np.zeros_like(x) for n, x in w.items()}, step=0, room=_Room())
     m, s, room = held["m"], held["s"], held["room"]
-    lag, causal = _lags()
     total = 0
     for epoch in range(epochs):
         texts = [sample[i] for i in rng.permutation(len(sample))]
@@ -477,24 +518,28 @@ def _adam(w, bucket, groups, sample, rng, epochs: int, rate: float, last: float,
         for lo in range(1, blocks, batch):
             hi = min(lo + batch, blocks)
             at = slice(lo * SCORED, hi * SCORED)
-            g = _gradients(w, read[(lo - 1) * SCORED : hi * SCORED], group[at], real[at], lag, causal, room)
+            g = _gradients(w, read[(lo - 1) * SCORED : hi * SCORED], group[at], real[at], room)
             held["step"] += 1
             step = held["step"]
             now = rate + (last - rate) * (epoch + lo / blocks) / epochs
             for n in w:
-                x = np.multiply(g[n], np.float32(0.1), out=room(f"step {n}", *w[n].shape))
-                m[n] *= np.float32(0.9)
-                m[n] += x
-                np.multiply(g[n], g[n], out=x)
-                x *= np.float32(0.01)
-                s[n] *= np.float32(0.99)
-                s[n] += x
-                np.multiply(s[n], np.float32(1 / (1 - 0.99**step)), out=x)
-                np.sqrt(x, out=x)
-                x += np.float32(1e-8)
-                np.divide(m[n], x, out=x)
-                x *= np.float32(now / (1 - 0.9**step))
-                w[n] -= x
+                every = [x.reshape(-1) for x in (w[n], m[n], s[n], g[n])]
+                # by parts that stay in a core's own memory
+                for part in range(0, w[n].size, 1 << 14):
+                    own, mean, square, slope = (x[part : part + (1 << 14)] for x in every)
+                    x = np.multiply(slope, np.float32(0.1), out=room("step", len(own)))
+                    mean *= np.float32(0.9)
+                    mean += x
+                    np.multiply(slope, slope, out=x)
+                    x *= np.float32(0.01)
+                    square *= np.float32(0.99)
+                    square += x
+                    np.multiply(square, np.float32(1 / (1 - 0.99**step)), out=x)
+                    np.sqrt(x, out=x)
+                    x += np.float32(1e-8)
+                    np.divide(mean, x, out=x)
+                    x *= np.float32(now / (1 - 0.9**step))
+                    own -= x
         total += blocks - len(sample)
     return total
 

@@ -15,7 +15,7 @@ import unicodedata
 
 import numpy as np
 
-from .tokens import Words, mix, span_hashes
+from .tokens import Words, distinct, mix, span_hashes
 
 # fixed values: the pre-tokenizer's pattern and the normalizers this shortcut stands for
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -165,7 +165,7 @@ class PartIds:
             # the library may tell cases apart in what it reads whole, such as special tokens
             capitals = _capitals(data, starts[whole], ends[whole])
             keys[whole] = np.where(capitals > 0, mix(keys[whole] ^ capitals, 9), keys[whole])
-        keys, place = np.unique(keys, return_inverse=True)
+        keys, place = distinct(keys)
         one = np.empty(len(keys), np.int64)
         one[place] = np.arange(len(place))
         raw = data.tobytes()

@@ -31,6 +31,17 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and where each value is among them, as ``np.unique`` has
+    them: by hashing, so that only the distinct ones are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return found[order], place[coded.indices.to_numpy()]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, end to end, and their n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -187,3 +187,33 @@ def test_every_text_trains_the_weights_and_the_classes(spark, monkeypatch):
     follow = Counter(pair for x in ids for pair in zip([end, *x], [*x, end], strict=True))
     assert company[0].sum() == 2 * sum(follow.values())
     assert company[0][end].sum() == 2 * len(ids)
+
+
+def test_gradients_are_those_of_the_loss_and_take_room_for_some_blocks_only(trained):
+    rng = np.random.default_rng(6)
+    _, _, model = trained
+    texts = [rng.integers(0, 200, n) for n in (0, 15, 16, 40, *rng.integers(1, 200, 60))]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    read, want, _ = L._laid(model.bucket, np.concatenate(texts), first)
+    read, real, group = read.astype(np.int16), want >= 0, np.where(want >= 0, model.group[want], 0)
+    room = L._Room()
+    got = {n: x.copy() for n, x in L._gradients(model.weights, read, group[L.SCORED :], real[L.SCORED :], room).items()}
+
+    def loss(w):
+        # of the classes, in natural logarithms, by position; the ids' shares within classes are left out
+        m = L._tables(w, model.bucket, model.group, np.zeros_like(model.share))
+        flat = np.concatenate(texts)
+        return -(m.score(flat, first) - m.within(flat, first)).sum() * math.log(10) / real.sum()
+
+    for n, x in model.weights.items():
+        # along the gradient the loss changes by its square
+        step = 0.02 / max(1e-9, float(np.sqrt((got[n] ** 2).sum())))
+        up, down = (loss({**model.weights, n: x + s * step * got[n].reshape(x.shape)}) for s in (1, -1))
+        assert (up - down) / (2 * step) == pytest.approx(float((got[n] ** 2).sum()), rel=0.03)
+    held = {n: x.size for n, x in room.held.items()}
+    many = 2 * L.PART + 2
+    reps = -(-many // (len(read) // L.SCORED))
+    read, group, real = (np.tile(x, reps) for x in (read, group, real))
+    L._gradients(model.weights, read, group[L.SCORED :], real[L.SCORED :], room)
+    most = (L.PART + 1) * L.SCORED + 1
+    assert held and room.held["a"].size == L.PART * L.SCORED * 2 * L.SCORED and room.held["rows"].size == most * room.held["total"].size // L.BUCKETS

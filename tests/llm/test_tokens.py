@@ -91,3 +91,13 @@ def test_special_tokens_in_other_cases_keep_their_own_ids():
     for order in (rows, rows[::-1]):
         got = encode_texts(pa.array(order), PartIds(PATH), 2)
         assert [g.tolist() for g in got] == [WHOLE.encode(t, add_special_tokens=False).ids + [2] for t in order]
+
+
+def test_distinct_values_are_those_of_unique():
+    import numpy as np
+
+    from scoreline.llm.tokens import distinct
+
+    for values in (np.zeros(0, np.uint64), np.array([7, 2**64 - 1, 0, 7, 3], np.uint64), np.random.default_rng(1).integers(0, 50, 500).astype(np.uint64)):
+        for got, plain in zip(distinct(values), np.unique(values, return_inverse=True), strict=True):
+            assert got.tolist() == plain.tolist()
